@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import sharding, source_mixing, topk_search, url_filters
+from siltstone.llm import near_dedup, packing, sharding, source_mixing, topk_search, url_filters
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
         "op1_url_rules": url_filters.op1_url_rules,
         "op2_topk_search": topk_search.op2_topk_search,
         "op3_source_mixing": source_mixing.op3_source_mixing,
+        "op4_packing": packing.op4_packing,
         "op6_sharding": sharding.op6_sharding,
+        "op10_near_dedup": near_dedup.op10_near_dedup,
     }
 
 
