@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import html_text, near_dedup, packing, sharding, source_mixing, topk_search, url_filters
+from siltstone.llm import html_text, near_dedup, packing, pii, sharding, source_mixing, topk_search, url_filters
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_source_mixing": source_mixing.op3_source_mixing,
         "op4_packing": packing.op4_packing,
         "op6_sharding": sharding.op6_sharding,
+        "op7_pii": pii.op7_pii,
         "op9_html_text": html_text.op9_html_text,
         "op10_near_dedup": near_dedup.op10_near_dedup,
     }
