@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import html_text, near_dedup, packing, pii, sharding, source_mixing, topk_search, url_filters
+from siltstone.llm import fingerprints, html_text, near_dedup, packing, pii, sharding, source_mixing, topk_search, url_filters
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_packing": packing.op4_packing,
         "op6_sharding": sharding.op6_sharding,
         "op7_pii": pii.op7_pii,
+        "op8_fingerprints": fingerprints.op8_fingerprints,
         "op9_html_text": html_text.op9_html_text,
         "op10_near_dedup": near_dedup.op10_near_dedup,
     }
