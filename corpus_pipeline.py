@@ -1,8 +1,61 @@
-"""placeholder until the stages exist"""
+"""From raw documents to packed training sequences, in five stages.
 
-STAGES: list = []
+Each stage is written as Parquet in the shared folder and reread as the next one's documents. All but the last return the columns of documents.
+
+language: documents of no known language go (no letter, or a calibrated score below MIN_SCORE).
+near_duplicates: one document of each group of near-copies stays (five-word shingles, similarity 0.8).
+personal_data: personal data are replaced in the texts; n_chars follows.
+mixing: documents are repeated or left out towards the sources' target weights; a document taken twice is two rows.
+packing: the pieces of the documents, each with its sequence and offset.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.llm import language_id, near_dedup, packing, pii, source_mixing
+from siltstone.llm.shared import read, staged
+
+#: Below this share no language is likely; with as few as three languages a guess has a third.
+MIN_SCORE = 0.4
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = language_id.fit(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = language_id.predicted(docs, model)
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.deduplicated(docs, size=5).select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.sanitised(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    numbered = staged(docs.withColumn("_uid", F.monotonically_increasing_id()))
+    light = staged(numbered.select("doc_id", "source", source_mixing.words(F.col("text")).alias("size"), F.col("_uid").alias("uid")))
+    times = staged(source_mixing.mixed(light, source_mixing.targets(light)).where("times > 0").select(F.col("uid").alias("_uid"), "times"))
+    return numbered.join(times, "_uid").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(packing.pieces(docs)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixing", mixing), ("packing", packed)]
+
+#: Hashed n-grams, min-max hashing and byte-pair encoding are beyond SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

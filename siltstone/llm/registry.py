@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import fingerprints, html_text, near_dedup, packing, pii, sharding, source_mixing, topk_search, url_filters
+from siltstone.llm import fingerprints, html_text, language_id, near_dedup, packing, pii, sharding, source_mixing, topk_search, url_filters
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_topk_search": topk_search.op2_topk_search,
         "op3_source_mixing": source_mixing.op3_source_mixing,
         "op4_packing": packing.op4_packing,
+        "op5_language_id": language_id.op5_language_id,
         "op6_sharding": sharding.op6_sharding,
         "op7_pii": pii.op7_pii,
         "op8_fingerprints": fingerprints.op8_fingerprints,
