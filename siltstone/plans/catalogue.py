@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from siltstone.plans import search  # noqa: F401
 from siltstone.plans.registry import ORACLES, QUERIES, Query
 
 
