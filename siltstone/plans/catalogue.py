@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.plans import library, search  # noqa: F401
+from siltstone.plans import assessment, library, search, structure  # noqa: F401
 from siltstone.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -47,12 +47,12 @@ def user_count_deltas(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "most_used_filtered",
-    f"""SELECT key, users FROM ({COUNTS}) WHERE key IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#11') AND key IN (SELECT l_partkey FROM lineitem WHERE l_suppkey % 3 = 0)
+    f"""SELECT key, users FROM ({COUNTS}) WHERE key IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#11') AND key IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')
  ORDER BY users DESC, key LIMIT 50""",
 )
 def most_used_filtered(spark: SparkSession, sf: str) -> DataFrame:
     brand = table(spark, sf, "part").where(F.col("p_brand") == "Brand#11").select(F.col("p_partkey").alias("key"))
-    by = table(spark, sf, "lineitem").where(F.col("l_suppkey") % 3 == 0).select(F.col("l_partkey").alias("key"))
+    by = table(spark, sf, "lineitem").where(F.col("l_returnflag") == "R").select(F.col("l_partkey").alias("key"))
     return usage.most_used(counts(spark, sf), 50, brand, by)
 
 
@@ -65,11 +65,11 @@ def used_by_union(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "filter_intersection",
-    "SELECT l_partkey AS key FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey % 10 = 1 INTERSECT SELECT l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey % 10 = 2",
+    "SELECT l_partkey AS key FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = 1 INTERSECT SELECT l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = 2",
 )
 def filter_intersection(spark: SparkSession, sf: str) -> DataFrame:
-    e = edges(spark, sf)
-    return e.where(F.col("user") % 10 == 1).select("key").intersect(e.where(F.col("user") % 10 == 2).select("key"))
+    e = edges(spark, sf).join(table(spark, sf, "customer"), F.col("user") == F.col("c_custkey"))
+    return e.where(F.col("c_nationkey") == 1).select("key").intersect(e.where(F.col("c_nationkey") == 2).select("key"))
 
 
 @query("latest_per_key", "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
@@ -239,13 +239,13 @@ def retry_backoff(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "owner_override",
-    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(CASE WHEN l_returnflag = 'R' THEN l_suppkey END, own.owner) AS owner FROM lineitem LEFT JOIN (SELECT l_partkey AS p, min(l_suppkey) AS owner FROM lineitem GROUP BY l_partkey) own ON p = l_partkey WHERE l_linenumber = 1",
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(CASE WHEN l_returnflag = 'R' THEN l_suppkey END, own.owner) AS owner FROM lineitem LEFT JOIN (SELECT l_partkey AS p, min(l_suppkey) AS owner FROM lineitem GROUP BY l_partkey) own ON p = l_partkey",
 )
 def owner_override(spark: SparkSession, sf: str) -> DataFrame:
     """Each use's owner: the version it names itself, else the default one of its key."""
     item = table(spark, sf, "lineitem")
     default = item.groupBy(F.col("l_partkey").alias("p")).agg(F.min("l_suppkey").alias("default"))
-    rows = item.where(F.col("l_linenumber") == 1).join(default, F.col("p") == F.col("l_partkey"), "left")
+    rows = item.join(default, F.col("p") == F.col("l_partkey"), "left")
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce(F.when(F.col("l_returnflag") == "R", F.col("l_suppkey")), F.col("default")).alias("owner"))
 
 

@@ -34,7 +34,7 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors(spark, sf).where(F.col("id") < 20).select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    return vectors(spark, sf).where(F.col("id") % 100 == 0).select(F.col("id").alias("query_id"), F.col("v").alias("q"))
 
 
 @query("tokenize_documents", f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({sql.tokens('text')}) AS term FROM documents) GROUP BY doc_id, term")
@@ -129,7 +129,7 @@ def hybrid_rerank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dense_sql(where: str = "true", v: str = "n.v", q: str = "q.v", limit: int = 10) -> str:
-    return f"WITH {sql.UNIT} " + sql.top(f"SELECT q.id AS query_id, n.id AS id, round(list_dot_product({v}, {q}), 6) AS score FROM n, n q WHERE q.id < 20 AND {where}", limit)
+    return f"WITH {sql.UNIT} " + sql.top(f"SELECT q.id AS query_id, n.id AS id, round(list_dot_product({v}, {q}), 6) AS score FROM n, n q WHERE q.id % 100 = 0 AND {where}", limit)
 
 
 @query("dense_topk", dense_sql())
@@ -142,10 +142,10 @@ def dense_filtered_topk(spark: SparkSession, sf: str) -> DataFrame:
     return dense.search(vectors(spark, sf), vector_queries(spark, sf), where=F.col("label") == 3)
 
 
-@query("dense_scores_for_ids", f"WITH {sql.UNIT} SELECT q.id AS query_id, n.id AS id, round(list_dot_product(n.v, q.v), 6) AS score FROM n, n q WHERE q.id < 20 AND n.id % 7 = 0")
+@query("dense_scores_for_ids", f"WITH {sql.UNIT} SELECT q.id AS query_id, n.id AS id, round(list_dot_product(n.v, q.v), 6) AS score FROM n, n q WHERE q.id % 100 = 0 AND n.label = 3")
 def dense_scores_for_ids(spark: SparkSession, sf: str) -> DataFrame:
     v = vectors(spark, sf)
-    return dense.scores_for(v, vector_queries(spark, sf), v.where(F.col("id") % 7 == 0).select("id"))
+    return dense.scores_for(v, vector_queries(spark, sf), v.where(F.col("label") == 3).select("id"))
 
 
 CUT = "list_transform({0}[1:32], lambda x: x / sqrt(list_dot_product({0}[1:32], {0}[1:32])))"
@@ -163,7 +163,7 @@ SMALL = "list_transform({0}, lambda x: CAST(floor(x * 127 + 0.5) AS INTEGER))"
 
 @query(
     "int8_topk",
-    f"WITH {sql.UNIT}, i AS (SELECT id, {SMALL.format('v')} AS w FROM n) " + sql.top("SELECT q.id AS query_id, i.id AS id, CAST(list_sum(list_transform(list_zip(i.w, q.w), lambda p: p[1] * p[2])) AS INTEGER) AS score FROM i, i q WHERE q.id < 20"),
+    f"WITH {sql.UNIT}, i AS (SELECT id, {SMALL.format('v')} AS w FROM n) " + sql.top("SELECT q.id AS query_id, i.id AS id, CAST(list_sum(list_transform(list_zip(i.w, q.w), lambda p: p[1] * p[2])) AS INTEGER) AS score FROM i, i q WHERE q.id % 100 = 0"),
 )
 def int8_topk(spark: SparkSession, sf: str) -> DataFrame:
     return dense.int8_search(vectors(spark, sf), vector_queries(spark, sf))
@@ -171,7 +171,7 @@ def int8_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "binary_rescored_topk",
-    f"WITH {sql.UNIT}, c AS (SELECT q.id AS query_id, n.id AS id, n.v AS v, q.v AS w, list_sum(list_transform(list_zip(n.v, q.v), lambda p: CASE WHEN (p[1] > 0) = (p[2] > 0) THEN 1 ELSE 0 END)) AS score FROM n, n q WHERE q.id < 20),"
+    f"WITH {sql.UNIT}, c AS (SELECT q.id AS query_id, n.id AS id, n.v AS v, q.v AS w, list_sum(list_transform(list_zip(n.v, q.v), lambda p: CASE WHEN (p[1] > 0) = (p[2] > 0) THEN 1 ELSE 0 END)) AS score FROM n, n q WHERE q.id % 100 = 0),"
     " f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM c) WHERE k <= 20) "
     + sql.top("SELECT query_id, id, round(list_dot_product(v, w), 6) AS score FROM f"),
 )
@@ -179,7 +179,7 @@ def binary_rescored_topk(spark: SparkSession, sf: str) -> DataFrame:
     return dense.binary_search(vectors(spark, sf), vector_queries(spark, sf))
 
 
-BEST = f"WITH {sql.UNIT}, t AS ({sql.top('SELECT q.id AS query_id, n.id AS id, n.label AS label, round(list_dot_product(n.v, q.v), 6) AS score FROM n, n q WHERE q.id < 20', 50)})"
+BEST = f"WITH {sql.UNIT}, t AS ({sql.top('SELECT q.id AS query_id, n.id AS id, n.label AS label, round(list_dot_product(n.v, q.v), 6) AS score FROM n, n q WHERE q.id % 100 = 0', 50)})"
 
 
 @query(
