@@ -7,9 +7,9 @@ Whole groups without all pairs:
 1. Documents of equal sets are one class, and only classes go on.
 2. Each class in a shared band is compared with one representative, the one that most of its bands name. Representatives are the classes with
    the fullest bands, so the centre of a group of copies links most of it at once.
-3. What is left are bands whose classes lie in different components. Each member of the smaller ones is compared with all members of the
-   other components in its bands, in blocks: one row per member and block, not one per pair. That covers every candidate pair once, so no
-   link between components that the bands propose is lost.
+3. In bands whose classes lie in different components, the outsiders (all but the band's main component) are compared with all members of
+   the main one, then with the other outsiders of the band. Both go by blocks: a row per class and block, not one per pair. So every pair
+   that shares a band is compared, or already lies in one component: no link that the bands propose is lost.
 Confirmation counts shared shingles of the full sets (64-bit hashes of the words). Hot representatives, components and query lists are cut into
 blocks of bounded size, so that no task holds a whole group.
 
@@ -207,35 +207,55 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, permutati
     often = star.groupBy("lead").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("chunks"))
     chunked = star.join(often, "lead").withColumn("group", F.concat_ws("/", F.hex("lead"), F.pmod(F.xxhash64("class"), F.col("chunks"))))
     first = staged(_confirmed(chunked.select("group", F.col("lead").alias("class")).distinct(), chunked.select("group", "class"), sets, percent, True))
-    rest = staged(_rest(shared, components(first)))
-    second = staged(_confirmed(rest.where("role = 0"), rest.where("role = 1"), sets, percent, False))
-    root = components(first.unionByName(second))
+    root = components(first)
+    outsiders = staged(_outsiders(shared, root))
+    rest = _against_main(shared, root, outsiders)
+    links = staged(first.unionByName(_confirmed(rest.where("role = 0"), rest.where("role = 1"), sets, percent, False)))
+    root = components(links)
+    rest = _among(outsiders, root)
+    last = _confirmed(rest.where("role = 0"), rest.where("role = 1"), sets, percent, True).where("a < b")
+    root = components(links.unionByName(last))
     least = full.join(root, full["class"] == root["node"], "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
     least = staged(least)
-    smallest = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    smallest = staged(least.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     of_class = least.join(smallest, "root").select("class", "component_id")
     out = plain.join(of_class, "class", "left").withColumn("component_id", F.coalesce("component_id", F.when(F.col("class").isNull(), F.col("doc_id"))))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _rest(shared: DataFrame, root: DataFrame) -> DataFrame:
-    """Groups for the second comparison: role 0 the members of a component's block, role 1 the members of smaller components that share bands with it."""
+def _blocked(members: DataFrame, queries: DataFrame) -> DataFrame:
+    """Rows (group, role, class) that bring every query (what, class) to every member (what, class) of its `what`, in blocks of both."""
+    count = lambda rows, name: rows.groupBy("what").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias(name))
+    parts = staged(count(members, "blocks").join(count(queries, "chunks"), "what"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
+    group = F.concat_ws("/", "what", "block", "chunk").alias("group")
+    left = members.join(parts, "what").withColumn("block", part("blocks")).withColumn("chunk", every("chunks")).select(group, F.lit(0).alias("role"), "class")
+    right = queries.join(parts, "what").withColumn("chunk", part("chunks")).withColumn("block", every("blocks")).select(group, F.lit(1).alias("role"), "class")
+    return staged(left.unionByName(right))
+
+
+def _outsiders(shared: DataFrame, root: DataFrame) -> DataFrame:
+    """key, class and the band's main component, for the bands with several components: the rows that are not in the main one."""
     placed = shared.select("key", "class").join(root, F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("root", "class").alias("root"))
-    size = placed.select("class", "root").distinct().groupBy("root").agg(F.count("*").alias("size"))
-    per_key = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    mixed = per_key.groupBy("key").agg(F.count("*").alias("roots")).where(F.col("roots") > 1).select("key")
-    placed = staged(placed.join(mixed, "key").join(size, "root"))
-    asked = placed.select("key", "class", "root", "size")
-    against = placed.select("key", F.col("root").alias("target"), F.col("size").alias("target_size")).distinct()
-    smaller = F.struct("size", "root") < F.struct(F.col("target_size").alias("size"), F.col("target").alias("root"))
-    pairs = staged(asked.join(against, "key").where(smaller).select("class", "target", "target_size").distinct())
-    blocks = F.ceil(F.col("target_size") / F.lit(BLOCK)).cast("int")
-    load = pairs.groupBy("target").agg(F.first("target_size").alias("target_size"), F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("chunks"))
-    group = F.concat_ws("/", F.hex("target"), "block", "chunk")
-    queries = pairs.join(load.select("target", "chunks"), "target").withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks"))).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    whole = shared.select("class").distinct().join(root, F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("target")).join(load, "target")
-    members = whole.withColumn("block", F.pmod(F.xxhash64("class", F.lit(3)), blocks)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return queries.select(group.alias("group"), F.lit(1).alias("role"), "class").unionByName(members.select(group.alias("group"), F.lit(0).alias("role"), "class"))
+    per_root = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    main = per_root.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots")).where(F.col("roots") > 1)
+    return placed.join(main.select("key", "main"), "key").where(F.col("root") != F.col("main")).select("key", "class", "main")
+
+
+def _against_main(shared: DataFrame, root: DataFrame, outsiders: DataFrame) -> DataFrame:
+    """Groups of outsiders with the members of the main components of their bands."""
+    queries = staged(outsiders.select(F.hex("main").alias("what"), "class").distinct())
+    whole = shared.select("class").distinct().join(root, F.col("class") == F.col("node"), "left").select(F.hex(F.coalesce("root", "class")).alias("what"), "class")
+    return _blocked(whole.join(queries.select("what").distinct(), "what", "left_semi"), queries)
+
+
+def _among(outsiders: DataFrame, root: DataFrame) -> DataFrame:
+    """Groups of outsiders of one band that are still in different components."""
+    placed = outsiders.join(root, F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("root", "class").alias("root"))
+    mixed = placed.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("key")
+    rows = staged(placed.join(mixed, "key").select(F.col("key").cast("string").alias("what"), "class"))
+    return _blocked(rows, rows)
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
