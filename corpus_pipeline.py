@@ -22,11 +22,7 @@ MIN_SCORE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = language_id.fit(docs)
-    if model is None:
-        return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = language_id.predicted(docs, model)
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    return language_id.known(docs, language_id.fit(docs), MIN_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +34,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    numbered = staged(docs.withColumn("_uid", F.monotonically_increasing_id()))
-    light = staged(numbered.select("doc_id", "source", source_mixing.words(F.col("text")).alias("size"), F.col("_uid").alias("uid")))
-    times = staged(source_mixing.mixed(light, source_mixing.targets(light)).where("times > 0").select(F.col("uid").alias("_uid"), "times"))
-    return numbered.join(times, "_uid").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    numbered = staged(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid")))
+    light = staged(numbered.select("row.doc_id", "row.source", source_mixing.words(F.col("row.text")).alias("size"), "uid"))
+    times = staged(source_mixing.mixed(light, source_mixing.targets(light)).where("times > 0").select("uid", "times"))
+    return numbered.join(times, "uid").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

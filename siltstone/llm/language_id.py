@@ -187,17 +187,30 @@ def _temperature(rows: DataFrame, weights: np.ndarray) -> float:
     return float(grid[found["i"]]) if found else 1.0
 
 
-def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with lang_pred and score added."""
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+def prediction(model: Model | None, text: Column) -> Column:
+    """A struct of lang_pred and score."""
     if model is None:
-        return docs.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
+        return F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
 
     @F.pandas_udf("lang_pred string, score double")
     def run(texts: pd.Series, some: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([model.predict(t) if s else (UNKNOWN, 0.0) for t, s in zip(texts, some, strict=True)], columns=["lang_pred", "score"])
 
-    return docs.withColumn("_found", run(F.col("text"), letters)).withColumn("lang_pred", F.col("_found.lang_pred")).withColumn("score", F.col("_found.score")).drop("_found")
+    return run(text, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
+
+
+def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """docs with lang_pred and score added; columns of those names give way."""
+    found = docs.select(F.struct(*docs.columns).alias("row"), prediction(model, F.col("text")).alias("found"))
+    return found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("lang_pred", "score")], "found.lang_pred", "found.score")
+
+
+def known(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
+    """The documents of a known language: predicted with a score of `least` or more; without a model, those with a letter."""
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = docs.select(F.struct(*docs.columns).alias("row"), prediction(model, F.col("text")).alias("found"))
+    return found.where((F.col("found.lang_pred") != UNKNOWN) & (F.col("found.score") >= least)).select("row.*")
 
 
 def held_out() -> Column:

@@ -9,7 +9,9 @@ Rounds, until no piece is left:
    (a stack). What a range can't match itself is a run of gaps and a run of pieces; those runs are matched by their counts alone, two numbers
    per range, and the pieces and gaps of matched runs meet by rank.
 3. A gap that got a piece shrinks by it; a gap that got none fits nothing that is left, and closes.
-Every round gives each gap one piece, so there are about as many rounds as the fullest sequence has pieces, and each works on what is left.
+The first rounds give each gap one piece. Then mostly pieces much smaller than the gaps are left, and every other round fills: pieces and gaps
+are dealt out evenly, and in each share a gap goes on taking the largest piece that its rest holds. So the number of rounds doesn't follow the
+number of pieces in a sequence (about six, where one piece a round takes dozens).
 
 Null text is empty: one token, the end id. Repeated rows are pieces of their own. Empty tables give no rows.
 """
@@ -17,9 +19,13 @@ Null text is empty: one token, the end id. Repeated rows are pieces of their own
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,52 +33,73 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from siltstone.llm.shared import partitions, read, staged
 
 CAPACITY, END, VOCABULARY = 4096, 1, "word_bpe_49k.json"
-WORDS_KEPT = 400_000
+#: Rounds over ranges before the first that fills gaps; then every other round fills.
+FILL_AFTER = 2
+#: Pieces and gaps in a share, about.
+SHARE = 20_000
+WORDS_KEPT, TOGETHER = 300_000, 1000
 #: The vocabulary's own splitting rule, a fixed value of its file.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: White space to Python's split, but not to the vocabulary.
-ODD_SPACE = regex.compile("[\x1c-\x1f]")
+#: Controls that not every engine calls white space, and characters whose lower case or composition isn't plain.
+UNPLAIN = re.compile("[\x1c-\x1f\x85\u0130\u0250-\U0010ffff]")
 
 
 @cache
-def _tokenizer(name: str) -> Tokenizer:
-    found = Tokenizer.from_file(public_tokenizers.path(name))
-    found.encode_special_tokens = True
-    return found
+def _tokenizers(name: str) -> tuple[Tokenizer, Tokenizer, np.ndarray]:
+    """The vocabulary's tokenizer, the same for words already split and normalised, and which ids end a word."""
+    whole, split = (Tokenizer.from_file(public_tokenizers.path(name)) for _ in range(2))
+    whole.encode_special_tokens = split.encode_special_tokens = True
+    split.normalizer = normalizers.Sequence([])
+    split.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    vocabulary = whole.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+    return whole, split, ends
 
 
 class Encoder:
-    """Little-endian unsigned 32-bit ids of texts, from a cache by chunk and by word."""
-
-    def __init__(self, name: str = VOCABULARY):
-        self.tokenizer, self.chunks, self.words = _tokenizer(name), {}, {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        found = self.chunks.get(chunk)
-        if found is None:
-            found = self.chunks[chunk] = b"".join(map(self._word, SPLIT.findall(self.tokenizer.normalizer.normalize_str(chunk))))
-        return found
+    """Little-endian unsigned 32-bit ids of texts. Words met before come from a bounded cache, the others are encoded together."""
+
+    def __init__(self, name: str = VOCABULARY, kept: int = WORDS_KEPT):
+        self.whole, self.split, self.ends = _tokenizers(name)
+        self.kept, self.words, self.chunks = kept, {}, {}
+
+    def _learn(self, words: list[str]) -> None:
+        for i in range(0, len(words), 2000):
+            some = words[i : i + 2000]
+            ids = np.array(self.split.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(some):  # a word that the vocabulary ends otherwise
+                self.words.update((w, np.array(self.split.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in some)
+                continue
+            raw, start = ids.tobytes(), 0
+            for w, stop in zip(some, (4 * stops).tolist(), strict=True):
+                self.words[w] = raw[start:stop]
+                start = stop
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.words) > self.kept:
+            self.words.clear()
+        if len(self.chunks) > self.kept:
+            self.chunks.clear()
+        chunks, words = self.chunks, self.words
+        found = [None if UNPLAIN.search(t) else unicodedata.normalize("NFC", t).lower().split() for t in texts]
+        new = {c: [c] if c.isalpha() else SPLIT.findall(c) for c in set(chain.from_iterable(filter(None, found))).difference(chunks)}
+        self._learn(list({w for parts in new.values() for w in parts if w not in words}))
+        for c, parts in new.items():
+            chunks[c] = words[parts[0]] if len(parts) == 1 else b"".join([words[w] for w in parts])
+        get = chunks.__getitem__
+        return [np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if f is None else b"".join(map(get, f)) for t, f in zip(texts, found, strict=True)]
 
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            found = self.words[word] = self._ids(word)
-        return found
 
-    def encode(self, text: str) -> bytes:
-        if len(self.chunks) > WORDS_KEPT:
-            self.chunks.clear()
-        if len(self.words) > WORDS_KEPT:
-            self.words.clear()
-        return self._ids(text) if ODD_SPACE.search(text) else b"".join(map(self._chunk, text.split()))
+def encodings(texts: pd.Series, encoder: Encoder) -> Iterator[bytes]:
+    for at in range(0, len(texts), TOGETHER):
+        yield from encoder.encode([t or "" for t in texts.iloc[at : at + TOGETHER]])
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -83,8 +110,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary
         encoder = Encoder(vocabulary)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = encoder.encode(text or "") + last
+            for doc_id, encoded in zip(batch["doc_id"], encodings(batch["text"], encoder), strict=True):
+                ids = encoded + last
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -94,29 +121,37 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary
     return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _swept(pool: DataFrame) -> DataFrame:
-    """Matches inside each range of sizes. kind: 0 piece, 1 gap; out: those with `with`, the id of the match, and those without, with their place in the range's run."""
+def _swept(pool: DataFrame, fill: int, turn: int) -> DataFrame:
+    """Matches inside each range of sizes, or inside `fill` even shares of all sizes. kind: 0 piece and 1 gap without a match, with their place in the range's run; 2 a match (gap `id` of
+    `size`, piece `with` of length `place`); 3 what is left of a gap. To fill, a gap goes on with the largest piece that its rest holds."""
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stack: list[tuple[int, int]] = []
-        gaps = 0
+        stack: list[tuple[int, int]] = []  # (size, id), rising
+        part, gaps = 0, 0
         for batch in batches:
             out = []
             for part, kind, size, ident in zip(batch["part"], batch["kind"], batch["size"], batch["id"], strict=True):
                 if not kind:
-                    stack.append((ident, size))
-                elif stack:
-                    piece, length = stack.pop()
-                    out.append((part, 2, size, ident, length, piece))
-                else:
+                    stack.append((size, ident))
+                    continue
+                left, at = size, len(stack) - 1
+                while at >= 0:
+                    length, piece = stack.pop(at)
+                    out.append((part, 2, left, ident, length, piece))
+                    left -= length
+                    at = bisect_right(stack, (left, math.inf)) - 1 if fill and left else -1
+                if left == size:
                     out.append((part, 1, size, ident, gaps, 0))
                     gaps += 1
+                elif left:
+                    out.append((part, 3, left, ident, 0, 0))
             yield pd.DataFrame(out, columns=["part", "kind", "size", "id", "place", "with"])
         if stack:
-            yield pd.DataFrame([(part, 0, size, ident, i, 0) for i, (ident, size) in enumerate(stack)], columns=["part", "kind", "size", "id", "place", "with"])
+            yield pd.DataFrame([(part, 0, size, ident, i, 0) for i, (size, ident) in enumerate(stack)], columns=["part", "kind", "size", "id", "place", "with"])
 
     n = partitions(pool.sparkSession)
-    ranges = pool.repartitionByRange(n, "size", "kind", "id").sortWithinPartitions("size", "kind", "id").withColumn("part", F.spark_partition_id())
+    dealt = pool.repartition(fill, F.xxhash64("id", "kind", F.lit(turn))) if fill else pool.repartitionByRange(n, "size", "kind", "id")
+    ranges = dealt.sortWithinPartitions("size", "kind", "id").withColumn("part", F.spark_partition_id())
     return ranges.select("part", "kind", "size", "id").mapInPandas(sweep, "part int, kind int, size long, id long, place long, with long")
 
 
@@ -151,12 +186,13 @@ def _met(rest: DataFrame, runs: list[tuple[int, int, int, int, int]]) -> DataFra
 
 
 def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to parts (length, at most capacity, and any others)."""
+    """Adds sequence_id and offset to parts (length, at most capacity, and any others; of those names they give way)."""
     spark = parts.sparkSession
-    parts = staged(parts.withColumn("_id", F.monotonically_increasing_id()))
-    pool = parts.where(F.col("length") < capacity).select(F.lit(0).alias("kind"), F.col("length").alias("size"), F.col("_id").alias("id"))
-    placed = [parts.where(F.col("length") == capacity).select((-1 - F.col("_id")).alias("sequence_id"), F.col("_id").alias("id"), F.lit(0).cast("long").alias("offset"))]
-    opened, gaps = 0, False
+    columns = [c for c in parts.columns if c not in ("sequence_id", "offset")]
+    parts = staged(parts.select(F.struct(*columns).alias("row"), F.col("length").cast("long").alias("size"), F.monotonically_increasing_id().alias("id")))
+    pool = parts.where(F.col("size") < capacity).select(F.lit(0).alias("kind"), "size", "id")
+    placed = [parts.where(F.col("size") == capacity).select((-1 - F.col("id")).alias("sequence_id"), "id", F.lit(0).cast("long").alias("offset"))]
+    opened, turn = 0, 0
     while True:
         left = pool.groupBy("kind").agg(F.count("*").alias("n"), F.sum("size").alias("sum")).collect()
         left = {r["kind"]: r for r in left}
@@ -166,26 +202,33 @@ def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             fresh = math.ceil(left[0]["sum"] / capacity)
             pool = pool.unionByName(spark.range(opened, opened + fresh, 1, partitions(spark)).select(F.lit(1).alias("kind"), F.lit(capacity).cast("long").alias("size"), "id"))
             opened += fresh
-        swept = staged(_swept(pool))
-        counts = swept.where("kind < 2").groupBy("part").agg(F.count(F.when(F.col("kind") == 1, 1)).alias("g"), F.count(F.when(F.col("kind") == 0, 1)).alias("p")).orderBy("part").collect()
-        runs = _runs([(r["part"], r["g"], r["p"]) for r in counts])
+        fill = math.ceil(sum(r["n"] for r in left.values()) / SHARE) if turn >= FILL_AFTER and (turn - FILL_AFTER) % 2 == 0 else 0
+        swept = staged(_swept(pool, fill, turn))
+        turn += 1
         pairs = swept.where("kind = 2").select("id", "size", "with", F.col("place").alias("length"))
-        taken = {}
+        placed.append(pairs.select(F.col("id").alias("sequence_id"), F.col("with").alias("id"), (F.lit(capacity) - F.col("size")).alias("offset")))
+        rest = swept.where("kind = 3").select(F.lit(1).alias("kind"), "size", "id")
+        pieces_left = swept.where("kind = 0")
+        runs = []
+        if fill:  # a gap may yet fit a piece of another share
+            rest = swept.where(F.col("kind").isin(1, 3)).select(F.lit(1).alias("kind"), "size", "id")
+        else:
+            counts = swept.where("kind < 2").groupBy("part").agg(F.count(F.when(F.col("kind") == 1, 1)).alias("g"), F.count(F.when(F.col("kind") == 0, 1)).alias("p")).orderBy("part").collect()
+            runs = _runs([(r["part"], r["g"], r["p"]) for r in counts])
         if runs:
-            pairs = pairs.unionByName(_met(swept.where("kind < 2"), runs).select("id", "size", "with", "length"))
+            met = staged(_met(swept.where("kind < 2"), runs).select("id", "size", "with", "length"))
+            placed.append(met.select(F.col("id").alias("sequence_id"), F.col("with").alias("id"), (F.lit(capacity) - F.col("size")).alias("offset")))
+            rest = rest.unionByName(met.where(F.col("size") > F.col("length")).select(F.lit(1).alias("kind"), (F.col("size") - F.col("length")).alias("size"), "id"))
+            taken: dict[int, int] = {}
             for owner, first, _, _, _ in runs:
                 taken[owner] = min(first, taken.get(owner, first))
-        pairs = staged(pairs)
-        placed.append(pairs.select(F.col("id").alias("sequence_id"), F.col("with").alias("id"), (F.lit(capacity) - F.col("size")).alias("offset")))
-        unmatched = swept.where("kind = 0")
-        if taken:
             limit = F.broadcast(spark.createDataFrame(list(taken.items()), "part int, limit long"))
-            unmatched = unmatched.join(limit, "part", "left").where(F.col("limit").isNull() | (F.col("place") < F.col("limit")))
-        pool = unmatched.select("kind", "size", "id").unionByName(pairs.where(F.col("size") > F.col("length")).select(F.lit(1).alias("kind"), (F.col("size") - F.col("length")).alias("size"), "id"))
+            pieces_left = pieces_left.join(limit, "part", "left").where(F.col("limit").isNull() | (F.col("place") < F.col("limit")))
+        pool = pieces_left.select(F.lit(0).alias("kind"), "size", "id").unionByName(rest)
     found = placed[0]
     for p in placed[1:]:
         found = found.unionByName(p)
-    return parts.join(found, parts["_id"] == found["id"]).drop("_id", "id")
+    return parts.join(found, "id").select("row.*", "sequence_id", "offset")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

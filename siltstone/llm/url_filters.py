@@ -64,12 +64,13 @@ def tokens(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.6, min_lift: float = 1.5) -> list[tuple[frozenset[str], float, float]]:
-    """Rules (tokens, confidence, support) from rows of `tokens` and `bad`; the most confident first."""
+def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.6, min_lift: float = 1.5, min_pages: int = 5) -> list[tuple[frozenset[str], float, float]]:
+    """Rules (tokens, confidence, support) from rows of `tokens` and `bad`; the most confident first. A rule needs `min_pages` pages as well."""
     rows = labelled.where(F.size("tokens") > 0).select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
-    if rows.isEmpty():
+    n = rows.count()
+    if not n:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_pages / n)), minConfidence=min_confidence).fit(rows)
     found = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.col("lift") >= min_lift)).select("antecedent", "confidence", "support").collect()
     kept: dict[frozenset[str], tuple[float, float]] = {}
     for items, confidence, support in sorted(((frozenset(r[0]), r[1], r[2]) for r in found), key=lambda r: (len(r[0]), -r[1], sorted(r[0]))):
