@@ -10,10 +10,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Fixed values of the limiter: requests a minute and the burst.
 PER_MINUTE, BURST = 60, 2
+IDLE_MS = 3_600_000
 
 
 def take(tokens: float, last: float, now: float, per_minute: float = PER_MINUTE, burst: float = BURST) -> tuple[float, float]:
@@ -22,31 +23,25 @@ def take(tokens: float, last: float, now: float, per_minute: float = PER_MINUTE,
     return (tokens - 1, 0.0) if tokens >= 1 else (tokens, (1 - tokens) * 60 / per_minute)
 
 
-class Limiter(StatefulProcessor):
-    """One bucket per client; output: client, at, wait for each request in time order. Idle clients' state expires."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.bucket = handle.getValueState("bucket", "tokens double, last double", ttlDurationMs=3_600_000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        found = self.bucket.get()
-        every = pd.concat(list(rows)).sort_values("at")
-        tokens, last = found if found else (float(BURST), float(every["at"].iloc[0]))
+def limited_stream(requests: DataFrame) -> DataFrame:
+    """requests: client long, at double (seconds). One bucket per client; client, at and wait of each request; idle clients' state expires."""
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        every = pd.concat(list(batches)).sort_values("at", kind="stable")
+        tokens, last = held.get if held.exists else (float(BURST), float(every["at"].iloc[0]))
         waits = []
         for now in every["at"]:
             tokens, wait = take(tokens, last, now)
             last = now
             waits.append(wait)
-        self.bucket.update((float(tokens), float(last)))
-        yield pd.DataFrame({"client": [key[0]] * len(waits), "at": every["at"], "wait": waits})
+        held.update((float(tokens), float(last)))
+        held.setTimeoutDuration(IDLE_MS)
+        yield pd.DataFrame({"client": [key[0]] * len(waits), "at": every["at"].to_list(), "wait": waits})
 
-    def close(self) -> None:
-        pass
-
-
-def limited_stream(requests: DataFrame) -> DataFrame:
-    """requests: client long, at double (seconds)."""
-    return requests.groupBy("client").transformWithStateInPandas(Limiter(), "client long, at double, wait double", "Update", "ProcessingTime")
+    return requests.groupBy("client").applyInPandasWithState(fold, "client long, at double, wait double", "tokens double, last double", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def limited(requests: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ def test_stream_of_changes_equals_batch(spark, tmp_path):
 def test_stream_limiter_equals_batch(spark, tmp_path):
     rows = spark.createDataFrame([(c, float(t)) for c in (1, 2) for t in (0, 0, 0, 1, 1, 5)], "client long, at double")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # idle timers would keep availableNow going
     stream = state.limited_stream(spark.readStream.schema("client long, at double").parquet(str(tmp_path / "in")))
     run = stream.writeStream.format("memory").queryName("limited").outputMode("update").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
     run.awaitTermination()
