@@ -42,7 +42,7 @@ CAPACITY, END, VOCABULARY = 4096, 1, "word_bpe_49k.json"
 FILL_AFTER = 2
 #: Pieces and gaps in a share, about.
 SHARE = 20_000
-WORDS_KEPT, TOGETHER = 300_000, 1000
+WORDS_KEPT, TOGETHER = 600_000, 1000
 #: The vocabulary's own splitting rule, a fixed value of its file.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Controls that not every engine calls white space, and characters whose lower case or composition isn't plain.
@@ -67,7 +67,7 @@ class Encoder:
 
     def __init__(self, name: str = VOCABULARY, kept: int = WORDS_KEPT):
         self.whole, self.split, self.ends = _tokenizers(name)
-        self.kept, self.words, self.chunks = kept, {}, {}
+        self.kept, self.known = kept, {}
 
     def _learn(self, words: list[str]) -> None:
         for i in range(0, len(words), 2000):
@@ -75,26 +75,35 @@ class Encoder:
             ids = np.array(self.split.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(some):  # a word that the vocabulary ends otherwise
-                self.words.update((w, np.array(self.split.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in some)
+                self.known.update((w, np.array(self.split.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in some)
                 continue
             raw, start = ids.tobytes(), 0
             for w, stop in zip(some, (4 * stops).tolist(), strict=True):
-                self.words[w] = raw[start:stop]
+                self.known[w] = raw[start:stop]
                 start = stop
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > self.kept:
-            self.words.clear()
-        if len(self.chunks) > self.kept:
-            self.chunks.clear()
-        chunks, words = self.chunks, self.words
+        known = self.known
         found = [None if UNPLAIN.search(t) else unicodedata.normalize("NFC", t).lower().split() for t in texts]
-        new = {c: [c] if c.isalpha() else SPLIT.findall(c) for c in set(chain.from_iterable(filter(None, found))).difference(chunks)}
-        self._learn(list({w for parts in new.values() for w in parts if w not in words}))
-        for c, parts in new.items():
-            chunks[c] = words[parts[0]] if len(parts) == 1 else b"".join([words[w] for w in parts])
-        get = chunks.__getitem__
-        return [np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if f is None else b"".join(map(get, f)) for t, f in zip(texts, found, strict=True)]
+        new = set(chain.from_iterable(filter(None, found))).difference(known)
+        missing = {c for c in new if c.isalpha()}  # a word as it stands
+        parts = {c: SPLIT.findall(c) for c in new - missing}
+        missing.update(w for words in parts.values() for w in words if w not in known)
+        self._learn(list(missing))
+        for c, words in parts.items():
+            known[c] = b"".join([known[w] for w in words])
+        get = known.__getitem__
+        out = [np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if f is None else b"".join(map(get, f)) for t, f in zip(texts, found, strict=True)]
+        if len(known) > self.kept:  # full: what comes first, the frequent words, stays
+            for w in missing.union(parts):
+                known.pop(w, None)
+        return out
+
+
+@cache
+def _encoder(name: str) -> Encoder:
+    """One for a Python worker, so that its tasks share the words."""
+    return Encoder(name)
 
 
 def encodings(texts: pd.Series, encoder: Encoder) -> Iterator[bytes]:
@@ -107,7 +116,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary
     last = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(vocabulary)
+        encoder = _encoder(vocabulary)
         for batch in batches:
             rows = []
             for doc_id, encoded in zip(batch["doc_id"], encodings(batch["text"], encoder), strict=True):
@@ -121,7 +130,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary
     return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _swept(pool: DataFrame, fill: int, turn: int) -> DataFrame:
+def _swept(pool: DataFrame, fill: int) -> DataFrame:
     """Matches inside each range of sizes, or inside `fill` even shares of all sizes. kind: 0 piece and 1 gap without a match, with their place in the range's run; 2 a match (gap `id` of
     `size`, piece `with` of length `place`); 3 what is left of a gap. To fill, a gap goes on with the largest piece that its rest holds."""
 
@@ -150,7 +159,7 @@ def _swept(pool: DataFrame, fill: int, turn: int) -> DataFrame:
             yield pd.DataFrame([(part, 0, size, ident, i, 0) for i, (size, ident) in enumerate(stack)], columns=["part", "kind", "size", "id", "place", "with"])
 
     n = partitions(pool.sparkSession)
-    dealt = pool.repartition(fill, F.xxhash64("id", "kind", F.lit(turn))) if fill else pool.repartitionByRange(n, "size", "kind", "id")
+    dealt = pool.repartition(fill) if fill else pool.repartitionByRange(n, "size", "kind", "id")
     ranges = dealt.sortWithinPartitions("size", "kind", "id").withColumn("part", F.spark_partition_id())
     return ranges.select("part", "kind", "size", "id").mapInPandas(sweep, "part int, kind int, size long, id long, place long, with long")
 
@@ -203,7 +212,7 @@ def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             pool = pool.unionByName(spark.range(opened, opened + fresh, 1, partitions(spark)).select(F.lit(1).alias("kind"), F.lit(capacity).cast("long").alias("size"), "id"))
             opened += fresh
         fill = math.ceil(sum(r["n"] for r in left.values()) / SHARE) if turn >= FILL_AFTER and (turn - FILL_AFTER) % 2 == 0 else 0
-        swept = staged(_swept(pool, fill, turn))
+        swept = staged(_swept(pool, fill))
         turn += 1
         pairs = swept.where("kind = 2").select("id", "size", "with", F.col("place").alias("length"))
         placed.append(pairs.select(F.col("id").alias("sequence_id"), F.col("with").alias("id"), (F.lit(capacity) - F.col("size")).alias("offset")))
