@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.plans import assessment, graphs, library, search, streams, structure  # noqa: F401
+from siltstone.plans import assessment, graphs, ingest, library, search, streams, structure  # noqa: F401
 from siltstone.plans.registry import ORACLES, QUERIES, Query
 
 
