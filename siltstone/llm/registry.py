@@ -1,8 +1,8 @@
-"""The queries of this subpackage."""
+"""The queries of this subpackage and their SQL, where SQL can express them."""
 
 from __future__ import annotations
 
-from siltstone.llm import fingerprints, html_text, language_id, near_dedup, packing, pii, sharding, source_mixing, topk_search, url_filters
+from siltstone.llm import fingerprints, html_text, language_id, near_dedup, oracles, packing, pii, sharding, source_mixing, topk_search, url_filters
 
 
 def queries() -> dict:
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk_search": topk_search.oracle()}
+    return {"op2_topk_search": topk_search.oracle(), "op9_html_text": oracles.HTML_TEXT, "op10_near_dedup": oracles.NEAR_DEDUP}
