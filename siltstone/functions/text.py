@@ -19,7 +19,10 @@ def words(text: Column) -> Column:
 
 
 def word_tokens(word: Column) -> Column:
-    """A word's tokens, lower-cased: the whole, its segments where they differ, and the camel-case parts where there are several."""
+    """A word's tokens, lower-cased: the whole, its segments where they differ, and the camel-case parts where there are several.
+
+    Most words are plain and are their own only token; they skip the higher-order functions.
+    """
     whole = F.lower(word)
     none = F.array().cast("array<string>")
 
@@ -28,7 +31,8 @@ def word_tokens(word: Column) -> Column:
         return F.concat(F.when(F.lower(s) != whole, F.array(F.lower(s))).otherwise(none), F.when(F.size(parts) > 1, F.transform(parts, F.lower)).otherwise(none))
 
     segments = F.filter(F.split(word, SEPARATOR), lambda s: s != "")
-    return F.concat(F.array(whole), F.flatten(F.transform(segments, of_segment)))
+    split = F.concat(F.array(whole), F.flatten(F.transform(segments, of_segment)))
+    return F.when(word.rlike("^[A-Z]?[a-z]+$"), F.array(whole)).otherwise(split)
 
 
 def tokens(text: Column) -> Column:

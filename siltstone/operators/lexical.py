@@ -18,15 +18,19 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return found.select("id", "n", F.explode(T.word_tokens(F.col("word"))).alias("term")).groupBy("id", "term").agg(F.sum("n").alias("tf"))
 
 
-def impacts(counts: DataFrame, documents: DataFrame) -> DataFrame:
-    """(id, term, impact): BM25 with smoothed idf. documents: one row per id, also those without terms."""
+def impacts(counts: DataFrame, documents: DataFrame, terms: DataFrame) -> DataFrame:
+    """(id, term, impact) for the asked terms (term): BM25 with smoothed idf. documents: one row per id, also those without terms.
+
+    Lengths take all counts; only the asked terms' postings go on to document frequencies and impacts.
+    """
     lengths = counts.groupBy("id").agg(F.sum("tf").alias("length"))
     stats = documents.select("id").join(lengths, "id", "left").agg(F.count("*").alias("total"), F.avg(F.coalesce("length", F.lit(0))).alias("mean"))
     stats = stats.select("total", F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0).alias("mean"))
-    matching = counts.groupBy("term").agg(F.count("*").alias("df"))
+    some = counts.join(terms.select("term").distinct(), "term", "left_semi")
+    matching = some.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     soft = K1 * (1 - B + B * F.col("length") / F.col("mean"))
-    rows = counts.join(matching, "term").join(lengths, "id").crossJoin(F.broadcast(stats))  # stats: one row
+    rows = some.join(matching, "term").join(lengths, "id").crossJoin(F.broadcast(stats))  # stats: one row
     return rows.select("id", "term", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + soft)).alias("impact"))
 
 
@@ -42,8 +46,8 @@ def ranked(scores: DataFrame, limit: int, *ties: Column | str) -> DataFrame:
 
 def bm25(docs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """The best documents of each query. Only postings of query terms leave the index: terms meet before anything is summed."""
-    index = impacts(term_counts(docs), docs)
-    hits = query_terms(queries).join(index, "term").groupBy("query_id", "id").agg(F.round(F.sum("impact"), 6).alias("score"))
+    asked = query_terms(queries)
+    hits = asked.join(impacts(term_counts(docs), docs, asked), "term").groupBy("query_id", "id").agg(F.round(F.sum("impact"), 6).alias("score"))
     return ranked(hits.where(F.col("score") != 0), limit).select("query_id", "rank", "id", "score")
 
 

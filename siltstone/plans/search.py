@@ -120,8 +120,9 @@ def linear_rerank(spark: SparkSession, sf: str) -> DataFrame:
 def hybrid_rerank(spark: SparkSession, sf: str) -> DataFrame:
     q = queries_of(spark, sf)
     found = lexical.bm25(documents(spark, sf), q, lexical.RERANK_DEPTH)
-    index = lexical.impacts(lexical.term_counts(heads(spark, sf)), heads(spark, sf))
-    head = lexical.query_terms(q).join(index, "term").groupBy("query_id", "id").agg(F.round(F.sum("impact"), 6).alias("score")).where("score <> 0")
+    asked = lexical.query_terms(q)
+    index = lexical.impacts(lexical.term_counts(heads(spark, sf)), heads(spark, sf), asked)
+    head = asked.join(index, "term").groupBy("query_id", "id").agg(F.round(F.sum("impact"), 6).alias("score")).where("score <> 0")
     head = lexical.max_normalised(head.join(found.select("query_id", "id"), ["query_id", "id"], "left_semi"))
     api = table(spark, sf, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max(F.when(F.col("quality") == 1, 1.0).otherwise(0.0)).alias("score"))
     role = found.select("query_id", "id").join(api, "id")
