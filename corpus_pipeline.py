@@ -19,6 +19,8 @@ from siltstone.llm.shared import read, staged
 
 #: Below this share no language is likely; with as few as three languages a guess has a third.
 MIN_SCORE = 0.4
+#: Words whose ids a Python worker keeps for packing: fewer than alone, since workers also hold what the earlier stages left.
+WORDS_KEPT = 150_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(packing.pieces(docs)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packing.packed(packing.pieces(docs, kept=WORDS_KEPT)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixing", mixing), ("packing", packed)]

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import read, staged, unit
+from siltstone.llm.shared import by_batches, read, staged, unit
 
 BITS = 15
 PLACES = 1 << BITS
@@ -79,7 +79,7 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
         at = np.flatnonzero(total)
         yield pd.DataFrame({"place": np.append(at, -1), "n": np.append(total[at], n)})
 
-    rows = texts.select("text").mapInPandas(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    rows = by_batches(texts.select("text"), count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(PLACES)
     n = 0
     for r in rows:
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 5) -> Mod
             rows = [weighted(t, idf) for t in batch["text"]]
             yield pd.DataFrame({"deal": batch["deal"], "label": batch["lang"].map(label), "at": [a for a, _ in rows], "x": [x for _, x in rows]})
 
-    rows = staged(sample.mapInPandas(featured, "deal int, label int, at array<int>, x array<double>"))
+    rows = staged(by_batches(sample, featured, "deal int, label int, at array<int>, x array<double>"))
     trained = rows.where(F.col("deal") % 10 != 0).withColumn("shard", F.floor(F.col("deal") / 10).cast("int"))
     z, n = np.zeros((len(languages), PLACES)), np.zeros((len(languages), PLACES))
     for _ in range(ROUNDS):

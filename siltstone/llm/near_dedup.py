@@ -29,10 +29,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import read, staged
+from siltstone.llm.shared import by_batches, read, staged
 
 PERMUTATIONS, ROWS, BLOCK = 96, 6, 512
-WORDS_KEPT = 300_000
+#: Words whose hashes a Python worker keeps; workers outlive their tasks.
+WORDS_KEPT = 100_000
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 _words: dict[bytes, int] = {}
@@ -113,7 +114,7 @@ def _signed(docs: DataFrame, size: int, permutations: int, rows: int) -> DataFra
                 keys.append((c, known.get(c)))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": [len(s) for s in sets], "class": [c for c, _ in keys], "bands": [k for _, k in keys]})
 
-    return docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, n_shingles long, class binary, bands array<long>")
+    return by_batches(docs.select("doc_id", "text"), sign, "doc_id long, n_shingles long, class binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
@@ -125,7 +126,7 @@ def _sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
             yield pd.DataFrame({"class": [class_of(s) for s in sets], "want": batch["class"], "set": [s.tobytes() for s in sets]})
 
     some = docs.select(F.col("doc_id").alias("id"), "text").join(classes, F.col("id").eqNullSafe(F.col("doc_id")))
-    return some.select("text", "class").mapInPandas(again, "class binary, want binary, set binary").where(F.col("class") == F.col("want")).groupBy("class").agg(F.first("set").alias("set"))
+    return by_batches(some.select("text", "class"), again, "class binary, want binary, set binary").where(F.col("class") == F.col("want")).groupBy("class").agg(F.first("set").alias("set"))
 
 
 def linked(block: list[tuple[bytes, np.ndarray]], queries: Iterator[tuple[bytes, np.ndarray]], percent: int) -> Iterator[tuple[bytes, bytes]]:
@@ -168,7 +169,7 @@ def _confirmed(members: DataFrame, queries: DataFrame, sets: DataFrame, percent:
             yield pd.DataFrame(out, columns=["a", "b"])
         yield pd.DataFrame(flush(), columns=["a", "b"])
 
-    return rows.select("group", "role", "class", "set").mapInPandas(stream, "a binary, b binary")
+    return by_batches(rows.select("group", "role", "class", "set"), stream, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -101,9 +101,9 @@ class Encoder:
 
 
 @cache
-def _encoder(name: str) -> Encoder:
+def _encoder(name: str, kept: int) -> Encoder:
     """One for a Python worker, so that its tasks share the words."""
-    return Encoder(name)
+    return Encoder(name, kept)
 
 
 def encodings(texts: pd.Series, encoder: Encoder) -> Iterator[bytes]:
@@ -111,12 +111,12 @@ def encodings(texts: pd.Series, encoder: Encoder) -> Iterator[bytes]:
         yield from encoder.encode([t or "" for t in texts.iloc[at : at + TOGETHER]])
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of the whole texts of docs (doc_id, text)."""
+def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary: str = VOCABULARY, kept: int = WORDS_KEPT) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of the whole texts of docs (doc_id, text). kept: words whose ids a Python worker keeps."""
     last = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoder(vocabulary)
+        encoder = _encoder(vocabulary, kept)
         for batch in batches:
             rows = []
             for doc_id, encoded in zip(batch["doc_id"], encodings(batch["text"], encoder), strict=True):
