@@ -15,7 +15,10 @@ blocks of bounded size, so that no task holds a whole group.
 
 Words: A-Z lower-cased, split at ASCII white space. Fewer words than a shingle: the whole sequence is one shingle. Null or blank text: the
 empty set, linked with nothing. Null doc_id: such a document takes part, and its component's id is the smallest id that isn't null, or null.
-Repeated rows stay rows of their own, in one class. Empty tables give no rows.
+Rows are told apart by a number of their own, never by doc_id, so rows that share an id or have none are linked by their texts alone. Of each
+component one row stays, that of the smallest doc_id (null last, then the smallest number); a row linked with nothing always stays. `kept` tells
+the rows with the component's id; a row without an id is kept where it is the one that stays. Repeated rows stay rows of their own, in one class.
+Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.shared import by_batches, read, staged
@@ -112,20 +115,20 @@ def _signed(docs: DataFrame, size: int, permutations: int, rows: int) -> DataFra
                 if c is not None and c not in known:
                     known[c] = band_keys(min_max(s, permutations), rows)
                 keys.append((c, known.get(c)))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": [len(s) for s in sets], "class": [c for c, _ in keys], "bands": [k for _, k in keys]})
+            yield pd.DataFrame({"uid": batch["uid"], "doc_id": batch["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "class": [c for c, _ in keys], "bands": [k for _, k in keys]})
 
-    return by_batches(docs.select("doc_id", "text"), sign, "doc_id long, n_shingles long, class binary, bands array<long>")
+    return by_batches(docs.select("uid", "doc_id", "text"), sign, "uid long, doc_id long, n_shingles long, class binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """class and set of the wanted classes (class, doc_id: one of its documents)."""
+    """class and set of the wanted classes (class, uid: one of its documents)."""
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingles(t, size) for t in batch["text"]]
             yield pd.DataFrame({"class": [class_of(s) for s in sets], "want": batch["class"], "set": [s.tobytes() for s in sets]})
 
-    some = docs.select(F.col("doc_id").alias("id"), "text").join(classes, F.col("id").eqNullSafe(F.col("doc_id")))
+    some = docs.select("uid", "text").join(classes, "uid")
     return by_batches(some.select("text", "class"), again, "class binary, want binary, set binary").where(F.col("class") == F.col("want")).groupBy("class").agg(F.first("set").alias("set"))
 
 
@@ -186,12 +189,17 @@ def components(edges: DataFrame) -> DataFrame:
         label = new.select("node", "root")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles, class, component_id and kept, one row per row of docs (doc_id, text)."""
+    numbered = staged(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("uid")))
+    return grouped(numbered, **options).drop("uid", "stays")
+
+
+def grouped(docs: DataFrame, size: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
+    """uid, doc_id, n_shingles, class, component_id, stays and kept, one row per row of docs (uid: one for each row of a staged table, doc_id, text)."""
     signed = staged(_signed(docs, size, permutations, rows))
-    plain = signed.select("doc_id", "n_shingles", "class")
-    full = signed.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    full = full.withColumn("id", F.substring(F.hex("class"), 1, 32))
+    plain = signed.select("uid", "doc_id", "n_shingles", "class")
+    full = signed.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("head"))
     # one row of bands per class
     bands = signed.where(F.col("class").isNotNull()).select("class", F.explode("bands").alias("key")).distinct()
     bands = staged(bands)
@@ -202,7 +210,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, permutati
     votes = shared.join(lead, "key").groupBy("class", "lead").agg(F.count("*").alias("votes"))
     star = votes.where(F.col("class") != F.col("lead")).groupBy("class").agg(F.max(F.struct("votes", "lead"))["lead"].alias("lead"))
     star = staged(star)
-    wanted = shared.select("class").distinct().join(full, "class").select("class", "doc_id")
+    wanted = shared.select("class").distinct().join(full, "class").select("class", "head.uid")
     sets = staged(_sets(docs, wanted, size))
     # a representative's classes, in chunks of bounded size
     often = star.groupBy("lead").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("chunks"))
@@ -216,12 +224,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, permutati
     rest = _among(outsiders, root)
     last = _confirmed(rest.where("role = 0"), rest.where("role = 1"), sets, percent, True).where("a < b")
     root = components(links.unionByName(last))
-    least = full.join(root, full["class"] == root["node"], "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
+    least = full.join(root, full["class"] == root["node"], "left").select("class", "head", F.coalesce("root", "class").alias("root"))
     least = staged(least)
-    smallest = staged(least.groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    of_class = least.join(smallest, "root").select("class", "component_id")
+    smallest = staged(least.groupBy("root").agg(F.min("head").alias("head")))
+    of_class = least.select("class", "root").join(smallest, "root").select("class", F.col("head.doc_id").alias("component_id"), F.col("head.uid").alias("first"))
     out = plain.join(of_class, "class", "left").withColumn("component_id", F.coalesce("component_id", F.when(F.col("class").isNull(), F.col("doc_id"))))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    out = out.withColumn("stays", F.col("class").isNull() | (F.col("uid") == F.col("first"))).drop("first")
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), "stays"))
 
 
 def _blocked(members: DataFrame, queries: DataFrame) -> DataFrame:
@@ -260,12 +269,10 @@ def _among(outsiders: DataFrame, root: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """docs without near-copies: of each component one row stays, the one of the smallest doc_id (of repeated rows of that id, one)."""
-    found = near_duplicates(docs, **options)
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    light = found.groupBy(key.alias("_key")).agg(F.max("kept").alias("_kept")).where("_kept")
-    one = Window.partitionBy("_key").orderBy(F.xxhash64("text"))
-    return docs.withColumn("_key", key).join(light, "_key").withColumn("_twin", F.row_number().over(one)).where("_twin = 1").drop("_twin", "_key", "_kept")
+    """docs without near-copies: of each component one row stays, the one of the smallest doc_id (null last; of several rows of that id, one)."""
+    numbered = staged(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid")))
+    found = grouped(numbered.select("uid", "row.doc_id", "row.text"), **options)
+    return numbered.join(found.where("stays").select("uid"), "uid", "left_semi").select("row.*")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -225,6 +225,17 @@ def test_near_duplicates(spark):
     assert sorted(r["doc_id"] for r in kept) == sorted({c for _, c in want.values()})
 
 
+def test_deduplicated_keeps_unique_rows_of_null_and_shared_ids(spark):
+    copy = sentence(3, 60)
+    near = " ".join([*copy.split()[:-1], "other"])
+    rows = [(None, sentence(40)), (None, sentence(41)), (None, None), (None, " "), (None, copy), (5, near), (5, sentence(42)), (5, sentence(43)), (4, copy), (4, copy), (None, sentence(44)), (None, sentence(44))]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, uid int")
+    kept = Counter((r["doc_id"], r["text"]) for r in near_dedup.deduplicated(docs).collect())
+    assert kept == Counter([(None, sentence(40)), (None, sentence(41)), (None, None), (None, " "), (5, sentence(42)), (5, sentence(43)), (4, copy), (None, sentence(44))])
+    found = near_dedup.near_duplicates(docs)
+    assert found.where("doc_id is null and kept").count() == 5 and found.count() == len(rows)
+
+
 def test_min_max_estimates():
     a, b = (near_dedup.shingles(" ".join(f"w{i}" for i in range(k, k + 300)), 2) for k in (0, 30))
     true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
