@@ -4,11 +4,15 @@ Targets: every source gets a share of the total by weight, at most `max_epochs`
 goes to the others by weight, and so on until none is above (each round one small aggregation; every round but the last clamps a source).
 
 Sampling: target / size = whole repetitions of every document, plus a fraction. For the fraction the documents of a source come in the order of
-a seeded hash and are taken while the running size stays within the fraction; one more, of all the rest, is the document that best fills the
-gap that remains, if it comes nearer than none. The running size goes by buckets of the hash first, so that no source is one task.
+a seeded hash, and each is taken that fits in what is left of the fraction. One more, of all the rest, is the document that best fills the
+gap that remains, if it comes nearer than none. So a document too long for the fraction costs no other its place.
+
+This goes in rounds: the documents are taken while their running size stays within the gap; the next round goes on with those behind that fit in
+the rest, until none fits. A round's rest is smaller than a document that fitted before it, so in random order the rounds follow the logarithm of
+the sizes. The running size goes by buckets of the hash first, so that no source is one task.
 
 Null text: size 0. Null source: a source of its own, last in order. Sizes all 0, or no rows: targets 0, nothing taken. Repeated rows are
-rows of their own. Documents of size 0 take part with 0 words. Reruns agree: hashes depend on the row's values and the seed alone.
+rows of their own. Documents of size 0 take part with 0 words, in the first round. Reruns agree: hashes depend on the row's values and the seed alone.
 """
 
 from __future__ import annotations
@@ -59,27 +63,41 @@ def mixed(docs: DataFrame, goals: DataFrame, seed: int = 11) -> DataFrame:
     uid: distinct for each row and stable (of a staged table); it only breaks ties. goals: the result of targets().
     """
     buckets = max(64, -(-docs.count() // BUCKET_ROWS))
-    goal = goals.select(F.col("source").alias("of"), "source_size", "target")
-    same = F.col("source").eqNullSafe(F.col("of"))
-    point = unit(F.lit(seed), "doc_id", "size")
-    rows = docs.withColumn("point", point).withColumn("bucket", F.floor(F.col("point") * buckets).cast("int"))
-    slices = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = slices.select(F.col("source").alias("at"), F.col("bucket").alias("slice"), before.alias("start"), (before + F.col("n")).alias("stop"))
-    starts = starts.join(goal, F.col("at").eqNullSafe(F.col("of")), "left").drop("of")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    starts = staged(starts.withColumn("whole", whole).withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size")))
-    dealt = rows.join(starts, F.col("source").eqNullSafe(F.col("at")) & (F.col("bucket") == F.col("slice")), "left")
+    goal = goals.select(F.col("source").alias("of"), "source_size", "target", whole.alias("whole"))
+    goal = staged(goal.withColumn("gap", F.col("target") - F.col("whole") * F.col("source_size")))
+    rows = docs.withColumn("point", unit(F.lit(seed), "doc_id", "size"))
+    light = rows.select("uid", "source", "size", "point", F.floor(F.col("point") * buckets).cast("int").alias("bucket"))
+    gaps, taken = goal.select("of", "gap"), None
+    pool = light
+    while True:
+        placed = staged(_placed(pool, gaps))
+        now = placed.where(F.col("reach") <= F.col("gap")).select("uid", "source", "size")
+        if taken is not None and now.isEmpty():
+            break
+        taken = now if taken is None else taken.unionByName(now)
+        got = now.groupBy(F.col("source").alias("at")).agg(F.sum("size").alias("got"))
+        left = gaps.join(got, F.col("of").eqNullSafe(F.col("at")) & F.col("got").isNotNull(), "left")
+        gaps = staged(left.select("of", (F.col("gap") - F.coalesce("got", F.lit(0))).alias("gap")))
+        pool = placed.where((F.col("reach") > F.col("gap")) & (F.col("size") > 0)).drop("gap", "reach")
+    taken = staged(taken.select("uid", F.lit(1).alias("once")))
+    off = F.abs(F.col("gap") - F.col("size"))
+    near = light.where("size > 0").join(gaps, F.col("source").eqNullSafe(F.col("of"))).where(off < F.col("gap")).join(taken, "uid", "left_anti")
+    fill = near.groupBy("of").agg(F.min_by("uid", F.struct(off, F.col("point"), F.col("uid"))).alias("uid")).select("uid", F.lit(1).alias("once"))
+    out = rows.join(goal.drop("gap"), F.col("source").eqNullSafe(F.col("of")), "left").join(staged(taken.unionByName(fill)), "uid", "left")
+    times = (F.col("whole") + F.coalesce("once", F.lit(0))).cast("int")
+    return out.withColumn("times", times).drop("point", "of", "whole", "once")
+
+
+def _placed(pool: DataFrame, gaps: DataFrame) -> DataFrame:
+    """The rows of pool that fit in their source's gap, with `gap` and `reach`, their running size in the order of the hash."""
+    fits = pool.join(gaps, F.col("source").eqNullSafe(F.col("of"))).where(F.col("size") <= F.col("gap")).drop("of")
+    slices = fits.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = staged(slices.select(F.col("source").alias("at"), F.col("bucket").alias("slice"), before.alias("start")))
+    dealt = fits.join(starts, F.col("source").eqNullSafe(F.col("at")) & (F.col("bucket") == F.col("slice")))
     inside = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("point", "uid").rowsBetween(Window.unboundedPreceding, 0))
-    placed = dealt.withColumn("reach", F.col("start") + inside).withColumn("taken_once", F.when(F.col("reach") <= F.col("extra"), 1).otherwise(0))
-    placed = staged(placed)
-    have = placed.groupBy(F.col("source").alias("at2")).agg(F.first("extra").alias("want"), F.coalesce(F.sum(F.when(F.col("taken_once") == 1, F.col("size"))), F.lit(0)).alias("got"))
-    gap = placed.where((F.col("taken_once") == 0) & (F.col("size") > 0)).join(staged(have), F.col("source").eqNullSafe(F.col("at2")))
-    off = F.abs(F.col("want") - F.col("got") - F.col("size"))
-    fill = gap.where(off < F.col("want") - F.col("got")).groupBy(F.col("source").alias("at3")).agg(F.min_by("uid", F.struct(off, F.col("point"), F.col("uid"))).alias("filler"))
-    out = placed.join(staged(fill), F.col("source").eqNullSafe(F.col("at3")) & (F.col("uid") == F.col("filler")), "left")
-    times = (F.col("whole") + F.col("taken_once") + F.when(F.col("filler").isNotNull(), 1).otherwise(0)).cast("int")
-    return out.withColumn("times", times).drop("point", "bucket", "at", "slice", "start", "stop", "whole", "extra", "reach", "taken_once", "at3", "filler")
+    return dealt.withColumn("reach", F.col("start") + inside).drop("at", "slice", "start")
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,6 +77,31 @@ def test_water_filling(spark):
     assert all(abs(taken[s] - want[s]) <= 10 for s in want)
 
 
+def test_mixing_goes_on_after_a_document_too_long(spark):
+    draw = random.Random(3)
+    rows = [(i, None if i % 3 else "s", draw.randint(1, 300)) for i in range(300)] + [(1000 + i, s, 9000) for i in range(3) for s in ("s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long").withColumn("uid", F.monotonically_increasing_id())
+    sizes = Counter()
+    for _, s, n in rows:
+        sizes[s] += n
+    goals = spark.createDataFrame([(s, n, 1.0, 0.3 * n) for s, n in sizes.items()], "source string, source_size long, weight double, target double")
+    points = docs.select("doc_id", "source", source_mixing.unit(F.lit(11), "doc_id", "size").alias("point")).collect()
+    order = {(r["doc_id"], r["source"]): r["point"] for r in points}
+    want, gap = set(), {s: 0.3 * n for s, n in sizes.items()}
+    for i, s, n in sorted(rows, key=lambda r: order[r[:2]]):
+        if n <= gap[s]:
+            gap[s] -= n
+            want.add((i, s))
+    for s in sizes:
+        off, i = min((abs(gap[s] - n), i) for i, of, n in rows if of == s and (i, s) not in want)
+        if off < gap[s]:
+            want.add((i, s))
+    found = source_mixing.mixed(docs, goals).collect()
+    assert len(found) == len(rows) and {(r["doc_id"], r["source"]) for r in found if r["times"]} == want
+    for s, n in sizes.items():
+        assert abs(sum(r["times"] * r["size"] for r in found if r["source"] == s) - 0.3 * n) <= 50
+
+
 def test_packing_is_gapless_and_tight(spark):
     rows = [(i, random.Random(i).randint(1, 4096)) for i in range(3000)] + [(9000 + i, 4096) for i in range(5)]
     parts = spark.createDataFrame(rows, "doc_id long, length long")
