@@ -1,12 +1,14 @@
 """Sharding by a two-pass external shuffle. DataFrame functions only.
 
 Pass 1 scatters the records: rendezvous hashing of doc_id gives the shard (the largest of one seeded hash per shard), a second seeded hash
-gives one of the shard's buckets, so many that a bucket fits in memory, and the records are dealt out by bucket. Pass 2 shuffles each bucket
+gives one of the shard's buckets, as many as the shard's own bytes need for a bucket to fit in memory, and the whole records are dealt out by bucket. Pass 2 shuffles each bucket
 by Fisher-Yates (Spark's `shuffle` of the bucket's array) and writes it; a slot is the bucket's first slot plus the place in the bucket.
 
 Law `key`: doc_id and the shard count decide alone. With one more shard a row moves only if the new shard's hash is the largest, so rows go
 only into the new shard. Rows of one doc_id share a shard, but not a bucket: the bucket's hash takes the row's number in the scan as well.
 
+The op6 query shuffles and writes whole documents, and takes sizes and checksums from the written shards.
+
 Null doc_id: hashed like any other value. Null text: 8 bytes, CRC of nothing. Empty tables: no rows. Buckets have an expected size: hashes
 are uniform, so a bucket is beyond twice the wanted rows with vanishing probability.
 """
@@ -14,11 +16,13 @@ are uniform, so a bucket is beyond twice the wanted rows with vanishing probabil
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from siltstone.llm.shared import partitions, read, staged
+from siltstone.llm.shared import partitions, read, shared_folder, staged
 
 
 def shard_of(key: Column, shards: int, seed: int = 23) -> Column:
@@ -33,10 +37,16 @@ def sharded(docs: DataFrame, shards: int, bytes_of: Column, bucket_bytes: int =
     All columns travel through the buckets; columns of docs named shard or slot give way."""
     spark = docs.sparkSession
     columns = [c for c in docs.columns if c not in ("shard", "slot")]
-    total = docs.agg(F.sum(bytes_of)).first()[0] or 0
-    per_shard = max(1, math.ceil(total / shards / bucket_bytes), math.ceil(partitions(spark) / shards))
-    scattered = docs.select(F.struct(*columns).alias("record"), shard_of(F.col("doc_id"), shards, seed).alias("shard"), F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id(), F.lit(seed + 1)), F.lit(per_shard)).cast("int").alias("bucket"))
-    dealt = scattered.withColumn("at", F.col("shard") * per_shard + F.col("bucket")).repartition(max(partitions(spark), 1), "at")
+    least = max(1, math.ceil(partitions(spark) / shards))
+    shard = shard_of(F.col("doc_id"), shards, seed)
+    weights = docs.groupBy(shard.alias("of")).agg(F.sum(bytes_of).alias("bytes")).collect()
+    counts = [least] * shards
+    for r in weights:
+        counts[r["of"]] = max(least, math.ceil((r["bytes"] or 0) / bucket_bytes))
+    firsts = [sum(counts[:s]) for s in range(shards)]
+    of_shard = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("shard") + 1)
+    scattered = docs.select(F.struct(*columns).alias("record"), shard.alias("shard"), F.xxhash64("doc_id", F.monotonically_increasing_id(), F.lit(seed + 1)).alias("draw"))
+    dealt = scattered.withColumn("at", (of_shard(firsts) + F.pmod(F.col("draw"), of_shard(counts))).cast("int")).drop("draw").repartition(max(partitions(spark), sum(counts)), "at")  # about one bucket in a task's memory
     gathered = dealt.groupBy("at", "shard").agg(F.sort_array(F.collect_list("record")).alias("records")).sortWithinPartitions("at")
     mixed = staged(gathered.select("at", "shard", F.shuffle("records", seed).alias("records")))
     first = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -50,9 +60,17 @@ def write_shards(docs: DataFrame, folder: str, shards: int, bytes_of: Column, **
     sharded(docs, shards, bytes_of, **options).write.partitionBy("shard").parquet(folder)
 
 
+def read_shards(spark: SparkSession, folder: str, docs: DataFrame) -> DataFrame:
+    """The records of written shards, with shard and slot. docs: what was written."""
+    kept = [f for f in docs.schema.fields if f.name not in ("shard", "slot")]
+    return spark.read.schema(StructType([*kept, StructField("slot", LongType()), StructField("shard", IntegerType())])).parquet(folder)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str, shards: int = 24) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
+    bytes_of = lambda text: (F.octet_length(text) + 8).cast("long")
+    folder = f"{shared_folder(spark)}/shards/{uuid.uuid4().hex}"
+    write_shards(docs, folder, shards, bytes_of(F.coalesce(F.col("text"), F.lit(""))))
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
-    light = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    out = sharded(light, shards, F.lit(64))
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", shard_of(F.col("doc_id"), shards + 1).alias("grown_shard"))
+    out = read_shards(spark, folder, docs)
+    return out.select("doc_id", bytes_of(text).alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", shard_of(F.col("doc_id"), shards + 1).alias("grown_shard"))

@@ -3,12 +3,15 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from siltstone.llm import fingerprints, html_text, language_id, near_dedup, packing, pii, sharding, source_mixing, topk_search, url_filters
+from siltstone.llm.shared import shared_folder
 from tests.llm.conftest import sentence
 
 
@@ -146,6 +149,20 @@ def test_shards(spark):
     assert all([d for _, d in sorted(v)] != sorted(d for _, d in v) for v in by.values())
 
 
+def test_written_shards_hold_whole_documents(spark, tmp_path):
+    rows = [(i, f"text {i} " * (i % 7), "en", "s", i) for i in range(300)] + [(7, "long " * 100_000, None, "s", 1), (None, None, None, None, None)] + [(8, "copy", "en", "s", 4)] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    folder = lambda: set(Path(shared_folder(spark), "shards").glob("*"))
+    before = folder()
+    found = sharding.op6_sharding(spark, str(tmp_path)).collect()
+    (written,) = folder() - before
+    shards = spark.read.parquet(str(written)).collect()
+    assert Counter((r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in shards) == Counter(rows)
+    plain = {(r["shard"], r["slot"]): (r["doc_id"], len(r["text"] or "") + 8, zlib.crc32((r["text"] or "").encode())) for r in shards}
+    assert len(plain) == len(rows) and plain == {(r["shard"], r["slot"]): (r["doc_id"], r["size"], r["text_crc32"]) for r in found}
+
+
 def plain_spans(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
