@@ -2,8 +2,8 @@
 
 A page becomes a tree of block elements (inline marks are part of their block's text; `p`, `li` and the like close where HTML closes them).
 Each paragraph gives points for its length and its commas to its parent in full and to its grandparent by half. A container's points are
-discounted by its link density. The best container is kept, and of its siblings those that score near it or are long, mostly unlinked
-paragraphs. Menus, headers, footers, side columns, notices, adverts, forms, comments and anything hidden never count and are never kept.
+discounted by its link density. The best container is kept, and around it, level by level, all that is mostly unlinked or scores near it: up to
+what lies beside its `article` or `main`, or where it is in none, up to the lowest level that adds text. Menus, headers, footers, side columns, notices, adverts, forms, comments and anything hidden never count and are never kept.
 
 The text of a block: character references decoded, white space runs made one space, trimmed; blocks in page order joined by one newline. A
 `br` ends a block. Null, empty or text-free pages: an empty text. Every row is extracted from its whole html; repeated rows alike.
@@ -12,7 +12,7 @@ The text of a block: character references decoded, white space runs made one spa
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -40,7 +40,8 @@ CLOSES = {
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
 }
-NEAR, LONG, LINKED = 0.2, 80, 0.25
+NEAR, LINKED = 0.2, 0.25
+ARTICLE = ("article", "main")
 
 
 @dataclass(slots=True)
@@ -185,17 +186,26 @@ def main_text(html: str | None) -> str:
     if not kept:
         return ""
     best = max(kept, key=score)
-    if not best.parent:
-        return "\n".join(_blocks(best))
-    out: list[str] = []
-    for other in best.parent.children:
-        if other is best:
-            out += _blocks(other)
-        elif isinstance(other, Node) and not other.outside and other.chars:
-            density = other.linked / other.chars
-            if score(other) >= max(10.0, NEAR * score(best)) or other.tag == "p" and other.chars >= LONG and density < LINKED:
-                out += _blocks(other)
-    return "\n".join(out)
+    least = NEAR * score(best)
+    level, marked, around = best, best, best
+    while marked and marked.tag not in ARTICLE:
+        marked = marked.parent
+    while level.parent:
+        beside, done = _beside(level, lambda n: n.linked < LINKED * n.chars or 0 < least <= score(n)), level is marked
+        around = Node("div", None, False, [around if c is level else c for c in beside])
+        if done or not marked and len(beside) > 1:
+            break
+        level = level.parent
+    return "\n".join(_blocks(around))
+
+
+def _beside(level: Node, wanted: Callable[[Node], bool]) -> list:
+    """The children of level's parent that stay: level, wanted blocks, and loose text where it is mostly unlinked."""
+    children = level.parent.children
+    loose = [(len(c[0].strip()), c[1]) for c in children if isinstance(c, tuple)]
+    total = sum(n for n, _ in loose)
+    text = total > 0 and sum(n for n, linked in loose if linked) < LINKED * total
+    return [c for c in children if c is level or (not c.outside and c.chars and wanted(c) if isinstance(c, Node) else text)]
 
 
 def extracted(pages: DataFrame) -> DataFrame:

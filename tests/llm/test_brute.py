@@ -228,6 +228,20 @@ def test_main_text():
     assert html_text.main_text(None) == html_text.main_text("<nav>x</nav>") == ""
 
 
+def test_main_text_of_nested_pages():
+    long = "A sentence, with commas, of a fair length, that goes on, and on, so that it counts. "
+    body = "".join(f"<p>{long}{i}</p>" for i in range(9))
+    want = [f"{long}{i}" for i in range(9)]
+    links = "<ul><li><a href=x>Other page</a><li><a href=y>Yet another</a></ul>"
+    menu = f"<nav>{links}</nav>"
+    text = lambda article: html_text.main_text(f"<html><body>{menu}{article}<footer><p>&copy; us</p></footer></body></html>").split("\n")
+    assert text(f"<article><h1>Title</h1><div>{body}</div>{links}</article>") == ["Title", *want]
+    assert text(f"<article><h1>Title</h1><div class=wrap><div>{body}</div><ul><li>short</ul></div><blockquote>Quote</blockquote>end</article>") == ["Title", *want, "short", "Quote", "end"]
+    assert text(f"<article><section>{body}</section><section><p>Short, one.</p><p>Two.</p></section></article>") == [*want, "Short, one.", "Two."]
+    assert text(f"<div><h1>Title</h1><div><div>{body}</div></div></div><div>{links}</div>") == ["Title", *want]
+    assert text(f"<h1>Title</h1><article>{body}</article>") == ["Title", *want]
+
+
 def plain_components(rows, size, percent):
     sets = {}
     for i, text in rows:
