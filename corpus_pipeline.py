@@ -6,7 +6,7 @@ language: documents of no known language go (no letter, or a calibrated score be
 near_duplicates: one document of each group of near-copies stays (five-word shingles, similarity 0.8).
 personal_data: personal data are replaced in the texts; n_chars follows.
 mixing: documents are repeated or left out towards the sources' target weights; a document taken twice is two rows.
-packing: the pieces of the documents, each with its sequence and offset.
+packing: the pieces of the documents, each with its token ids, its sequence and its offset.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(packing.pieces(docs, kept=WORDS_KEPT)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packing.packed(packing.pieces(docs, kept=WORDS_KEPT)).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset", "ids")
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixing", mixing), ("packing", packed)]

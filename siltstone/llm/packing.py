@@ -1,7 +1,8 @@
 """Packing documents into sequences of a fixed length by bulk-synchronous best fit.
 
 Tokens: ids by a public vocabulary, then the end id. The vocabulary works word by word, so ids are kept by word and only new words are
-encoded. Longer documents are cut into whole sequences and a last piece; no other is cut.
+encoded. Longer documents are cut into whole sequences and a last piece; no other is cut. A text that holds a special token's content goes to the
+vocabulary's tokenizer whole, which gives it that token's id. Pieces carry their ids; packing goes by sizes alone and meets them again at the end.
 
 Rounds, until no piece is left:
 1. Open gaps: with none open, as many empty sequences as the rest needs at least.
@@ -21,7 +22,6 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from siltstone.llm.shared import partitions, read, staged
+from siltstone.llm.shared import by_batches, partitions, read, staged
 
 CAPACITY, END, VOCABULARY = 4096, 1, "word_bpe_49k.json"
 #: Rounds over ranges before the first that fills gaps; then every other round fills.
@@ -50,23 +50,24 @@ UNPLAIN = re.compile("[\x1c-\x1f\x85\u0130\u0250-\U0010ffff]")
 
 
 @cache
-def _tokenizers(name: str) -> tuple[Tokenizer, Tokenizer, np.ndarray]:
-    """The vocabulary's tokenizer, the same for words already split and normalised, and which ids end a word."""
+def _tokenizers(name: str) -> tuple[Tokenizer, Tokenizer, np.ndarray, re.Pattern]:
+    """The vocabulary's tokenizer, the same for words already split and normalised, which ids end a word, and its special tokens."""
     whole, split = (Tokenizer.from_file(public_tokenizers.path(name)) for _ in range(2))
-    whole.encode_special_tokens = split.encode_special_tokens = True
+    split.encode_special_tokens = True
     split.normalizer = normalizers.Sequence([])
     split.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     vocabulary = whole.get_vocab()
     ends = np.zeros(max(vocabulary.values()) + 1, bool)
     ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-    return whole, split, ends
+    special = [t.content for t in whole.get_added_tokens_decoder().values()]
+    return whole, split, ends, re.compile("|".join(map(re.escape, special)) or r"(?!)")
 
 
 class Encoder:
     """Little-endian unsigned 32-bit ids of texts. Words met before come from a bounded cache, the others are encoded together."""
 
     def __init__(self, name: str = VOCABULARY, kept: int = WORDS_KEPT):
-        self.whole, self.split, self.ends = _tokenizers(name)
+        self.whole, self.split, self.ends, self.special = _tokenizers(name)
         self.kept, self.known = kept, {}
 
     def _learn(self, words: list[str]) -> None:
@@ -84,7 +85,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self.known
-        found = [None if UNPLAIN.search(t) else unicodedata.normalize("NFC", t).lower().split() for t in texts]
+        found = [None if UNPLAIN.search(t) or self.special.search(t) else unicodedata.normalize("NFC", t).lower().split() for t in texts]
         new = set(chain.from_iterable(filter(None, found))).difference(known)
         missing = {c for c in new if c.isalpha()}  # a word as it stands
         parts = {c: SPLIT.findall(c) for c in new - missing}
@@ -112,7 +113,7 @@ def encodings(texts: pd.Series, encoder: Encoder) -> Iterator[bytes]:
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary: str = VOCABULARY, kept: int = WORDS_KEPT) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of the whole texts of docs (doc_id, text). kept: words whose ids a Python worker keeps."""
+    """doc_id, piece, start, length and ids (little-endian unsigned 32-bit) of the whole texts of docs (doc_id, text). kept: words whose ids a Python worker keeps."""
     last = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,11 +124,11 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary
                 ids = encoded + last
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    rows.append((doc_id, piece, at // 4, len(part) // 4, part))
+            frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
             yield frame.astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return by_batches(docs.select("doc_id", "text"), cut, "doc_id long, piece int, start long, length long, ids binary")
 
 
 def _swept(pool: DataFrame, fill: int) -> DataFrame:
@@ -241,4 +242,4 @@ def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(pieces(read(spark, sf_dir, "documents"))).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packed(pieces(read(spark, sf_dir, "documents"))).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")

@@ -7,8 +7,11 @@ import zlib
 from collections import Counter
 from pathlib import Path
 
+import corpus_pipeline
 import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from siltstone.llm import fingerprints, html_text, language_id, near_dedup, packing, pii, sharding, source_mixing, topk_search, url_filters
 from siltstone.llm.shared import shared_folder
@@ -128,6 +131,19 @@ def test_ids_are_the_tokenizers():
         assert np.frombuffer(ids, "<u4").tolist() == encoder.whole.encode(text, add_special_tokens=False).ids
 
 
+def test_packed_sequences_hold_the_ids_of_the_file(spark):
+    plain = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    rows = [(1, "a <|endoftext|> b"), (2, "c<|startoftext|>d <|ENDOFTEXT|>"), (3, None), (4, "one two three four five six seven eight")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert packing.Encoder().encode(["a <|endoftext|> b"]) == [np.array([320, 49407, 321], "<u4").tobytes()]
+    found = corpus_pipeline.packed(spark, docs, "").collect()
+    ids = {i: [*plain.encode(t or "", add_special_tokens=False).ids, packing.END] for i, t in rows}
+    assert len(found) == len(rows)
+    for r in found:
+        assert np.frombuffer(r["ids"], "<u4").tolist() == ids[r["doc_id"]] and r["length"] == len(ids[r["doc_id"]])
+        assert r["ids_crc32"] == zlib.crc32(r["ids"])
+
+
 def test_language_held_out(spark):
     draw = random.Random(4)
     alphabets = {"aa": "abcde", "bb": "fghij", "cc": "kéèàl"}
