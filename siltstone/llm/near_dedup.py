@@ -11,7 +11,8 @@ Whole groups without all pairs:
    the main one, then with the other outsiders of the band. Both go by blocks: a row per class and block, not one per pair. So every pair
    that shares a band is compared, or already lies in one component: no link that the bands propose is lost.
 Confirmation counts shared shingles of the full sets (64-bit hashes of the words). Hot representatives, components and query lists are cut into
-blocks of bounded size, so that no task holds a whole group.
+blocks of bounded size, so that no task holds a whole group. Of a block's links only those are written that join what the block has not joined
+yet: at most one a class, however many pairs are alike.
 
 Words: A-Z lower-cased, split at ASCII white space. Fewer words than a shingle: the whole sequence is one shingle. Null or blank text: the
 empty set, linked with nothing. Null doc_id: such a document takes part, and its component's id is the smallest id that isn't null, or null.
@@ -32,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import by_batches, read, staged
+from siltstone.llm.shared import Scratch, by_batches, numbered, read, staged
 
 PERMUTATIONS, ROWS, BLOCK = 96, 6, 512
 #: Words whose hashes a Python worker keeps; workers outlive their tasks.
@@ -115,9 +116,10 @@ def _signed(docs: DataFrame, size: int, permutations: int, rows: int) -> DataFra
                 if c is not None and c not in known:
                     known[c] = band_keys(min_max(s, permutations), rows)
                 keys.append((c, known.get(c)))
-            yield pd.DataFrame({"uid": batch["uid"], "doc_id": batch["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "class": [c for c, _ in keys], "bands": [k for _, k in keys]})
+            yield pd.DataFrame({"file": batch["file"], "place": batch["place"], "doc_id": batch["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "class": [c for c, _ in keys], "bands": [k for _, k in keys]})
 
-    return by_batches(docs.select("uid", "doc_id", "text"), sign, "uid long, doc_id long, n_shingles long, class binary, bands array<long>")
+    found = by_batches(docs.select("uid.file", "uid.place", "doc_id", "text"), sign, "file long, place long, doc_id long, n_shingles long, class binary, bands array<long>")
+    return found.select(F.struct("file", "place").alias("uid"), "doc_id", "n_shingles", "class", "bands")
 
 
 def _sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
@@ -148,8 +150,26 @@ def linked(block: list[tuple[bytes, np.ndarray]], queries: Iterator[tuple[bytes,
             yield name, block[i][0]
 
 
-def _confirmed(members: DataFrame, queries: DataFrame, sets: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Links (a, b) between the queries and the members of one group; both: group string, class. every: all links, else one per query and block."""
+def joining(links: Iterator[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
+    """The links that join what the ones before have not joined: the same components from at most one link a node."""
+    up: dict[bytes, bytes] = {}
+
+    def top(x: bytes) -> bytes:
+        while (over := up.setdefault(x, x)) != x:
+            up[x] = x = up[over]
+        return x
+
+    out = []
+    for a, b in links:
+        x, y = top(a), top(b)
+        if x != y:
+            up[x] = y
+            out.append((a, b))
+    return out
+
+
+def _confirmed(members: DataFrame, queries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the queries and members of one group as all their links would; both: group string, class."""
     rows = members.select("group", F.lit(0).alias("role"), "class").unionByName(queries.select("group", F.lit(1).alias("role"), "class"))
     rows = rows.join(sets, "class").repartition("group").sortWithinPartitions("group", "role")
 
@@ -157,8 +177,7 @@ def _confirmed(members: DataFrame, queries: DataFrame, sets: DataFrame, percent:
         group, block, asked = None, [], []
 
         def flush() -> list[tuple[bytes, bytes]]:
-            found = linked(block, asked, percent) if block and asked else ()
-            return list(found if every else {a: (a, b) for a, b in found}.values())
+            return joining(linked(block, asked, percent)) if block and asked else []
 
         for batch in batches:
             out: list[tuple[bytes, bytes]] = []
@@ -175,15 +194,15 @@ def _confirmed(members: DataFrame, queries: DataFrame, sets: DataFrame, percent:
     return by_batches(rows.select("group", "role", "class", "set"), stream, "a binary, b binary")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, stage=staged) -> DataFrame:
     """node and root (the smallest node reachable) of every node of the edges (a, b): smallest labels and pointer jumping."""
-    both = staged(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    label = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    both = stage(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    label = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
         near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("root").alias("near"))
         pulled = label.join(near, label["node"] == near["a"]).select("node", F.col("root").alias("old"), F.least("root", "near").alias("to"))
         jump = label.select(F.col("node").alias("to"), F.col("root").alias("far"))
-        new = staged(pulled.join(jump, "to").select("node", "old", F.least("to", "far").alias("root")))
+        new = stage(pulled.join(jump, "to").select("node", "old", F.least("to", "far").alias("root")))
         if new.where(F.col("old") != F.col("root")).isEmpty():
             return new.select("node", "root")
         label = new.select("node", "root")
@@ -191,58 +210,57 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles, class, component_id and kept, one row per row of docs (doc_id, text)."""
-    numbered = staged(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("uid")))
-    return grouped(numbered, **options).drop("uid", "stays")
+    with Scratch(docs.sparkSession) as stage:
+        return staged(grouped(numbered(docs).select("uid", "row.doc_id", "row.text"), stage, **options).drop("uid", "stays"))
+
 
+def grouped(docs: DataFrame, stage: Scratch, size: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
+    """uid, doc_id, n_shingles, class, component_id, stays and kept, one row per row of docs (uid: a struct that tells rows apart, doc_id, text).
 
-def grouped(docs: DataFrame, size: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
-    """uid, doc_id, n_shingles, class, component_id, stays and kept, one row per row of docs (uid: one for each row of a staged table, doc_id, text)."""
-    signed = staged(_signed(docs, size, permutations, rows))
+    To be read before the block of `stage` ends."""
+    signed = stage(_signed(docs, size, permutations, rows))
     plain = signed.select("uid", "doc_id", "n_shingles", "class")
     full = signed.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("head"))
     # one row of bands per class
-    bands = signed.where(F.col("class").isNotNull()).select("class", F.explode("bands").alias("key")).distinct()
-    bands = staged(bands)
+    bands = stage(signed.where(F.col("class").isNotNull()).select("class", F.explode("bands").alias("key")).distinct())
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    shared = staged(bands.join(shared, "key"))
+    shared = stage(bands.join(shared, "key"))
     centre = shared.groupBy("class").agg(F.sum("n").alias("fullness"))
     lead = shared.join(centre, "class").groupBy("key").agg(F.max(F.struct("fullness", "class"))["class"].alias("lead"))
     votes = shared.join(lead, "key").groupBy("class", "lead").agg(F.count("*").alias("votes"))
-    star = votes.where(F.col("class") != F.col("lead")).groupBy("class").agg(F.max(F.struct("votes", "lead"))["lead"].alias("lead"))
-    star = staged(star)
+    star = stage(votes.where(F.col("class") != F.col("lead")).groupBy("class").agg(F.max(F.struct("votes", "lead"))["lead"].alias("lead")))
     wanted = shared.select("class").distinct().join(full, "class").select("class", "head.uid")
-    sets = staged(_sets(docs, wanted, size))
+    sets = stage(_sets(docs, wanted, size))
     # a representative's classes, in chunks of bounded size
     often = star.groupBy("lead").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("chunks"))
     chunked = star.join(often, "lead").withColumn("group", F.concat_ws("/", F.hex("lead"), F.pmod(F.xxhash64("class"), F.col("chunks"))))
-    first = staged(_confirmed(chunked.select("group", F.col("lead").alias("class")).distinct(), chunked.select("group", "class"), sets, percent, True))
-    root = components(first)
-    outsiders = staged(_outsiders(shared, root))
-    rest = _against_main(shared, root, outsiders)
-    links = staged(first.unionByName(_confirmed(rest.where("role = 0"), rest.where("role = 1"), sets, percent, False)))
-    root = components(links)
-    rest = _among(outsiders, root)
-    last = _confirmed(rest.where("role = 0"), rest.where("role = 1"), sets, percent, True).where("a < b")
-    root = components(links.unionByName(last))
-    least = full.join(root, full["class"] == root["node"], "left").select("class", "head", F.coalesce("root", "class").alias("root"))
-    least = staged(least)
-    smallest = staged(least.groupBy("root").agg(F.min("head").alias("head")))
+    first = stage(_confirmed(chunked.select("group", F.col("lead").alias("class")).distinct(), chunked.select("group", "class"), sets, percent))
+    root = components(first, stage)
+    outsiders = stage(_outsiders(shared, root))
+    rest = _against_main(shared, root, outsiders, stage)
+    links = stage(first.unionByName(_confirmed(rest.where("role = 0"), rest.where("role = 1"), sets, percent)))
+    root = components(links, stage)
+    rest = _among(outsiders, root, stage)
+    last = _confirmed(rest.where("role = 0"), rest.where("role = 1"), sets, percent).where(F.col("a") != F.col("b"))
+    root = components(links.unionByName(last), stage)
+    least = stage(full.join(root, full["class"] == root["node"], "left").select("class", "head", F.coalesce("root", "class").alias("root")))
+    smallest = stage(least.groupBy("root").agg(F.min("head").alias("head")))
     of_class = least.select("class", "root").join(smallest, "root").select("class", F.col("head.doc_id").alias("component_id"), F.col("head.uid").alias("first"))
     out = plain.join(of_class, "class", "left").withColumn("component_id", F.coalesce("component_id", F.when(F.col("class").isNull(), F.col("doc_id"))))
     out = out.withColumn("stays", F.col("class").isNull() | (F.col("uid") == F.col("first"))).drop("first")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), "stays"))
 
 
-def _blocked(members: DataFrame, queries: DataFrame) -> DataFrame:
+def _blocked(members: DataFrame, queries: DataFrame, stage: Scratch) -> DataFrame:
     """Rows (group, role, class) that bring every query (what, class) to every member (what, class) of its `what`, in blocks of both."""
     count = lambda rows, name: rows.groupBy("what").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias(name))
-    parts = staged(count(members, "blocks").join(count(queries, "chunks"), "what"))
+    parts = stage(count(members, "blocks").join(count(queries, "chunks"), "what"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     part = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
     group = F.concat_ws("/", "what", "block", "chunk").alias("group")
     left = members.join(parts, "what").withColumn("block", part("blocks")).withColumn("chunk", every("chunks")).select(group, F.lit(0).alias("role"), "class")
     right = queries.join(parts, "what").withColumn("chunk", part("chunks")).withColumn("block", every("blocks")).select(group, F.lit(1).alias("role"), "class")
-    return staged(left.unionByName(right))
+    return stage(left.unionByName(right))
 
 
 def _outsiders(shared: DataFrame, root: DataFrame) -> DataFrame:
@@ -253,26 +271,27 @@ def _outsiders(shared: DataFrame, root: DataFrame) -> DataFrame:
     return placed.join(main.select("key", "main"), "key").where(F.col("root") != F.col("main")).select("key", "class", "main")
 
 
-def _against_main(shared: DataFrame, root: DataFrame, outsiders: DataFrame) -> DataFrame:
+def _against_main(shared: DataFrame, root: DataFrame, outsiders: DataFrame, stage: Scratch) -> DataFrame:
     """Groups of outsiders with the members of the main components of their bands."""
-    queries = staged(outsiders.select(F.hex("main").alias("what"), "class").distinct())
+    queries = stage(outsiders.select(F.hex("main").alias("what"), "class").distinct())
     whole = shared.select("class").distinct().join(root, F.col("class") == F.col("node"), "left").select(F.hex(F.coalesce("root", "class")).alias("what"), "class")
-    return _blocked(whole.join(queries.select("what").distinct(), "what", "left_semi"), queries)
+    return _blocked(whole.join(queries.select("what").distinct(), "what", "left_semi"), queries, stage)
 
 
-def _among(outsiders: DataFrame, root: DataFrame) -> DataFrame:
+def _among(outsiders: DataFrame, root: DataFrame, stage: Scratch) -> DataFrame:
     """Groups of outsiders of one band that are still in different components."""
     placed = outsiders.join(root, F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("root", "class").alias("root"))
     mixed = placed.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("key")
-    rows = staged(placed.join(mixed, "key").select(F.col("key").cast("string").alias("what"), "class"))
-    return _blocked(rows, rows)
+    rows = stage(placed.join(mixed, "key").select(F.col("key").cast("string").alias("what"), "class"))
+    return _blocked(rows, rows, stage)
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """docs without near-copies: of each component one row stays, the one of the smallest doc_id (null last; of several rows of that id, one)."""
-    numbered = staged(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid")))
-    found = grouped(numbered.select("uid", "row.doc_id", "row.text"), **options)
-    return numbered.join(found.where("stays").select("uid"), "uid", "left_semi").select("row.*")
+    rows = numbered(docs)
+    with Scratch(docs.sparkSession) as stage:
+        gone = staged(grouped(rows.select("uid", "row.doc_id", "row.text"), stage, **options).where(~F.col("stays")).select("uid"))
+    return rows.join(gone, "uid", "left_anti").select("row.*")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,36 +1,78 @@
-"""Helpers shared by the operators of this subpackage: tables in the shared folder, exact global order, hashes."""
+"""Helpers shared by the operators of this subpackage: tables in the shared folder, row numbers, exact global order, hashes."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from types import TracebackType
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session of one machine gets a temporary one; a cluster gets an error."""
+    folder, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not folder:
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-        folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+        if context._jsc.sc().getCheckpointDir().isEmpty():
+            if not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = context._jsc.sc().getCheckpointDir().get()
     return folder.rstrip("/")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, fixes row ids, survives lost executors, and gives Spark the true size."""
+def staged(df: DataFrame, under: str = "staged") -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors, and gives Spark the true size."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/staged/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{under}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Staged tables that live no longer than a block: `with Scratch(spark) as staged`. Leaving it removes them from the shared folder.
+
+    Results that are still to be read go through the function `staged` instead."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.under = spark, f"scratch/{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return staged(df, self.under)
+
+    def __exit__(self, kind: type | None = None, error: BaseException | None = None, trace: TracebackType | None = None) -> None:
+        removed(self.spark, f"{shared_folder(self.spark)}/{self.under}")
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a folder, on whatever file system it lies."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """`row` (all columns of docs in a struct) and `uid`, a struct that tells the rows apart.
+
+    Of a table as read from Parquet it is the row's file and place there, so nothing is written and every later reading gives the same. What has
+    no such place is staged first. A table whose rows were multiplied after reading (exploded) must be staged by the caller."""
+    whole = F.struct(*docs.columns).alias("row")
+    try:
+        at = docs.metadataColumn("_metadata")
+        return docs.select(whole, F.struct(F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("place")).alias("uid"))
+    except AnalysisException:
+        return numbered(staged(docs))
+
+
 def by_batches(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInPandas for rows with long texts: Arrow batches of at most BATCH_ROWS rows (a setting of the session), so that a worker holds few of them."""
+    """mapInPandas for rows with long texts: Arrow batches of at most BATCH_ROWS rows, so that a worker holds few of them. The limit is a setting of the session."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return df.mapInPandas(function, schema)
 
@@ -39,22 +81,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
+def ranked(df: DataFrame, order: list, name: str, stage=staged) -> DataFrame:
     """Adds a 0-based global position by `order`, with no single-task sort: range partitions, then offsets by partition.
 
-    The offsets are one row per partition, so the broadcast does not grow with the rows.
+    The offsets are one row per partition, so their window and broadcast don't grow with the rows.
     """
-    spark = df.sparkSession
-    part = staged(
-        df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_in": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
-    )
-    sizes = sorted((r["_part"], r["n"]) for r in part.groupBy("_part").agg(F.count("*").alias("n")).collect())
-    offsets, so_far = [], 0
-    for p, n in sizes:
-        offsets.append((p, so_far))
-        so_far += n
-    table = spark.createDataFrame(offsets, "_part int, _offset long")
-    return part.join(F.broadcast(table), "_part").withColumn(name, F.col("_offset") + F.col("_in")).drop("_part", "_in", "_offset")
+    n = partitions(df.sparkSession)
+    part = stage(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_in": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    offsets = part.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", before.alias("_offset"))
+    return part.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + F.col("_in")).drop("_part", "_in", "_offset")
 
 
 def unit(*columns) -> F.Column:
