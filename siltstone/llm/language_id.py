@@ -5,7 +5,7 @@ inverse document frequency, scaled to length 1. Document frequencies count every
 
 Training: FTRL-proximal with L1 and L2 penalties (the elastic net; L1 leaves the weights sparse). The weights are fitted on a bounded sample: at most
 `per_language` documents of each language, by a seeded hash. In each round every shard of the sample runs FTRL from the common state, and
-the states are averaged. A tenth of the sample is not trained on; it gives the temperature that minimises its log loss.
+their steps are averaged, by place and in Spark. A tenth of the sample is not trained on; it gives the temperature that minimises its log loss.
 
 Prediction reads nothing but the text. Text null or without a letter: `und`, score 0. Nothing to learn from: `und`, score 0, everywhere.
 Null lang: not learned from, predicted like any other. Null doc_id: neither held out nor learned from. Repeated rows are predicted alike; ties go
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import by_batches, read, staged, unit
+from siltstone.llm.shared import Scratch, by_batches, read, unit
 
 BITS = 15
 PLACES = 1 << BITS
@@ -115,7 +115,8 @@ def _shard(z: np.ndarray, n: np.ndarray, seed: int):
         part = part.sort_values(["deal", "label"], kind="stable")
         order = np.random.default_rng(seed).permutation(len(part))
         ftrl([(np.asarray(part["at"].iloc[i]), np.asarray(part["x"].iloc[i]), int(part["label"].iloc[i])) for i in order], own_z, own_n)
-        return pd.DataFrame({"z": [own_z.astype(np.float32).tobytes()], "n": [own_n.astype(np.float32).tobytes()]})
+        moved = np.flatnonzero((own_n != n).any(axis=0))
+        return pd.DataFrame({"place": moved.astype(np.int32), "z": list((own_z - z)[:, moved].T.astype(np.float32)), "n": list((own_n - n)[:, moved].T.astype(np.float32))})
 
     return train
 
@@ -154,20 +155,25 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 5) -> Mod
             rows = [weighted(t, idf) for t in batch["text"]]
             yield pd.DataFrame({"deal": batch["deal"], "label": batch["lang"].map(label), "at": [a for a, _ in rows], "x": [x for _, x in rows]})
 
-    rows = staged(by_batches(sample, featured, "deal int, label int, at array<int>, x array<double>"))
-    trained = rows.where(F.col("deal") % 10 != 0).withColumn("shard", F.floor(F.col("deal") / 10).cast("int"))
-    z, n = np.zeros((len(languages), PLACES)), np.zeros((len(languages), PLACES))
-    for _ in range(ROUNDS):
-        states = trained.groupBy("shard").applyInPandas(_shard(z, n, seed), "z binary, n binary").collect()
-        if not states:
-            break
-        read_back = lambda k: np.mean([np.frombuffer(s[k], np.float32).reshape(z.shape) for s in states], axis=0).astype(np.float64)  # noqa: E731, B023
-        z, n = read_back("z"), read_back("n")
-    model = Model(languages, weights_of(z, n), idf, 1.0)
-    model.temperature = _temperature(rows.where(F.col("deal") % 10 == 0), model.weights)
+    with Scratch(docs.sparkSession) as stage:
+        rows = stage(by_batches(sample, featured, "deal int, label int, at array<int>, x array<double>"))
+        trained = rows.where(F.col("deal") % 10 != 0).withColumn("shard", F.floor(F.col("deal") / 10).cast("int"))
+        z, n = np.zeros((len(languages), PLACES)), np.zeros((len(languages), PLACES))
+        for _ in range(ROUNDS):
+            _averaged(trained.groupBy("shard").applyInPandas(_shard(z, n, seed), "place int, z array<float>, n array<float>"), z, n)
+        model = Model(languages, weights_of(z, n), idf, 1.0)
+        model.temperature = _temperature(rows.where(F.col("deal") % 10 == 0), model.weights)
     return model
 
 
+def _averaged(steps: DataFrame, z: np.ndarray, n: np.ndarray) -> None:
+    """Moves z and n by the mean of the shards' steps. Spark adds the steps of a place, so the driver gets each place of the model once a round."""
+    added = lambda c: F.aggregate(F.collect_list(c), F.array_repeat(F.lit(0.0), len(z)), lambda s, x: F.zip_with(s, x, lambda a, b: a + b)).alias(c)
+    for r in steps.groupBy("place").agg(added("z"), added("n")).toLocalIterator():
+        z[:, r["place"]] += np.array(r["z"]) / SHARDS
+        n[:, r["place"]] += np.array(r["n"]) / SHARDS
+
+
 def _temperature(rows: DataFrame, weights: np.ndarray) -> float:
     """The temperature of least log loss over rows, of a fixed grid; 1 without rows."""
     grid = np.exp(np.linspace(np.log(0.05), np.log(5), 60))
