@@ -7,12 +7,16 @@ what lies beside its `article` or `main`, or where it is in none, up to the lowe
 
 The text of a block: character references decoded, white space runs made one space, trimmed; blocks in page order joined by one newline. A
 `br` ends a block. Null, empty or text-free pages: an empty text. Every row is extracted from its whole html; repeated rows alike.
+
+Reading is linear in the page, broken markup included: what is known to be missing from here on (a `>`, a closing quote) isn't looked for again,
+open elements are found by their names, not by climbing, and a page whose quotes never close often ends its tags at the next `>`. A `<` that
+starts no tag is text.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -22,7 +26,10 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.shared import read
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"(/?)([A-Za-z][^\s/>]*)")
+STOP = re.compile("[>\"']")
+#: Tags of a page that may end at a quoted `>` for want of a closing quote, before quotes no longer count.
+UNCLOSED = 100
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?")
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -69,32 +76,99 @@ def _outside(tag: str, attributes: str) -> bool:
     return False
 
 
+class _Tags:
+    """The tags of a page in order, as (start, end, closing, name, attributes); a comment or declaration has no name."""
+
+    def __init__(self, html: str):
+        self.html, self.missing, self.unclosed = html, set(), 0
+
+    def _find(self, what: str, at: int) -> int:
+        if what in self.missing:
+            return -1
+        found = self.html.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def _end(self, at: int) -> int:
+        """The place of the `>` that ends a tag, quoted ones passed over; -1 if none does."""
+        first = self._find(">", at)
+        if first < 0 or self.unclosed > UNCLOSED:
+            return first
+        while (m := STOP.search(self.html, at)) is not None:
+            at = m.end()
+            if m[0] == ">":
+                return m.start()
+            closing = self._find(m[0], at)
+            if closing >= 0:
+                at = closing + 1
+        self.unclosed += 1
+        return first
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        html = self.html
+        while (at := html.find("<", at)) >= 0:
+            if html.startswith("<!--", at):
+                end = self._find("-->", at + 4)
+                return at, end + 3 if end >= 0 else len(html), False, "", ""
+            if html.startswith(("<!", "<?"), at):
+                end = self._find(">", at)
+                return at, end + 1 if end >= 0 else len(html), False, "", ""
+            m = NAME.match(html, at + 1)
+            end = self._end(m.end()) if m else -1
+            if end >= 0:
+                return at, end + 1, bool(m[1]), m[2].lower(), html[m.end() : end]
+            if m and ">" in self.missing:
+                return None
+            at += 1
+        return None
+
+
+class _Open:
+    """The open elements, innermost last, with the places of each name."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {root.tag: [0]}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def inner(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element of these names; 0 (the page itself) if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, place: int) -> None:
+        """Closes the element at a place and all inside it; the page stays."""
+        while len(self.nodes) > max(place, 1):
+            self.places[self.nodes.pop().tag].pop()
+
+
 def tree(html: str) -> Node:
     """The block elements of a page, with their texts."""
-    root = here = Node("html", None, False)
+    root = Node("#page", None, False)
+    tags, stack = _Tags(html), _Open(root)
     links, at = 0, 0
     while at < len(html):
-        m = TAG.search(html, at)
-        text = html[at : m.start() if m else len(html)]
+        found = tags.after(at)
+        here = stack.nodes[-1]
+        text = html[at : found[0] if found else len(html)]
         if text:
             here.children.append((text, links > 0))
-        if not m:
+        if not found:
             break
-        at, tag = m.end(), (m[2] or "").lower()
+        _, at, closing, tag, attributes = found
         if not tag:
             continue
-        if m[1]:
+        if closing:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in INLINE or tag in VOID or tag in RAW:
                 if tag == "br":
                     here.children.append(None)
-            else:
-                node = here
-                while node.parent and node.tag != tag:
-                    node = node.parent
-                if node.parent and node.tag == tag:
-                    here, links = node.parent, 0
+            elif place := stack.inner((tag,)):
+                stack.close(place)
+                links = 0
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
@@ -103,25 +177,23 @@ def tree(html: str) -> Node:
             links += 1
         elif tag in ("br", "hr"):
             here.children.append(None)
-        elif tag in INLINE or tag in VOID or tag in ("html", "body"):
-            if tag in ("html", "body"):
-                while here.parent and here.tag == "head":
-                    here = here.parent
-        else:
-            node = here
+        elif tag in ("html", "body"):
+            if place := stack.inner(("head",)):
+                stack.close(place)
+        elif tag not in INLINE and tag not in VOID:
             if tag in CLOSES:
-                kinds, stop = CLOSES[tag]
-                while node.parent and node.tag not in stop and node.tag not in kinds:
-                    node = node.parent
-                if node.parent and node.tag in kinds:
-                    here = node.parent
-                    while tag == "tr" and here.parent and here.tag == "tr":
-                        here = here.parent
-            elif here.tag == "p" and here.parent:
-                here = here.parent
-            child = Node(tag, here, here.outside or _outside(tag, m[3]))
+                kinds, stops = CLOSES[tag]
+                place = stack.inner(kinds)
+                if place > stack.inner(stops):
+                    stack.close(place)
+                    if tag == "tr" and (row := stack.inner(("tr",))) > stack.inner(("table",)):
+                        stack.close(row)
+            elif here.tag == "p":
+                stack.close(len(stack.nodes) - 1)
+            here = stack.nodes[-1]
+            child = Node(tag, here, here.outside or _outside(tag, attributes))
             here.children.append(child)
-            here = child
+            stack.push(child)
     return root
 
 
@@ -175,7 +247,7 @@ def main_text(html: str | None) -> str:
             node.parent.linked += node.linked
         if own and node.parent:
             points = 1 + text.count(",") + min(own / 100, 3)
-            first, second = (node, node.parent) if node.tag in ("div", "article", "main", "section", "body", "html", "td") else (node.parent, node.parent.parent)
+            first, second = (node, node.parent) if node.tag in ("div", "article", "main", "section", "body", "#page", "td") else (node.parent, node.parent.parent)
             first.points += points
             if second:
                 second.points += points / 2
