@@ -1,13 +1,20 @@
-"""Exact top-k search by inner product, with no random access into the lists (NRA), over blocks of candidates.
+"""Exact top-k search by inner product without random access (NRA), over blocks of candidates.
 
-The integer vectors of a block make one list per dimension, sorted by component. A query reads every list from its good end, all lists to
-the same depth. What a list has shown is known; what it has not shown is at most its frontier and at least its worst end. So every candidate
-has a lower and an upper bound; when no outsider's upper bound reaches the k-th lower bound, reading stops, and only the candidates that still
-qualify get their final scores. Reading goes by chunks of depth, for all queries of a block at once: with the components clipped at the
-frontier, both bounds are matrix products. Sums are of integers in float64 while they stay below 2^53, else exact in Python integers.
+The integer vectors of a block make one list per dimension, sorted by component. A query reads the lists one after the other, those first where
+its own components are largest. What a candidate has shown is its score so far; what it has not shown is bounded from both sides by the rest of
+its norm times the rest of the query's norm (Cauchy-Schwarz), and by the ends of the lists not yet read. So every candidate has a lower and an
+upper bound. The first list is read from its good end down to the frontier where no candidate behind it, whatever it holds elsewhere, reaches the
+k-th lower bound; those are never read at all. Of the later lists only the entries of candidates that still qualify are read: after each few lists
+the k-th lower bound rises and the others go. When all lists are read, the survivors' scores are final.
 
-Blocks: candidates fall into blocks of bounded size, queries as well, and every pair of blocks is a task: the query set against all rows, in
-blocks. Each returns k rows a query at most; the ranks of those meet in a window that Spark limits to k rows before the shuffle.
+The k-th lower bound doesn't start from nothing: a first pass finds each query's k-th score among a sample of candidates (a bound like any other: the
+true k-th score is no lower, and nothing is dropped that could reach it).
+
+Sums are of integers in float64 while they can't pass 2^53, else of Python integers, by the same steps; bounds are floats, widened by more than they can err.
+
+Blocks: candidates are dealt into blocks of bounded size, once; each block's task holds its lists and streams the queries by, which come to every
+block with their bound. That is the query set against all rows, in blocks, so work and traffic grow with both. Each task returns at most k rows a
+query; the ranks of those meet in a window that Spark limits to k rows before the shuffle.
 
 Vectors that are null, empty or hold null, NaN or infinite components take no part. Only vectors of the query's length are its candidates.
 Ties go to the smaller vec_id, then to any order for repeated rows; a query's own id is never its result. No queries or no candidates: no rows.
@@ -23,10 +30,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import partitions, read
+from siltstone.llm.shared import Scratch, partitions, read, staged
 
-EXACT = float(1 << 53)
-DEPTHS = (1 / 16, 1 / 4, 1 / 2)
+#: Lists read before the candidates are looked over again, and candidates of the sample for the first bound.
+TOGETHER, SAMPLE = 6, 4096
+WHOLE = 1 << 53
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -36,64 +44,106 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     return vectors.where(x.isNotNull() & (F.size(x) > 0)).where(whole).select("vec_id", F.transform(x, lambda v: F.floor(v.cast("double") * scale)).alias("x"))
 
 
-def block_topk(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-    """(query, candidate, score) of each query's k best in this block; rows whose ids equal the query's are left out."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    n, d = x.shape
-    if d * float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) >= EXACT:  # beyond float64: every score, in Python integers
-        scores = q.astype(object) @ x.T.astype(object)
-        for i, me in enumerate(q_ids):
-            own = [(-s, j, s) for s, j in zip(scores[i], ids, strict=True) if j != me]
-            yield from ((me, j, s) for _, j, s in sorted(own)[:k])
-        return
-    lists = np.sort(x, axis=0).astype(np.float64)  # each column is a sorted list, read from either end
-    low, high = lists[0], lists[-1]
-    xf, qf = x.astype(np.float64), q.astype(np.float64)
-    up, down = np.maximum(qf, 0), np.minimum(qf, 0)
-    waiting = np.arange(len(q))
-    for depth in (*DEPTHS, 1.0):
-        read_to = max(1, math.ceil(depth * n))
-        if read_to < n:
-            top, bottom = lists[n - read_to], lists[read_to - 1]  # the frontiers: from the large end, and from the small end
-            upper = up[waiting] @ np.where(xf >= top, xf, top).T + down[waiting] @ np.where(xf <= bottom, xf, bottom).T
-            lower = up[waiting] @ np.where(xf >= top, xf, low).T + down[waiting] @ np.where(xf <= bottom, xf, high).T
-        else:
-            upper = lower = qf[waiting] @ xf.T
-        own = q_ids[waiting][:, None] == ids[None, :]
-        lower = np.where(own, -np.inf, lower)
-        upper = np.where(own, -np.inf, upper)
-        kth = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(waiting), -np.inf)
-        alive = (upper >= kth[:, None]) & ~own
-        done = (alive.sum(axis=1) <= max(4 * k, n // 64)) | (read_to >= n)
-        for row in np.flatnonzero(done):
-            i, rest = waiting[row], np.flatnonzero(alive[row])
-            final = x[rest] @ q[i]  # the final scores, of those who still qualify
-            best = np.lexsort((ids[rest], -final))[:k]
-            yield from zip([int(q_ids[i])] * len(best), ids[rest][best].tolist(), final[best].tolist(), strict=True)
-        waiting = waiting[~done]
-        if not len(waiting):
-            return
-
-
-def topk(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096, query_block: int = 1024) -> DataFrame:
-    """query_id, rank, vec_id, score of each query's k best. Both inputs: vec_id and x, integers."""
-    spark = vectors.sparkSession
-    n, m = vectors.count(), queries.count()
-    blocks = max(math.ceil(n / block), min(partitions(spark), math.ceil(n / 256)), 1)
-    groups = max(math.ceil(m / query_block), 1)
-    deal = lambda count: F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(count)).cast("int")
+class Block:
+    """The sorted lists of a block of candidates. `read` counts the entries that queries have read, `held` those that reading all would take."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, x = ids[order], x[order]
+        self.by_list = np.ascontiguousarray(x.T)  # one row per dimension
+        self.order = np.argsort(self.by_list, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(self.by_list, self.order, axis=1)
+        self.floats = self.by_list.astype(np.float64)
+        self.norms = np.einsum("ij,ij->j", self.floats, self.floats)
+        self.largest = float(np.sqrt(self.norms.max()))
+        self.peak = int(np.abs(x).max())
+        self.read = self.held = 0
+
+    def first_list(self, of: int, weight: int, rest: float, floor: float) -> np.ndarray:
+        """The candidates of a list, from its good end down to the frontier behind which none reaches `floor`."""
+        values, order = self.sorted[of], self.order[of]
+        if not weight or floor == -np.inf:
+            return order
+        frontier = (floor - rest * self.largest) / weight
+        frontier -= math.copysign(1 + 1e-9 * abs(frontier), weight)
+        if weight > 0:
+            return order[np.searchsorted(values, frontier, "left") :]
+        return order[: np.searchsorted(values, frontier, "right")]
+
+    def topk(self, me: int, q: np.ndarray, k: int, floor: float = -np.inf) -> list[tuple[int, int]]:
+        """(candidate, score), the best first, of those that can reach `floor`, a lower bound of the k-th score. Candidates of the query's own id are left out."""
+        d = len(q)
+        exact = d * self.peak * int(np.abs(q).max()) >= WHOLE
+        q, held = (q.astype(object), self.by_list) if exact else (q.astype(np.float64), self.floats)
+        lists = np.argsort(-np.abs(q).astype(np.float64), kind="stable")
+        weights = np.abs(q[lists]).astype(np.float64)
+        rest = np.sqrt(np.append(np.cumsum((weights**2)[::-1])[::-1], 0.0)) * (1 + 1e-9)
+        ends = np.maximum(np.abs(self.sorted[lists, 0]), np.abs(self.sorted[lists, -1])).astype(np.float64)
+        ends = np.append(np.cumsum((weights * ends)[::-1])[::-1], 0.0)
+        alive = self.first_list(lists[0], q[lists[0]], rest[1], floor)
+        alive = np.sort(alive[self.ids[alive] != me])
+        score, left = np.zeros(len(alive), q.dtype), self.norms[alive]
+        self.held += d * len(self.ids)
+        for at in range(0, d, TOGETHER):
+            some = lists[at : at + TOGETHER]
+            part = np.stack([held[i].take(alive) for i in some])
+            self.read += part.size
+            score = score + q[some] @ (part.astype(object) if exact else part)
+            now = score.astype(np.float64)
+            to = at + len(some)
+            if to == d:
+                break
+            shown = part.astype(np.float64) if exact else part
+            left = np.maximum(left - np.einsum("ij,ij->j", shown, shown), 0)
+            slack = np.minimum(rest[to] * np.sqrt(left + 1e-9 * self.largest**2 + 1), ends[to]) + 1 + 1e-9 * np.abs(now)
+            if len(alive) > k:
+                floor = max(floor, np.partition(now - slack, len(alive) - k)[len(alive) - k])
+            keep = now + slack >= floor
+            alive, score, left = alive[keep], score[keep], left[keep]
+        best = np.lexsort((self.ids[alive], -score))[:k] if not exact else sorted(range(len(alive)), key=lambda i: (-score[i], self.ids[alive[i]]))[:k]
+        return [(int(self.ids[alive[i]]), int(score[i])) for i in best]
+
+
+def _searched(vectors: DataFrame, queries: DataFrame, blocks: int, k: int) -> DataFrame:
+    """query_id, x, vec_id, score: each query's k best of each block. vectors: vec_id, x; queries: query_id, x, floor."""
     at = F.pmod(F.xxhash64("vec_id", F.hash("x"), F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
-    right = vectors.select(at.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.size("x").alias("d"), "vec_id", "x")
-    left = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), deal(groups).alias("g"), F.size("x").alias("d"), "vec_id", "x")
-
-    def search(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        rows = block_topk(a["vec_id"].to_numpy(), np.stack(a["x"]), c["vec_id"].to_numpy(), np.stack(c["x"]), k) if len(a) and len(c) else []
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    near = left.groupBy("b", "g", "d").cogroup(right.groupBy("b", "g", "d")).applyInPandas(search, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = vectors.select(at.alias("b"), F.lit(0).alias("role"), F.size("x").alias("d"), F.col("vec_id").alias("id"), "x", F.lit(None).cast("double").alias("floor"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b")
+    rows = rows.unionByName(queries.select(every, F.lit(1).alias("role"), F.size("x").alias("d"), F.col("query_id").alias("id"), "x", "floor"))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, parts, held = None, [], None
+        for batch in batches:
+            out = []
+            for (b, d, role), some in batch.groupby(["b", "d", "role"], sort=False):
+                if place != (b, d):
+                    place, parts, held = (b, d), [], None
+                if not role:
+                    parts.append((some["id"].to_numpy(), np.stack(some["x"])))
+                elif parts:
+                    held = held or Block(*map(np.concatenate, zip(*parts, strict=True)))
+                    for me, q, floor in zip(some["id"], some["x"], some["floor"], strict=True):
+                        out += [(me, q, i, s) for i, s in held.topk(me, np.asarray(q), k, -np.inf if floor is None or floor != floor else floor)]
+            yield pd.DataFrame(out, columns=["query_id", "x", "vec_id", "score"])
+
+    return rows.repartition(min(blocks, 4 * partitions(vectors.sparkSession)), "b").sortWithinPartitions("b", "d", "role").mapInPandas(search, "query_id long, x array<long>, vec_id long, score long")
+
+
+def topk(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 16384) -> DataFrame:
+    """query_id, rank, vec_id, score of each query's k best. Both inputs: vec_id and x, integers; queries: distinct rows."""
+    spark = vectors.sparkSession
+    n = vectors.count()
+    asked = queries.select(F.col("vec_id").alias("query_id"), "x")
+    dealt = F.pmod(F.xxhash64("vec_id", F.hash("x"), F.monotonically_increasing_id(), F.lit(5)), F.lit(max(1, n // SAMPLE)))
+    with Scratch(spark) as stage:
+        # the sample's k-th score is a floor; with fewer than k rows there is none
+        first = _searched(vectors.where(dealt == 0), asked.withColumn("floor", F.lit(None).cast("double")), 1, k)
+        floors = stage(first.groupBy("query_id", "x").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") >= k))
+        bounded = asked.join(floors, ["query_id", "x"], "left").select("query_id", "x", F.col("least").cast("double").alias("floor"))
+        blocks = max(math.ceil(n / block), min(partitions(spark), math.ceil(n / 1024)), 1)
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        near = _searched(vectors, bounded, blocks, k).select("query_id", "vec_id", "score")
+        return staged(near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
 
 
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
