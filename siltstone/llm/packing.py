@@ -4,15 +4,17 @@ Tokens: ids by a public vocabulary, then the end id. The vocabulary works word b
 encoded. Longer documents are cut into whole sequences and a last piece; no other is cut. A text that holds a special token's content goes to the
 vocabulary's tokenizer whole, which gives it that token's id. Pieces carry their ids; packing goes by sizes alone and meets them again at the end.
 
-Rounds, until no piece is left:
+Rounds, until no piece is left, each the same:
 1. Open gaps: with none open, as many empty sequences as the rest needs at least.
-2. Range-sort pieces and gaps together by size, and sweep each range: a gap takes the largest piece below it that no smaller gap has taken
-   (a stack). What a range can't match itself is a run of gaps and a run of pieces; those runs are matched by their counts alone, two numbers
-   per range, and the pieces and gaps of matched runs meet by rank.
-3. A gap that got a piece shrinks by it; a gap that got none fits nothing that is left, and closes.
-The first rounds give each gap one piece. Then mostly pieces much smaller than the gaps are left, and every other round fills: pieces and gaps
-are dealt out evenly, and in each share a gap goes on taking the largest piece that its rest holds. So the number of rounds doesn't follow the
-number of pieces in a sequence (about six, where one piece a round takes dozens).
+2. Range-sort pieces and gaps together by size, and sweep each range: a gap takes its successor, the largest piece below it that no smaller gap
+   has taken (a stack), then the largest that its rest holds, and so on within the range.
+3. What a range can't match itself is a run of gaps and a run of pieces. A run of gaps meets the nearest runs of pieces below it, by counts alone,
+   a few numbers per range: every gap gets as many pieces as surely fit, the smallest gap of the run divided by the largest piece. Where gaps
+   compete for the same pieces, rank decides: the n-th gap takes the n-th lot of pieces from the large end.
+4. Gaps shrink by what they got. A gap that got none fits nothing that is left, and closes.
+So a gap that is wide beside the pieces left is filled by many at once, and the number of rounds doesn't follow the number of pieces in a
+sequence (about a dozen rounds, where one piece a round takes dozens). A range's stack holds the range's pieces; there are as many ranges as
+the shuffle has partitions, fewer once little is left.
 
 Null text is empty: one token, the end id. Repeated rows are pieces of their own. Empty tables give no rows.
 """
@@ -24,6 +26,7 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 from itertools import chain
 
@@ -31,17 +34,15 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from siltstone.llm.shared import by_batches, partitions, read, staged
+from siltstone.llm.shared import Scratch, by_batches, partitions, read, staged
 
 CAPACITY, END, VOCABULARY = 4096, 1, "word_bpe_49k.json"
-#: Rounds over ranges before the first that fills gaps; then every other round fills.
-FILL_AFTER = 2
-#: Pieces and gaps in a share, about.
-SHARE = 20_000
+#: Pieces and gaps in a range at least: the last rounds, over few, need no more ranges than that.
+RANGE = 2000
 WORDS_KEPT, TOGETHER = 600_000, 1000
 #: The vocabulary's own splitting rule, a fixed value of its file.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -131,9 +132,9 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary
     return by_batches(docs.select("doc_id", "text"), cut, "doc_id long, piece int, start long, length long, ids binary")
 
 
-def _swept(pool: DataFrame, fill: int) -> DataFrame:
-    """Matches inside each range of sizes, or inside `fill` even shares of all sizes. kind: 0 piece and 1 gap without a match, with their place in the range's run; 2 a match (gap `id` of
-    `size`, piece `with` of length `place`); 3 what is left of a gap. To fill, a gap goes on with the largest piece that its rest holds."""
+def _swept(pool: DataFrame, ranges: int) -> DataFrame:
+    """Matches inside each of so many ranges of sizes. kind: 0 piece and 1 gap without a match, with their place in the range's run; 2 a match (gap `id` of
+    `size`, piece `with` of length `place`); 3 what is left of a gap."""
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stack: list[tuple[int, int]] = []  # (size, id), rising
@@ -149,7 +150,7 @@ def _swept(pool: DataFrame, fill: int) -> DataFrame:
                     length, piece = stack.pop(at)
                     out.append((part, 2, left, ident, length, piece))
                     left -= length
-                    at = bisect_right(stack, (left, math.inf)) - 1 if fill and left else -1
+                    at = bisect_right(stack, (left, math.inf)) - 1 if left else -1
                 if left == size:
                     out.append((part, 1, size, ident, gaps, 0))
                     gaps += 1
@@ -159,86 +160,103 @@ def _swept(pool: DataFrame, fill: int) -> DataFrame:
         if stack:
             yield pd.DataFrame([(part, 0, size, ident, i, 0) for i, (size, ident) in enumerate(stack)], columns=["part", "kind", "size", "id", "place", "with"])
 
-    n = partitions(pool.sparkSession)
-    dealt = pool.repartition(fill) if fill else pool.repartitionByRange(n, "size", "kind", "id")
-    ranges = dealt.sortWithinPartitions("size", "kind", "id").withColumn("part", F.spark_partition_id())
-    return ranges.select("part", "kind", "size", "id").mapInPandas(sweep, "part int, kind int, size long, id long, place long, with long")
+    dealt = pool.repartitionByRange(ranges, "size", "kind", "id").sortWithinPartitions("size", "kind", "id").withColumn("part", F.spark_partition_id())
+    return dealt.select("part", "kind", "size", "id").mapInPandas(sweep, "part int, kind int, size long, id long, place long, with long")
 
 
-def _runs(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """Matches of runs, from (range, gaps, pieces) in order: (piece range, first piece place, gap range, first gap place, length), pieces from the end."""
-    stack, found = [], []
-    for part, gaps, pieces in counts:
+@dataclass
+class Run:
+    """Pieces [first, end) of one range for the gaps from `gap` of another, `lot` pieces a gap; the last piece goes to the first gap."""
+
+    owner: int
+    first: int
+    end: int
+    part: int
+    gap: int
+    lot: int
+
+    @property
+    def gaps(self) -> int:
+        return -(-(self.end - self.first) // self.lot)
+
+
+def _runs(counts: list[tuple[int, int, int, int, int]]) -> list[Run]:
+    """Runs from (range, gaps, smallest gap, pieces, largest piece), in order."""
+    stack: list[tuple[int, int, int]] = []  # (range, pieces left, largest)
+    found = []
+    for part, gaps, least, pieces, most in counts:
         at = 0
         while at < gaps and stack:
-            owner, left = stack.pop()
-            n = min(left, gaps - at)
-            found.append((owner, left - n, part, at, n))
-            at += n
-            if left > n:
-                stack.append((owner, left - n))
+            owner, left, largest = stack.pop()
+            lot = max(1, least // largest)
+            run = Run(owner, max(0, left - lot * (gaps - at)), left, part, at, lot)
+            found.append(run)
+            at += run.gaps
+            if run.first:
+                stack.append((owner, run.first, largest))
         if pieces:
-            stack.append((part, pieces))
+            stack.append((part, pieces, most))
     return found
 
 
-def _met(rest: DataFrame, runs: list[tuple[int, int, int, int, int]]) -> DataFrame:
-    """gap id, size, piece id and length for the pieces and gaps of matched runs. runs has at most two entries a range."""
+def _met(rest: DataFrame, runs: list[Run]) -> DataFrame:
+    """gap id, size, piece id `with`, its length and what the gap holds `before` it, for the pieces and gaps of matched runs. There are at most two runs a range."""
     spark = rest.sparkSession
-    sides = [(p, 0, a, n, i) for i, (p, a, _, _, n) in enumerate(runs)] + [(g, 1, b, n, i) for i, (_, _, g, b, n) in enumerate(runs)]
-    table = F.broadcast(spark.createDataFrame(sides, "part int, kind int, first long, n long, run int"))
-    inside = (F.col("place") >= F.col("first")) & (F.col("place") < F.col("first") + F.col("n"))
-    rank = F.col("place") - F.col("first")
-    # the last piece of a run meets its first gap
-    rows = rest.join(table, ["part", "kind"]).where(inside).select("run", "kind", "size", "id", F.when(F.col("kind") == 0, F.col("n") - 1 - rank).otherwise(rank).alias("rank"))
-    one = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
-    return rows.groupBy("run", "rank").agg(one(1, "id").alias("id"), one(1, "size").alias("size"), one(0, "id").alias("with"), one(0, "size").alias("length"))
+    sides = [(r.owner, 0, r.first, r.end, r.lot, i) for i, r in enumerate(runs)] + [(r.part, 1, r.gap, r.gap + r.gaps, 1, i) for i, r in enumerate(runs)]
+    table = F.broadcast(spark.createDataFrame(sides, "part int, kind int, first long, end long, lot long, run int"))
+    inside = (F.col("place") >= F.col("first")) & (F.col("place") < F.col("end"))
+    rank = F.when(F.col("kind") == 0, F.floor((F.col("end") - 1 - F.col("place")) / F.col("lot"))).otherwise(F.col("place") - F.col("first"))
+    rows = rest.join(table, ["part", "kind"]).where(inside).select("run", rank.alias("rank"), "kind", "size", "id")
+    # a lot and its gap: the gap's row comes first, then its pieces, the largest first
+    lot = Window.partitionBy("run", "rank").orderBy(F.desc("kind"), F.desc("size"), "id")
+    before = F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("size"))).over(lot.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    gap = F.first(F.struct("id", "size")).over(lot)
+    return rows.select("kind", gap.alias("gap"), F.col("id").alias("with"), F.col("size").alias("length"), before.alias("before")).where("kind = 0").select("gap.id", "gap.size", "with", "length", "before")
 
 
 def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to parts (length, at most capacity, and any others; of those names they give way)."""
-    spark = parts.sparkSession
     columns = [c for c in parts.columns if c not in ("sequence_id", "offset")]
     parts = staged(parts.select(F.struct(*columns).alias("row"), F.col("length").cast("long").alias("size"), F.monotonically_increasing_id().alias("id")))
-    pool = parts.where(F.col("size") < capacity).select(F.lit(0).alias("kind"), "size", "id")
-    placed = [parts.where(F.col("size") == capacity).select((-1 - F.col("id")).alias("sequence_id"), "id", F.lit(0).cast("long").alias("offset"))]
-    opened, turn = 0, 0
-    while True:
-        left = pool.groupBy("kind").agg(F.count("*").alias("n"), F.sum("size").alias("sum")).collect()
-        left = {r["kind"]: r for r in left}
-        if 0 not in left:
-            break
-        if 1 not in left:
-            fresh = math.ceil(left[0]["sum"] / capacity)
+    with Scratch(parts.sparkSession) as stage:
+        found = staged(_placed(parts.select("size", "id"), capacity, stage))
+    return parts.join(found, "id").select("row.*", "sequence_id", "offset")
+
+
+def _placed(sizes: DataFrame, capacity: int, stage: Scratch) -> DataFrame:
+    """sequence_id and offset of each id."""
+    spark = sizes.sparkSession
+    pool = sizes.where(F.col("size") < capacity).select(F.lit(0).alias("kind"), "size", "id")
+    found = sizes.where(F.col("size") == capacity).select((-1 - F.col("id")).alias("sequence_id"), "id", F.lit(0).cast("long").alias("offset"))
+    opened, pieces, open_gaps = 0, pool.count(), 0
+    while pieces:
+        if not open_gaps:
+            fresh = math.ceil(pool.where("kind = 0").agg(F.sum("size")).first()[0] / capacity)
             pool = pool.unionByName(spark.range(opened, opened + fresh, 1, partitions(spark)).select(F.lit(1).alias("kind"), F.lit(capacity).cast("long").alias("size"), "id"))
             opened += fresh
-        fill = math.ceil(sum(r["n"] for r in left.values()) / SHARE) if turn >= FILL_AFTER and (turn - FILL_AFTER) % 2 == 0 else 0
-        swept = staged(_swept(pool, fill))
-        turn += 1
-        pairs = swept.where("kind = 2").select("id", "size", "with", F.col("place").alias("length"))
-        placed.append(pairs.select(F.col("id").alias("sequence_id"), F.col("with").alias("id"), (F.lit(capacity) - F.col("size")).alias("offset")))
-        rest = swept.where("kind = 3").select(F.lit(1).alias("kind"), "size", "id")
+            open_gaps = fresh
+        swept = stage(_swept(pool, max(1, min(partitions(spark), (pieces + open_gaps) // RANGE))))
+        pairs = swept.where("kind = 2").select(F.col("id").alias("sequence_id"), F.col("with").alias("id"), (F.lit(capacity) - F.col("size")).alias("offset"))
+        found = found.unionByName(pairs)
+        gaps = swept.where("kind = 3").select(F.lit(1).alias("kind"), "size", "id")
         pieces_left = swept.where("kind = 0")
-        runs = []
-        if fill:  # a gap may yet fit a piece of another share
-            rest = swept.where(F.col("kind").isin(1, 3)).select(F.lit(1).alias("kind"), "size", "id")
-        else:
-            counts = swept.where("kind < 2").groupBy("part").agg(F.count(F.when(F.col("kind") == 1, 1)).alias("g"), F.count(F.when(F.col("kind") == 0, 1)).alias("p")).orderBy("part").collect()
-            runs = _runs([(r["part"], r["g"], r["p"]) for r in counts])
+        of = lambda kind, c: c(F.when(F.col("kind") == kind, F.col("size")))
+        counts = swept.groupBy("part").agg(of(1, F.count).alias("g"), of(1, F.min).alias("least"), of(0, F.count).alias("p"), of(0, F.max).alias("most")).orderBy("part").collect()
+        runs = _runs([tuple(r) for r in counts])
+        pieces = sum(r["p"] for r in counts) - sum(r.end - r.first for r in runs)
         if runs:
-            met = staged(_met(swept.where("kind < 2"), runs).select("id", "size", "with", "length"))
-            placed.append(met.select(F.col("id").alias("sequence_id"), F.col("with").alias("id"), (F.lit(capacity) - F.col("size")).alias("offset")))
-            rest = rest.unionByName(met.where(F.col("size") > F.col("length")).select(F.lit(1).alias("kind"), (F.col("size") - F.col("length")).alias("size"), "id"))
+            met = stage(_met(swept.where("kind < 2"), runs))
+            found = found.unionByName(met.select(F.col("id").alias("sequence_id"), F.col("with").alias("id"), (F.lit(capacity) - F.col("size") + F.col("before")).alias("offset")))
+            after = met.groupBy("id", "size").agg(F.sum("length").alias("got")).where(F.col("size") > F.col("got"))
+            gaps = gaps.unionByName(after.select(F.lit(1).alias("kind"), (F.col("size") - F.col("got")).alias("size"), "id"))
             taken: dict[int, int] = {}
-            for owner, first, _, _, _ in runs:
-                taken[owner] = min(first, taken.get(owner, first))
+            for r in runs:
+                taken[r.owner] = min(r.first, taken.get(r.owner, r.first))
             limit = F.broadcast(spark.createDataFrame(list(taken.items()), "part int, limit long"))
             pieces_left = pieces_left.join(limit, "part", "left").where(F.col("limit").isNull() | (F.col("place") < F.col("limit")))
-        pool = pieces_left.select(F.lit(0).alias("kind"), "size", "id").unionByName(rest)
-    found = placed[0]
-    for p in placed[1:]:
-        found = found.unionByName(p)
-    return parts.join(found, "id").select("row.*", "sequence_id", "offset")
+        open_gaps = 0 if not pieces else gaps.count()
+        pool = pieces_left.select(F.lit(0).alias("kind"), "size", "id").unionByName(gaps)
+    return found
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
