@@ -1,13 +1,23 @@
 """Personal data: patterns find the protected entities, then information-theoretic sanitisation finds the terms that give them away.
 
-Entities are emails, IP addresses, payment cards and phone numbers, by fixed patterns. A term (a word of the entity's line, near it) discloses
-an entity by its pointwise mutual information with it, PMI = log2(N * n(term, entity) / (n(term) * n(entity))), counted over all documents.
-No term can reveal more than the entity's own information, IC = log2(N / n(entity)). A term with PMI >= `disclosure` * IC that goes with the
-entity in at least `support` different texts is sensitive wherever it stands near that entity: it is generalised, or, where it gives the
-entity away whole (PMI >= `removal` * IC), removed. Documents without an entity are left as they are.
+Entities are emails, IP addresses, payment cards and phone numbers, by fixed patterns. What they belong to is protected as well, as a group: an
+email's domain, the first two numbers of an address, the first six digits of a card, the first five of a phone number. A term is a word of
+a document that holds the entity, wherever it stands. It discloses an entity by its pointwise mutual information with it, PMI = log2(N *
+n(term, entity) / (n(term) * n(entity))), where all counts are of documents, over all documents and whole texts. No term can reveal more than the
+entity's own information, IC = log2(N / n(entity)). A term with PMI >= `disclosure` * IC that goes with the entity in at least `support` different
+texts is sensitive: in the documents that hold the entity, every place of it is generalised, or, where it gives the entity away whole (PMI >=
+`removal` * IC) and nothing above it is safe, removed.
 
-Counting: one pass over all texts writes the documents' entities with the terms around them and, per task, partial counts of words; the counts
-of a term are its documents over the whole table. Partial counts are flushed when they are many, so memory is bounded.
+Generalising climbs to what says less. A number becomes its magnitude. A word becomes the rarest word that subsumes it: one that stands in at least
+`SUBSUMED` of the documents with the term that hold an entity, stands in more documents than the term, and isn't itself sensitive there. A word
+that nothing subsumes becomes its kind, a name or a word, unless it gives the entity away whole: then it goes.
+
+Documents that hold no entity are left as they are, although a sensitive term may stand there: alone, without the entity, it tells nothing that could be
+found in the corpus but by joining documents. An entity that fewer than `support` different texts hold can't be estimated, and has no terms.
+
+Counting: one pass over all texts writes the documents' entities, for those with any their words with their places, and per task partial counts of words.
+Partial counts are flushed when they are many, so memory is bounded. Only entities (and groups) of enough texts go on; their documents' words meet them
+as rows, which are added up before they are shuffled, so an entity in a third of all documents is no task of its own.
 
 Null text: empty, no spans. The patterns are ASCII and run over the whole text in linear time. Repeated rows are found alike; they count as
 documents of their own, but not as different texts. Empty tables give no rows. Offsets are code points, ends exclusive.
@@ -17,7 +27,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import by_batches, read, staged
+from siltstone.llm.shared import Scratch, by_batches, numbered, read, staged
 
 KINDS = ("email", "ip", "card", "phone", "term")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -34,9 +43,9 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\W_]{3,}")
-#: Words on either side of an entity, in its line, that count as its context; partial counts held by a task.
-AROUND, HELD = 8, 60_000
-DISCLOSURE, REMOVAL, SUPPORT = 0.8, 0.95, 3
+#: Partial counts held by a task.
+HELD = 60_000
+DISCLOSURE, REMOVAL, SUPPORT, SUBSUMED = 0.8, 0.95, 3, 0.8
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -82,129 +91,170 @@ def named(text: str, span: tuple[int, int, int]) -> str:
     return f"{KINDS[span[2]]}:{found if span[2] < 2 else re.sub('[^0-9]', '', found)}"
 
 
-def covered(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
-    """Starts and ends of the spans' union, in order."""
-    starts, ends = [], []
-    for a, b, _ in spans:
-        if ends and a <= ends[-1]:
-            ends[-1] = max(ends[-1], b)
+def groups(text: str, span: tuple[int, int, int]) -> tuple[str, str]:
+    """The entity and the group it belongs to."""
+    name = named(text, span)
+    kind, _, what = name.partition(":")
+    if kind == "email":
+        return name, f"domain:{what.rpartition('@')[2]}"
+    if kind == "ip":
+        return name, f"network:{'.'.join(what.split('.')[:2])}"
+    return name, f"{kind}s:{what[: 6 if kind == 'card' else 5]}"
+
+
+def words_apart(text: str, spans: list[tuple[int, int, int]]) -> dict[str, list[int]]:
+    """The words, lower-cased, with the starts of their places, but for places that touch a span."""
+    out: dict[str, list[int]] = {}
+    union, i = covered(spans), 0
+    for m in WORD.finditer(text):
+        while i < len(union) and union[i][1] <= m.start():
+            i += 1
+        if i == len(union) or m.end() <= union[i][0]:
+            out.setdefault(m[0].lower(), []).append(m.start())
+    return out
+
+
+def covered(spans: list[tuple[int, int, int]]) -> list[list[int]]:
+    """The spans' union, in order, with the kind of the first of each."""
+    out: list[list[int]] = []
+    for a, b, kind in spans:
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
         else:
-            starts.append(a)
-            ends.append(b)
-    return starts, ends
-
-
-def context(text: str, union: tuple[list[int], list[int]], span: tuple[int, int, int]) -> list[tuple[str, int, int]]:
-    """(term, start, end) of the words around an entity in its line, but for those that touch any entity."""
-    starts, ends = union
-    reach = 64 * AROUND
-    left = max(text.rfind("\n", 0, span[0]) + 1, span[0] - reach)
-    right = text.find("\n", span[1], span[1] + reach)
-    right = min(len(text), span[1] + reach) if right < 0 else right
-    before = list(WORD.finditer(text, left, span[0]))[-AROUND:]
-    after = list(WORD.finditer(text, span[1], right))[:AROUND]
+            out.append([a, b, kind])
+    return out
 
-    def apart(m: re.Match) -> bool:
-        i = bisect_left(starts, m.end())
-        return not i or ends[i - 1] <= m.start()
 
-    return [(m[0].lower(), *m.span()) for m in (*before, *after) if apart(m)]
-
-
-FOUND = "uid long, doc_id long, base array<struct<start:int,end:int,kind:int>>, near array<struct<entity:string,term:string,start:int,end:int>>, hash string, word string, n long"
+FOUND = "file long, place long, doc_id long, base array<struct<start:int,end:int,kind:int>>, cover array<struct<start:int,end:int,kind:int>>, entities array<string>, words array<struct<term:string,at:array<int>>>, hash string, word string, n long"
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
     """Rows of documents (word null) and partial counts of documents by word (uid null)."""
-    columns = [c.split(" ")[0] for c in ("uid", "doc_id", "base", "near", "hash", "word", "n")]
+    columns = [c.split(" ")[0] for c in FOUND.split(", ")]
+
+    def frame(rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=columns).astype({"file": "Int64", "place": "Int64", "doc_id": "Int64", "n": "Int64"})
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter[str] = Counter()
 
         def flush() -> pd.DataFrame:
-            rows = [(None, None, None, None, None, w, n) for w, n in counts.items()]
+            rows = [(None,) * 8 + (w, n) for w, n in counts.items()]
             counts.clear()
-            return pd.DataFrame(rows, columns=columns).astype({"uid": "Int64", "doc_id": "Int64", "n": "Int64"})
+            return frame(rows)
 
         for batch in batches:
             rows = []
-            for uid, doc_id, text in zip(batch["uid"], batch["doc_id"], batch["text"], strict=True):
+            for file, place, doc_id, text in zip(batch["file"], batch["place"], batch["doc_id"], batch["text"], strict=True):
                 text = text or ""
-                counts.update(set(WORD.findall(text.lower())))
                 spans = entities(text)
-                union = covered(spans)
-                near = [{"entity": named(text, s), "term": t, "start": a, "end": b} for s in spans for t, a, b in context(text, union, s)]
-                digest = hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=12).hexdigest() if spans else None
-                rows.append((uid, doc_id, [{"start": a, "end": b, "kind": k} for a, b, k in spans], near, digest, None, None))
-            yield pd.DataFrame(rows, columns=columns).astype({"uid": "Int64", "doc_id": "Int64", "n": "Int64"})
+                if not spans:
+                    counts.update(set(WORD.findall(text.lower())))
+                    rows.append((file, place, doc_id, [], [], None, None, None, None, None))
+                    continue
+                words = words_apart(text, spans)
+                counts.update(words.keys())
+                names = sorted({x for span in spans for x in groups(text, span)})
+                digest = hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=12).hexdigest()
+                found = [{"term": t, "at": at} for t, at in words.items()]
+                listed = lambda xs: [{"start": a, "end": b, "kind": k} for a, b, k in xs]
+                rows.append((file, place, doc_id, listed(spans), listed(covered(spans)), names, found, digest, None, None))
+            yield frame(rows)
             if len(counts) > HELD:
                 yield flush()
         if counts:
             yield flush()
 
-    return by_batches(docs.select("uid", "doc_id", "text"), scan, FOUND)
+    found = by_batches(docs.select("uid.file", "uid.place", "doc_id", "text"), scan, FOUND)
+    return found.select(F.when(F.col("word").isNull(), F.struct("file", "place")).alias("uid"), *columns[2:])
 
 
-def sensitive(docs: DataFrame, disclosure: float = DISCLOSURE, removal: float = REMOVAL, support: int = SUPPORT) -> DataFrame:
-    """uid, doc_id, base and terms (start, end, removed) of docs (uid: one for each row, doc_id, text)."""
-    scan = staged(_scanned(docs))
-    rows = scan.where(F.col("word").isNull())
-    total = rows.count()
-    near = rows.where(F.size("near") > 0).select("uid", "hash", F.explode("near").alias("x")).select("uid", "hash", "x.*")
-    each = near.select("uid", "hash", "entity", "term").distinct()
-    pairs = each.groupBy("entity", "term", "hash").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("texts"))
-    pairs = pairs.where(F.col("texts") >= support)
-    owners = each.select("uid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = scan.where(F.col("word").isNotNull()).groupBy(F.col("word").alias("term")).agg(F.sum("n").alias("n_term"))
-    pmi = F.log2(F.lit(float(total)) * F.col("both") / (F.col("n_term") * F.col("n_entity")))
+TERMS = "array<struct<start:int,end:int,instead:string>>"
+
+
+def sensitive(docs: DataFrame, **limits) -> DataFrame:
+    """uid, doc_id, base, cover (base without overlaps) and terms (start, end, instead) of docs (uid: a struct that tells rows apart, doc_id, text), with the limits of _told."""
+    with Scratch(docs.sparkSession) as stage:
+        scan = stage(_scanned(docs))
+        rows = scan.where(F.col("word").isNull())
+        held = stage(_held(rows, limits.get("support", SUPPORT)))
+        told = stage(_told(scan, held, rows.count(), stage, **limits))
+        # the term and its places meet the document's entity; of several entities that it tells, the strictest rule counts
+        chosen = held.join(told, ["entity", "term"]).groupBy("uid", "term", "at").agg(F.max("rule")["instead"].alias("instead"))
+        place = lambda p: F.struct(p.alias("start"), (p + F.length("term")).cast("int").alias("end"), F.col("instead").alias("instead"))
+        spans = chosen.select("uid", F.explode(F.transform("at", place)).alias("span"))
+        terms = spans.groupBy("uid").agg(F.sort_array(F.collect_list("span")).alias("terms"))
+        out = rows.select("uid", "doc_id", "base", "cover").join(terms, "uid", "left")
+        return staged(out.withColumn("terms", F.coalesce(F.col("terms").cast(TERMS), F.array().cast(TERMS))))
+
+
+def _held(rows: DataFrame, support: int) -> DataFrame:
+    """uid, hash, entity, term and its places, of the entities that at least `support` different texts hold."""
+    own = rows.where(F.size("entities") > 0).select("uid", "hash", F.explode("entities").alias("entity"))
+    texts = own.groupBy("entity", "hash").agg(F.count("*").alias("n")).groupBy("entity").agg(F.count("*").alias("texts"), F.sum("n").alias("n_entity"))
+    known = own.join(texts.where(F.col("texts") >= support), "entity").select("uid", "entity", "n_entity")
+    words = rows.where(F.size("entities") > 0).select("uid", "hash", "words")
+    return known.join(words, "uid").select("uid", "hash", "entity", "n_entity", F.explode("words").alias("w")).select("uid", "hash", "entity", "n_entity", "w.term", "w.at")
+
+
+def _told(scan: DataFrame, held: DataFrame, total: int, stage: Scratch, disclosure: float = DISCLOSURE, removal: float = REMOVAL, support: int = SUPPORT) -> DataFrame:
+    """entity, term and rule (strict, instead): what stands for the sensitive terms."""
+    pairs = held.groupBy("entity", "term", "n_entity", "hash").agg(F.count("*").alias("n")).groupBy("entity", "term", "n_entity").agg(F.sum("n").alias("both"), F.count("*").alias("texts"))
+    counts = scan.where(F.col("word").isNotNull()).groupBy(F.col("word").alias("term")).agg(F.sum("n").alias("n_term"))
     content = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    told = pairs.join(owners, "entity").join(words, "term").where((content > 0) & (pmi >= F.lit(disclosure) * content))
-    told = staged(told.select("entity", "term", (pmi >= F.lit(removal) * content).alias("removed")))
-    spans = near.join(told, ["entity", "term"]).groupBy("uid", "start", "end").agg(F.max("removed").alias("removed"))
-    terms = spans.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
-    none = F.array().cast("array<struct<start:int,end:int,removed:boolean>>")
-    return rows.select("uid", "doc_id", "base").join(terms, "uid", "left").withColumn("terms", F.coalesce("terms", none))
+    pmi = F.log2(F.lit(float(total)) * F.col("both") / (F.col("n_term") * F.col("n_entity")))
+    told = pairs.where((F.col("texts") >= support) & (content > 0)).join(counts, "term").where(pmi >= F.lit(disclosure) * content)
+    told = stage(told.select("entity", "term", "n_term", (pmi >= F.lit(removal) * content).alias("whole")))
+    # words beside the sensitive ones, in the documents that hold them
+    plain = held.select("uid", "term", "at").distinct()
+    hidden = told.groupBy("term").agg(F.first("n_term").alias("n_term"))
+    with_term = plain.join(hidden, "term").select("uid", "term", "n_term").distinct()
+    own = with_term.groupBy("term").agg(F.count("*").alias("docs"))
+    safe = plain.select("uid", F.col("term").alias("above")).join(hidden.select(F.col("term").alias("above")), "above", "left_anti")
+    beside = with_term.join(safe, "uid").groupBy("term", "n_term", "above").agg(F.count("*").alias("n")).join(own, "term").where(F.col("n") >= SUBSUMED * F.col("docs"))
+    above = beside.join(counts.select(F.col("term").alias("above"), F.col("n_term").alias("n_above")), "above").where(F.col("n_above") > F.col("n_term"))
+    above = above.groupBy("term").agg(F.min(F.struct("n_above", "above"))["above"].alias("above"))
+    number = F.col("term").rlike("^[0-9]+$")
+    instead = F.when(number, F.concat(F.lit("[10^"), (F.length("term") - 1).cast("string"), F.lit("]"))).when(F.col("above").isNotNull(), F.concat(F.lit("["), "above", F.lit("]")))
+    instead = F.coalesce(instead, F.when(F.col("whole"), "").otherwise("[WORD]"))
+    return told.join(above, "term", "left").select("entity", "term", F.struct(F.col("whole").alias("strict"), instead.alias("instead")).alias("rule"))
 
 
 def sanitised(docs: DataFrame, **limits) -> DataFrame:
-    """docs with entities replaced by their kind, sensitive terms by a general word or nothing; n_chars, if there, follows the text.
+    """docs with entities replaced by their kind, sensitive terms by what says less or nothing; n_chars, if there, follows the text.
 
-    The other columns travel inside one struct, so none of their names can clash.
+    The other columns travel inside one struct, so none of their names can clash. Texts meet the spans once, and are put together by built-in functions.
     """
-    numbered = staged(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid")))
-    found = sensitive(numbered.select("uid", "row.doc_id", "row.text"), **limits)
-    found = staged(found.where((F.size("base") > 0) | (F.size("terms") > 0)).select("uid", "base", "terms"))
+    rows = numbered(docs)
+    found = sensitive(rows.select("uid", "row.doc_id", "row.text"), **limits)
+    kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    cover = F.transform("cover", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(kinds, s["kind"] + 1).alias("instead")))
+    found = found.where(F.size("cover") > 0).select("uid", F.array_sort(F.concat(cover.cast(TERMS), "terms")).alias("spans"))
 
     @F.pandas_udf("string")
-    def replaced(texts: pd.Series, base: pd.Series, terms: pd.Series) -> pd.Series:
-        return pd.Series([replace(t, b, s) for t, b, s in zip(texts, base, terms, strict=True)], dtype=object)
+    def changed(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None else replace(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    changed = numbered.join(found, "uid").select("row", replaced("row.text", "base", "terms").alias("new"))
-    same = numbered.join(found.select("uid"), "uid", "left_anti").select("row", F.col("row.text").alias("new"))
+    # only texts that change go to Python
+    new = F.coalesce(changed(F.when(F.col("spans").isNotNull(), F.col("row.text")), F.col("spans")), F.col("row.text"))
+    out = rows.join(staged(found), "uid", "left").select("row", new.alias("new"))
     instead = {"text": F.col("new")}
     if "n_chars" in docs.columns:
         instead["n_chars"] = F.length("new").cast(docs.schema["n_chars"].dataType)
-    return changed.unionByName(same).select(*[instead.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+    return out.select(*[instead.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
-def replace(text: str | None, base, terms) -> str | None:
-    if text is None or base is None:
-        return text
+def replace(text: str, spans) -> str:
+    """text with each span (start, end, instead) replaced; spans are sorted and don't overlap."""
     out, at = [], 0
-    spans = [(s["start"], s["end"], f"[{KINDS[s['kind']].upper()}]") for s in base]
-    spans += [(s["start"], s["end"], "" if s["removed"] else "[WORD]") for s in terms]
-    for start, end, word in sorted(spans):
-        if end <= at:
-            continue
-        if start >= at:
-            out += [text[at:start], word]
-        at = max(at, end)
+    for s in spans:
+        out += [text[at : s["start"]], s["instead"]]
+        at = s["end"]
     return "".join([*out, text[at:]])
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("uid", F.monotonically_increasing_id())
-    found = sensitive(docs)
+    found = sensitive(numbered(read(spark, sf_dir, "documents")).select("uid", "row.doc_id", "row.text"))
     one = lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))
     ordered = lambda xs: F.array_join(F.transform(F.array_sort(F.transform(xs, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))), one), ",")
     term = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(4).alias("kind")))
