@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk_search": topk_search.oracle(), "op9_html_text": oracles.HTML_TEXT, "op10_near_dedup": oracles.NEAR_DEDUP}
+    return {"op1_url_rules": url_filters.oracle(), "op2_topk_search": topk_search.oracle(), "op9_html_text": oracles.HTML_TEXT, "op10_near_dedup": oracles.NEAR_DEDUP}

@@ -1,11 +1,18 @@
 """URL filtering: explicit host and path rules first, then association rules mined by FP-growth.
 
-Training: each labelled page becomes a set of URL tokens plus, where its label says so, the item `label=bad`. Spark's FP-growth mines the
-frequent sets; rules `tokens -> label=bad` below the confidence, lift or support limits, and rules that a shorter rule makes needless, go.
-Matching: an inverted index holds each rule under its rarest token, so that a URL looks only at the rules of its own tokens.
+Mining: each labelled page becomes a set of URL tokens plus, where its label says so, the item `label=bad`. Spark's FP-growth finds the frequent
+sets of four fifths of them; a set with the label and the same set without it make the rule `tokens -> label=bad`. A rule stays if it passes the limits of
+support, confidence and lift, if its 2 x 2 table against the base rate is beyond chance, and if the pages held out (the last fifth) bear it out. Beyond
+chance: chi-square above the quantile of `alpha` divided by the number of rules tried (Bonferroni), as so many rules are tried that some look good by
+luck. Borne out: at least one held-out page has its tokens, their share of bad ones is `min_confidence` or more, and chi-square there is above that
+of a single test. Last, rules go that a shorter rule of the same or a higher confidence makes needless. All of this is joins and aggregates of
+rule rows; only their number comes to the driver.
+
+Matching: an inverted index, a table, holds each rule under its rarest token, so that a URL meets only rules of its own tokens; a rule fits if
+no token of it is missing.
 
 The number of rules doesn't grow with the rows: a URL of t frequent tokens counts for 2^t sets, and each kept set needs `min_support` of the
-rows, so there are at most mean(2^t) / min_support of them. That bounds what goes to every task.
+rows, so there are at most mean(2^t) / min_support of them.
 
 Null, or a URL without `://`: host and path are empty, no rule fits, and only tokens could block it (there are none). Repeated rows are judged
 alike. Empty labels, or none in common with the pages: no rules, every page without an explicit rule is allowed. Other columns aren't read.
@@ -13,14 +20,13 @@ alike. Empty labels, or none in common with the pages: no rules, every page with
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from statistics import NormalDist
 
-import pandas as pd
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import read
+from siltstone.llm.shared import Scratch, read, staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BAD = "label=bad"
@@ -64,61 +70,91 @@ def tokens(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.6, min_lift: float = 1.5, min_pages: int = 5) -> list[tuple[frozenset[str], float, float]]:
-    """Rules (tokens, confidence, support) from rows of `tokens` and `bad`; the most confident first. A rule needs `min_pages` pages as well."""
-    rows = labelled.where(F.size("tokens") > 0).select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
-    n = rows.count()
-    if not n:
-        return []
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_pages / n)), minConfidence=min_confidence).fit(rows)
-    found = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.col("lift") >= min_lift)).select("antecedent", "confidence", "support").collect()
-    kept: dict[frozenset[str], tuple[float, float]] = {}
-    for items, confidence, support in sorted(((frozenset(r[0]), r[1], r[2]) for r in found), key=lambda r: (len(r[0]), -r[1], sorted(r[0]))):
-        if not any(known < items and c >= confidence for known, (c, _) in kept.items()):
-            kept[items] = (confidence, support)
-    return sorted(((k, c, s) for k, (c, s) in kept.items()), key=lambda r: (-r[1], -r[2], sorted(r[0])))
-
-
-def inverted(rules: Iterable[tuple[frozenset[str], float, float]]) -> dict[str, list[tuple[frozenset[str], float]]]:
-    """Each rule under its rarest token, by how many rules have it."""
-    rules, often = list(rules), {}
-    for items, _, _ in rules:
-        for x in items:
-            often[x] = often.get(x, 0) + 1
-    index: dict[str, list] = {}
-    for items, confidence, _ in rules:
-        index.setdefault(min(items, key=lambda x: (often[x], x)), []).append((items, confidence))
-    return index
-
-
-def matched_confidence(tokens: Column, rules: list[tuple[frozenset[str], float, float]]) -> Column:
-    """The confidence of the best mined rule whose tokens all occur; 0 where none does."""
-    if not rules:
-        return F.lit(0.0)
-    index = inverted(rules)
-
-    @F.pandas_udf("double")
-    def best(rows: pd.Series) -> pd.Series:
-        def one(row) -> float:
-            own = set(row)
-            return max((c for x in own for items, c in index.get(x, ()) if items <= own), default=0.0)
-
-        return rows.map(one).astype(float)
-
-    return best(tokens)
+RULE = "items array<string>, confidence double, support double"
+
+
+def chi_square(n: Column, bad: Column, total: Column, all_bad: Column) -> Column:
+    """Of the 2 x 2 table of pages with the tokens (n, of them bad) among all (total, of them all_bad); 0 where a margin is empty."""
+    other, good, off = total - n, total - all_bad, total * bad - n * all_bad
+    return F.when((n > 0) & (other > 0) & (all_bad > 0) & (good > 0), off * off * total / (n * other * all_bad * good)).otherwise(0.0)
+
+
+def mine(labelled: DataFrame, stage: Scratch, min_support: float = 0.01, min_confidence: float = 0.6, min_lift: float = 1.5, min_pages: int = 5, alpha: float = 0.01) -> DataFrame:
+    """Rules (items, confidence, support) from rows of page_id, tokens and bad. A rule needs `min_pages` pages as well."""
+    spark = labelled.sparkSession
+    pages = stage(labelled.where(F.size("tokens") > 0).select("page_id", "tokens", "bad", (F.pmod(F.xxhash64("page_id", F.lit(3)), F.lit(5)) == 0).alias("apart")))
+    used = pages.where("not apart")
+    sums = pages.agg(*[F.count(F.when(c, 1)).alias(x) for x, c in (("n", ~F.col("apart")), ("bad", ~F.col("apart") & F.col("bad")), ("n_apart", F.col("apart")), ("bad_apart", F.col("apart") & F.col("bad")))]).first()
+    if not sums["bad"]:
+        return spark.createDataFrame([], RULE)
+    n = sums["n"]
+    items = used.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
+    sets = stage(FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_pages / n))).fit(items).freqItemsets.select(F.array_sort("items").alias("items"), "freq"))
+    named = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_remove("items", BAD).alias("items"), F.col("freq").alias("bad"))
+    tried = stage(named.join(sets.withColumnRenamed("freq", "n"), "items"))
+    share = F.col("bad") / F.col("n")
+    likely = NormalDist().inv_cdf(1 - alpha / max(1, tried.count()) / 2) ** 2
+    beyond = chi_square(F.col("n"), F.col("bad"), F.lit(n), F.lit(sums["bad"])) >= likely
+    good = tried.where((share >= min_confidence) & (share * n / sums["bad"] >= min_lift) & beyond).select("items", share.alias("confidence"), (F.col("bad") / n).alias("support"))
+    good = stage(good)
+    index = inverted(good)
+    met = matches(pages.where("apart").select(F.col("page_id").alias("uid"), "tokens", "bad"), index, "bad").groupBy("items", "confidence", "support")
+    borne = met.agg(F.count("*").alias("n"), F.count(F.when(F.col("bad"), 1)).alias("bad"))
+    single = NormalDist().inv_cdf(1 - alpha / 2) ** 2
+    apart = chi_square(F.col("n"), F.col("bad"), F.lit(sums["n_apart"]), F.lit(sums["bad_apart"]))
+    borne = stage(borne.where((F.col("bad") >= min_confidence * F.col("n")) & (apart >= single)).select("items", "confidence", "support"))
+    return borne.join(_needless(borne), "items", "left_anti")
+
+
+def _needless(rules: DataFrame) -> DataFrame:
+    """The items of the rules for which one of fewer of their tokens is as sure. Each rule looks up its own parts."""
+    short = rules.where(F.size("items") > 1)
+    kept = lambda m: F.filter("items", lambda x, i: F.getbit(m, i) == 1)
+    parts = F.transform(F.sequence(F.lit(1).cast("long"), F.pow(F.lit(2), F.size("items")).cast("long") - 2), kept)
+    known = rules.select(F.col("items").alias("part"), F.col("confidence").alias("sure"))
+    return short.select("items", "confidence", F.explode(parts).alias("part")).join(known, "part").where(F.col("sure") >= F.col("confidence")).select("items").distinct()
+
+
+def inverted(rules: DataFrame) -> DataFrame:
+    """The rules under their rarest token, by how many rules have it: token, items, confidence, support."""
+    each = rules.select("items", "confidence", "support", F.explode("items").alias("token"))
+    often = each.groupBy("token").agg(F.count("*").alias("often"))
+    return each.join(often, "token").groupBy("items", "confidence", "support").agg(F.min(F.struct("often", "token"))["token"].alias("token"))
+
+
+def matches(urls: DataFrame, index: DataFrame, *more: str) -> DataFrame:
+    """uid, items, confidence, support and more columns, for each rule whose tokens a URL (uid, tokens) has."""
+    met = urls.select("uid", *more, "tokens", F.explode("tokens").alias("token")).join(index, "token")
+    return met.where(F.size(F.array_except("items", "tokens")) == 0).select("uid", "items", "confidence", "support", *more)
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES, **limits) -> DataFrame:
-    """page_id, host, path, rule, verdict and the mined rule's confidence, for every row of pages.
+    """page_id, host, path, rule, verdict and the best mined rule's confidence (0 without one), for every row of pages.
 
     labels: doc_id (a page_id), quality, toxic. A page is bad if its quality is 0 or it is toxic; unlabelled pages train nothing.
     """
     bad = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.coalesce(F.max(F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))), F.lit(False)).alias("bad"))
-    mined = mine(pages.select("page_id", tokens(F.col("url")).alias("tokens")).join(bad, "page_id"), **limits)
-    out = pages.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    out = out.withColumn("found", longest_rule(F.col("host"), F.col("path"), rules)).withColumn("confidence", matched_confidence(tokens(F.col("url")), mined))
-    return out.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce(F.col("found.verdict"), F.when(F.col("confidence") > 0, "block").otherwise("allow")).alias("verdict"), "confidence")
+    with Scratch(pages.sparkSession) as stage:
+        light = stage(pages.select("page_id", "url", F.monotonically_increasing_id().alias("uid")))
+        urls = light.select("uid", "page_id", tokens(F.col("url")).alias("tokens"))
+        index = stage(inverted(mine(urls.join(bad, "page_id").select("page_id", "tokens", "bad"), stage, **limits)))
+        found = matches(urls, index).groupBy("uid").agg(F.max("confidence").alias("confidence"))
+        out = light.join(found, "uid", "left").select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+        out = out.withColumn("found", longest_rule(F.col("host"), F.col("path"), rules))
+        return staged(out.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce(F.col("found.verdict"), F.when(F.col("confidence") > 0, "block").otherwise("allow")).alias("verdict"), "confidence"))
 
 
 def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
+
+
+def oracle() -> str:
+    """For tables whose labels bear no rule out: what is left to the method is allowed."""
+    ordered = sorted(RULES, key=lambda r: -(len(r[0]) + len(r[1])))
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for h, p, _ in ordered)
+    verdict = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for h, p, v in ordered)
+    return f"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS x FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(x, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(x, '^[^/?#]*([^?#]*)', 1) AS path FROM u)
+SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} ELSE 'allow' END AS verdict, 0.0::DOUBLE AS confidence FROM p"""
