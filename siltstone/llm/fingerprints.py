@@ -8,14 +8,17 @@ a standard error of at most 0.0625).
 A fingerprint is the samples' 16-bit hashes in hexadecimal. Words: lower-cased, split at white space. Null, empty or blank text: no word, and a
 fingerprint of zeros, alike to itself and to no other. Equal texts have equal fingerprints. Repeated rows are documents of their own.
 
-Neighbours: documents are dealt out by ranges of doc_id and sorted there, the first of each range goes to the range before as well, so a
-document meets the next with one shuffle and no global sort. Null ids come first; ties of doc_id go by text. A lone document is its own next.
+Neighbours: documents are dealt out by ranges of (doc_id, a hash of the text) and sorted there, the first of each range goes to the range before as
+well, so a document meets the next with one shuffle and no global sort. There are as many ranges as the shuffle has partitions, cut at the
+quantiles of a bounded sample; so what the driver and every task hold of them doesn't grow with the rows, and many rows of one doc_id are many
+ranges. Null ids come first; ties of doc_id go by that hash, then by text. A lone document is its own next.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import partitions, read
+from siltstone.llm.shared import by_batches, partitions, read
 
 SAMPLES, WORDS_KEPT = 64, 100_000
 EMPTY = "0000" * SAMPLES
@@ -122,27 +125,41 @@ def fingerprinted(docs: DataFrame, text: str = "text", name: str = "fingerprint"
     return docs.withColumn(name, one(F.col(text)))
 
 
+#: Keys of the sample that gives the cuts, for each range.
+KEYS = 50
+
+
 def beside_next(docs: DataFrame) -> DataFrame:
-    """Rows (range, role, id, text) dealt by range and sorted; role 1 is the first of the next range, after its own documents."""
+    """Rows (range, role, doc_id, text) dealt by range and sorted; role 1 is the first of the next range, after its own documents."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", F.col("doc_id").isNotNull().cast("int").alias("some"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    key = F.struct("some", "id", "h").alias("key")
     n = partitions(spark)
-    ranges = max(4 * n, math.ceil(docs.count() / 10_000))
-    cuts = np.unique(np.array(docs.where("doc_id is not null").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.25 / ranges) or [], np.int64))
+    drawn = F.pmod(F.xxhash64("id", "h", F.lit(29)), F.lit(1 << 20)) < F.lit(math.ceil((1 << 20) * min(1.0, n * KEYS / max(1, docs.count()))))
+    # repeated rows are one key, so the sample is bounded by distinct keys
+    sample = sorted(tuple(r["key"]) for r in rows.where(drawn).select(key).distinct().collect())
+    cuts = sorted({sample[i * len(sample) // n] for i in range(1, n)}) if sample else []
+    names, places = [c[:2] for c in cuts], [c[2] for c in cuts]
 
     @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(np.int64), "right")).astype("int32")
+    def range_of(some: pd.Series, ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        def one(s: int, i: int, h: int) -> int:
+            first, last = bisect_left(names, (s, i)), bisect_right(names, (s, i))
+            return bisect_right(places, h, first, last)
+
+        return pd.Series([one(*r) for r in zip(some, ids, hashes, strict=True)], dtype="int32")
 
-    placed = rows.withColumn("range", range_of("id"))
-    starts = sorted((r["range"], r["id"]) for r in placed.groupBy("range").agg(F.min("id").alias("id")).collect())
+    placed = rows.withColumn("range", range_of("some", "id", "h"))
+    starts = sorted((r["range"], *r["key"]) for r in placed.groupBy("range").agg(F.min(key).alias("key")).collect())
     if not starts:
-        return placed.withColumn("role", F.lit(0)).select("range", "role", "doc_id", "id", "text")
-    heads = [(starts[i - 1][0], first) for i, (_, first) in enumerate(starts)]
-    table = spark.createDataFrame(heads, "to int, head long")
-    first = rows.join(F.broadcast(table), rows["id"] == table["head"]).groupBy(F.col("to").alias("range"), "id").agg(F.min("text").alias("text"))
-    every = placed.withColumn("role", F.lit(0)).select("range", "role", "doc_id", "id", "text").unionByName(first.select("range", F.lit(1).alias("role"), F.lit(None).cast("long").alias("doc_id"), "id", "text"))
-    return every.repartition(max(n, ranges // 4), "range").sortWithinPartitions("range", "role", "id", "text")
+        return placed.withColumn("role", F.lit(0)).select("range", "role", "doc_id", "text")
+    heads = [(starts[i - 1][0], *first) for i, (_, *first) in enumerate(starts)]
+    table = F.broadcast(spark.createDataFrame(heads, "range int, some int, id long, h long"))
+    first = rows.join(table, ["some", "id", "h"]).groupBy("range", "some", "id", "h").agg(F.min("text").alias("text"))
+    own = placed.select("range", F.lit(0).alias("role"), "doc_id", "some", "id", "h", "text")
+    every = own.unionByName(first.select("range", F.lit(1).alias("role"), F.lit(None).cast("long").alias("doc_id"), "some", "id", "h", "text"))
+    return every.repartition(n, "range").sortWithinPartitions("range", "role", "some", "id", "h", "text").select("range", "role", "doc_id", "text")
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -169,7 +186,7 @@ def compared(docs: DataFrame) -> DataFrame:
                 held = None if role else (place, doc_id, text, mark)
             yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
-    return beside_next(docs).mapInPandas(walk, RESULT)
+    return by_batches(beside_next(docs), walk, RESULT)
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
