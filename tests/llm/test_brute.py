@@ -3,9 +3,12 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from itertools import combinations
 from pathlib import Path
+from statistics import NormalDist
 
 import corpus_pipeline
 import numpy as np
@@ -14,19 +17,61 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from siltstone.llm import fingerprints, html_text, language_id, near_dedup, packing, pii, sharding, source_mixing, topk_search, url_filters
-from siltstone.llm.shared import shared_folder
+from siltstone.llm.shared import Scratch, numbered, shared_folder
 from tests.llm.conftest import sentence
 
 
 def test_fp_growth_rules_block_what_labels_say(spark):
     """A combination of tokens is bad, neither alone is."""
-    rows = [(i, f"https://{'spam' if i % 2 else 'fine'}.example.org/{'buy' if i % 3 else 'read'}/{i}") for i in range(240)]
+    rows = [(i, f"https://{'spam' if i % 2 else 'fine'}.example.org/{'buy' if i % 3 else 'read'}/{i}") for i in range(440)]
     pages = spark.createDataFrame(rows, "page_id long, url string")
-    labels = spark.createDataFrame([(i, int(not (i % 2 and i % 3)), 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, int(not (i % 2 and i % 3)), 0) for i in range(240)], "doc_id long, quality int, toxic int")
     found = url_filters.judge(pages, labels, rules=[], min_confidence=0.9).collect()
     assert all((r["verdict"] == "block") == bool(r["page_id"] % 2 and r["page_id"] % 3) for r in found)
 
 
+def test_mined_rules_against_all_subsets(spark):
+    draw = random.Random(5)
+    rows = []
+    for i in range(600):
+        own = sorted(x for x in "abcdef" if draw.random() < 0.4)
+        bad = draw.random() < (0.95 if {"a", "b"} <= set(own) else 0.9 if "f" in own else 0.1)
+        rows.append((i, own, bad))
+    labelled = spark.createDataFrame(rows, "page_id long, tokens array<string>, bad boolean")
+    apart = {r["page_id"] for r in labelled.where(F.pmod(F.xxhash64("page_id", F.lit(3)), F.lit(5)) == 0).collect()}
+    with Scratch(spark) as stage:
+        got = {tuple(r["items"]): round(r["confidence"], 9) for r in url_filters.mine(labelled, stage).collect()}
+    with_tokens = [(set(own), bad, i in apart) for i, own, bad in rows if own]
+    sets = [c for k in range(1, 7) for c in combinations("abcdef", k)]
+
+    def counted(c, side):
+        hit = [bad for own, bad, a in with_tokens if a == side and set(c) <= own]
+        every = [bad for _, bad, a in with_tokens if a == side]
+        n, b, total, all_bad = len(hit), sum(hit), len(every), sum(every)
+        other, good = total - n, total - all_bad
+        return n, b, total, all_bad, (total * b - n * all_bad) ** 2 * total / (n * other * all_bad * good) if n and other and all_bad and good else 0.0
+
+    train = {c: counted(c, False) for c in sets}
+    least = max(0.01 * train[sets[0]][2], 5)
+    tried = [c for c in sets if train[c][1] >= least]
+    z = NormalDist().inv_cdf(1 - 0.01 / len(tried) / 2) ** 2
+    kept = {}
+    for c in tried:
+        n, b, total, all_bad, chi = train[c]
+        m, held, _, _, chi_apart = counted(c, True)
+        if b / n >= 0.6 and b / n * total / all_bad >= 1.5 and chi >= z and m and held >= 0.6 * m and chi_apart >= NormalDist().inv_cdf(0.995) ** 2:
+            kept[c] = b / n
+    want = {c: round(p, 9) for c, p in kept.items() if not any(set(k) < set(c) and q >= p for k, q in kept.items())}
+    assert got == want and ("f",) in got and ("a", "b") in got
+
+
+def test_labels_that_say_nothing_make_no_rule(spark):
+    draw = random.Random(8)
+    pages = spark.createDataFrame([(i, f"https://{draw.choice('abcd')}.example.{draw.choice(['org', 'net'])}/{draw.choice('xyz')}/{i}?p=1") for i in range(400)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(draw.random() < 0.7), 0) for i in range(250)], "doc_id long, quality int, toxic int")
+    assert url_filters.judge(pages, labels, rules=[]).where("verdict = 'block'").count() == 0
+
+
 def test_longest_rule(spark):
     cases = {
         "http://www.example.com/en/1": ("www.example.com/en/", "allow"),
@@ -43,20 +88,37 @@ def test_longest_rule(spark):
     assert got == dict(enumerate(cases.values()))
 
 
-def test_topk_in_blocks():
+def test_topk_reads_part_of_the_lists():
     draw = np.random.default_rng(0)
     x = draw.integers(-300, 300, (700, 12))
     x[100:140] = x[3]
     ids = draw.permutation(700)
-    q = x[:20]
-    got = sorted(topk_search.block_topk(ids[:20], q, ids, x, 5))
-    want = []
+    block = topk_search.Block(ids, x)
     for i in range(20):
-        scores = sorted((-int(q[i] @ x[j]), int(ids[j])) for j in range(700) if ids[j] != ids[i])[:5]
-        want += [(int(ids[i]), j, -s) for s, j in scores]
-    assert got == sorted(want)
-    huge = list(topk_search.block_topk(ids[:2], q[:2] * 10**12, ids, x * 10**2, 1))
-    assert [s for _, _, s in huge] == [max(int(q[i] @ x[j]) for j in range(700) if ids[j] != ids[i]) * 10**14 for i in range(2)]
+        want = sorted((-int(x[i] @ x[j]), int(ids[j])) for j in range(700) if ids[j] != ids[i])[:5]
+        for floor in (-np.inf, -want[-1][0]):
+            assert block.topk(ids[i], x[i], 5, floor) == [(j, -s) for s, j in want]
+    huge = topk_search.Block(ids, x * 10**2).topk(ids[0], x[0] * 10**14, 1)
+    assert huge[0][1] == max(int(x[0] @ x[j]) for j in range(700) if ids[j] != ids[0]) * 10**16
+    unit = draw.normal(size=(4000, 64))  # no structure at all: the hardest case
+    unit = np.floor(256 * unit / np.linalg.norm(unit, axis=1)[:, None]).astype(np.int64)
+    block, sample = topk_search.Block(np.arange(4000), unit), topk_search.Block(np.arange(1000), unit[:1000])
+    for i in range(0, 4000, 200):
+        found = block.topk(i, unit[i], 5, sample.topk(i, unit[i], 5)[-1][1])
+        scores = unit @ unit[i]
+        assert found == [(int(j), int(scores[j])) for j in np.lexsort((np.arange(4000), -scores)) if j != i][:5]
+    assert block.read < 0.5 * block.held
+
+
+def test_topk_over_blocks(spark):
+    draw = np.random.default_rng(2)
+    rows = [(i, [int(v) for v in draw.integers(-50, 50, 8)]) for i in range(900)] + [(900 + i, [1, 2, 3, 4, 5, 6, 7, 8]) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "vec_id long, x array<long>")
+    found = topk_search.topk(vectors, vectors.where("vec_id % 50 = 0"), block=200).collect()
+    x = np.array([r[1] for r in rows])
+    for i in range(0, 1200, 50):
+        want = sorted((-int(x[i] @ x[j]), j) for j in range(1200) if j != i)[:5]
+        assert [(r["vec_id"], r["score"]) for r in sorted((r for r in found if r["query_id"] == i), key=lambda r: r["rank"])] == [(j, -s) for s, j in want]
 
 
 def test_water_filling(spark):
@@ -200,14 +262,45 @@ def test_entities():
 
 
 def test_disclosing_terms(spark):
-    rows = [(i, f"{sentence(i)}\ncall Zyxwvut about contract{i} at +1 (555) 010-{1000 + i % 2} soon") for i in range(12)] + [(100 + i, sentence(100 + i) + " soon call about at") for i in range(40)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("uid", F.col("doc_id"))
-    found = {r["doc_id"]: r for r in pii.sensitive(docs, disclosure=0.6, support=3).collect()}
+    """A far word goes with one number in many texts; a rarer one of those texts is above it; common words say nothing."""
+    rows = [(i, f"Zyxwvut wrote {sentence(i)}\n{sentence(50 + i)} call about contract{i} at +1 (555) 010-{1000 + i % 2} soon") for i in range(12)] + [(100 + i, sentence(100 + i) + " soon call about at wrote") for i in range(40)]
+    rows.append((200, "Zyxwvut alone"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in pii.sensitive(numbered(docs).select("uid", "row.doc_id", "row.text"), disclosure=0.6).collect()}
     terms = {rows[i][1][t["start"] : t["end"]] for i in range(12) for t in found[i]["terms"]}
-    assert terms == {"Zyxwvut"}
-    assert not any(found[100 + i]["terms"] for i in range(40))
-    clean = pii.sanitised(docs.drop("uid"), disclosure=0.6, support=3).where("doc_id = 0").first()["text"]
-    assert "Zyxwvut" not in clean and "[PHONE]" in clean and "contract0" in clean
+    assert terms == plain_terms(rows, 0.6, 3) and "Zyxwvut" in terms
+    assert not any(found[100 + i]["terms"] for i in range(40)) and not found[200]["terms"]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs, disclosure=0.6).collect()}
+    assert "Zyxwvut" not in clean[0] and "[PHONE]" in clean[0] and "contract0" in clean[0] and clean[200] == "Zyxwvut alone" and clean[100] == rows[12][1]
+
+
+def plain_terms(rows, disclosure, support):
+    """The sensitive words as they stand, from nested loops over all documents."""
+    words, held = {}, {}
+    for i, text in rows:
+        spans = plain_spans(text)
+        words[i] = {m[0].lower() for m in re.finditer(r"[^\W_]{3,}", text) if all(m.end() <= a or b <= m.start() for a, _, b in spans)}
+        for a, k, b in spans:
+            digits = re.sub("[^0-9]", "", text[a:b])
+            for name in (digits, digits[:5]):
+                held.setdefault(name, set()).add(i)
+    told = set()
+    for docs in held.values():
+        for term in set().union(*(words[i] for i in docs)):
+            both, n_term = sum(term in words[i] for i in docs), sum(term in w for w in words.values())
+            content = np.log2(len(rows) / len(docs))
+            if both >= support and len(docs) >= support and content > 0 and np.log2(len(rows) * both / (n_term * len(docs))) >= disclosure * content:
+                told |= {m[0] for i in docs for m in re.finditer(r"[^\W_]{3,}", dict(rows)[i]) if m[0].lower() == term}
+    return told
+
+
+def test_generalised_terms(spark):
+    number = "+1 (555) 010-2000"
+    rows = [(i, f"project Quorl alpha{i} stage 4711 for lab at {number}") for i in range(4)] + [(10 + i, f"project beta{i} for lab") for i in range(6)] + [(20 + i, f"other text {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.sensitive(numbered(docs).select("uid", "row.doc_id", "row.text")).where("doc_id = 0").first()
+    instead = {rows[0][1][t["start"] : t["end"]]: t["instead"] for t in found["terms"]}
+    assert instead["4711"] == "[10^3]" and instead["Quorl"] in ("[project]", "[lab]", "[for]") and "for" not in instead and "project" not in instead
 
 
 def test_fingerprints_estimate_jaccard():
@@ -258,6 +351,14 @@ def test_main_text_of_nested_pages():
     assert text(f"<h1>Title</h1><article>{body}</article>") == ["Title", *want]
 
 
+def test_broken_markup_is_read_in_linear_time():
+    for page in ("<a " * 350_000, "<b><div></x>" * 60_000, "<a \"'>" * 150_000, "<li><ul>" + "<div>" * 50_000 + "<li></li>" * 50_000, "<!--" * 250_000, "<b '\">x<i \">" * 60_000):
+        began = time.time()
+        html_text.main_text(page)
+        assert time.time() - began < 10
+    assert html_text.main_text("<p>one <b title='a>b'>two</b> 3 < 4 <p title=\"x>five</p>") == "one two 3 < 4\nfive"
+
+
 def plain_components(rows, size, percent):
     sets = {}
     for i, text in rows:
