@@ -1,6 +1,7 @@
 """From raw documents to packed training sequences, in five stages.
 
-Each stage is written as Parquet in the shared folder and reread as the next one's documents. All but the last return the columns of documents.
+Each stage is written as Parquet in the shared folder and reread as the next one's documents; what the stage before had written is then removed.
+All but the last return the columns of documents. Decisions are made on light rows and meet the texts by the rows' places in their files.
 
 language: documents of no known language go (no letter, or a calibrated score below MIN_SCORE).
 near_duplicates: one document of each group of near-copies stays (five-word shingles, similarity 0.8).
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import language_id, near_dedup, packing, pii, source_mixing
-from siltstone.llm.shared import read, staged
+from siltstone.llm.shared import Scratch, numbered, read
 
 #: Below this share no language is likely; with as few as three languages a guess has a third.
 MIN_SCORE = 0.4
@@ -36,10 +37,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    numbered = staged(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid")))
-    light = staged(numbered.select("row.doc_id", "row.source", source_mixing.words(F.col("row.text")).alias("size"), "uid"))
-    times = staged(source_mixing.mixed(light, source_mixing.targets(light)).where("times > 0").select("uid", "times"))
-    return numbered.join(times, "uid").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    rows = numbered(docs)
+    with Scratch(spark) as stage:
+        light = stage(rows.select("uid", "row.doc_id", "row.source", source_mixing.words(F.col("row.text")).alias("size")))
+        times = source_mixing.repetitions(light, source_mixing.targets(light)).where("times > 0").select("uid", "times")
+    return rows.join(times, "uid").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        folder = Scratch(spark)
+        docs = folder(stage(spark, docs, sf_dir))
+        if before:
+            before.__exit__()
+        before = folder
+    out = STAGES[-1][1](spark, docs, sf_dir)  # packing stages its pieces: nothing reads docs any more
+    before.__exit__()
+    return out
