@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators.evaluation import gain
+from siltstone.operators.graph import saved
 from siltstone.operators.lexical import ranked
 
 
 def cross_ranked(candidates: DataFrame, features: list[str], folds: int = 5, rounds: int = 5, limit: int = 10, seed: int = 0) -> DataFrame:
     """candidates: query_id, id, fold, grade and the features. Each fold's queries are ranked by the model of the others."""
-    assembled = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(candidates.withColumn("label", gain(F.coalesce("grade", F.lit(0))))).persist()
+    candidates = saved(candidates)
+    assembled = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(candidates.withColumn("label", gain(F.coalesce("grade", F.lit(0)))))
     out = None
     for k in range(folds):
         others, own = assembled.where(F.col("fold") != k), assembled.where(F.col("fold") == k)

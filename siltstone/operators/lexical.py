@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.operators.graph import saved
 
 #: Fixed values of the ranking formulas.
 K1, B = 1.2, 0.75
@@ -18,19 +21,32 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return found.select("id", "n", F.explode(T.word_tokens(F.col("word"))).alias("term")).groupBy("id", "term").agg(F.sum("n").alias("tf"))
 
 
-def impacts(counts: DataFrame, documents: DataFrame, terms: DataFrame) -> DataFrame:
-    """(id, term, impact) for the asked terms (term): BM25 with smoothed idf. documents: one row per id, also those without terms.
+@dataclass(frozen=True)
+class Index:
+    """postings: id, term, tf, length of the document; stats: one row, total and mean length."""
+
+    postings: DataFrame
+    stats: DataFrame
 
-    Lengths take all counts; only the asked terms' postings go on to document frequencies and impacts.
-    """
+
+def index(docs: DataFrame) -> Index:
+    """The index of docs (id, text), written once to the shared folder: texts are split once, however many queries ask. Documents without terms count."""
+    counts = saved(term_counts(docs))
     lengths = counts.groupBy("id").agg(F.sum("tf").alias("length"))
-    stats = documents.select("id").join(lengths, "id", "left").agg(F.count("*").alias("total"), F.avg(F.coalesce("length", F.lit(0))).alias("mean"))
+    stats = docs.select("id").join(lengths, "id", "left").agg(F.count("*").alias("total"), F.avg(F.coalesce("length", F.lit(0))).alias("mean"))
     stats = stats.select("total", F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0).alias("mean"))
-    some = counts.join(terms.select("term").distinct(), "term", "left_semi")
+    # in the order of terms, so that a file's row groups are skipped by the terms asked
+    postings = counts.join(lengths, "id").repartitionByRange("term").sortWithinPartitions("term", "id")
+    return Index(saved(postings), saved(stats))
+
+
+def impacts(found: Index, terms: DataFrame) -> DataFrame:
+    """(id, term, impact) for the asked terms (term): BM25 with smoothed idf. Only their postings are read on."""
+    some = found.postings.join(terms.select("term").distinct(), "term", "left_semi")
     matching = some.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     soft = K1 * (1 - B + B * F.col("length") / F.col("mean"))
-    rows = some.join(matching, "term").join(lengths, "id").crossJoin(F.broadcast(stats))  # stats: one row
+    rows = some.join(matching, "term").crossJoin(F.broadcast(found.stats))  # stats: one row
     return rows.select("id", "term", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + soft)).alias("impact"))
 
 
@@ -44,11 +60,18 @@ def ranked(scores: DataFrame, limit: int, *ties: Column | str) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+def bm25(docs: DataFrame | Index, queries: DataFrame, limit: int = 10) -> DataFrame:
     """The best documents of each query. Only postings of query terms leave the index: terms meet before anything is summed."""
+    hits = scores(docs, queries)
+    return ranked(hits, limit).select("query_id", "rank", "id", "score")
+
+
+def scores(docs: DataFrame | Index, queries: DataFrame) -> DataFrame:
+    """query_id, id, score of every document with a term of the query."""
     asked = query_terms(queries)
-    hits = asked.join(impacts(term_counts(docs), docs, asked), "term").groupBy("query_id", "id").agg(F.round(F.sum("impact"), 6).alias("score"))
-    return ranked(hits.where(F.col("score") != 0), limit).select("query_id", "rank", "id", "score")
+    found = docs if isinstance(docs, Index) else index(docs)
+    hits = asked.join(impacts(found, asked), "term").groupBy("query_id", "id").agg(F.round(F.sum("impact"), 6).alias("score"))
+    return hits.where(F.col("score") != 0)
 
 
 def name_match(names: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:

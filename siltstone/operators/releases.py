@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,3 +34,22 @@ def page(rows: DataFrame, order: list[Column | str], offset: int, limit: int) ->
     """A page of rows in order, with the number of all rows in `total`. The total is an aggregate of its own, so only the page is sorted out."""
     total = rows.agg(F.count("*").alias("total"))
     return rows.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total))  # total: one row
+
+
+def within_budget(rows: DataFrame, group: str, order: list[Column | str], size: str, budget: int) -> DataFrame:
+    """The rows of each group that are taken, in order, while their sizes stay within the budget; one that doesn't fit is passed over, and later ones still come.
+
+    Groups stream by in order and only a total is carried, so a group of any length needs one batch of memory."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, total = None, 0
+        for batch in batches:
+            kept = []
+            for g, n in zip(batch[group], batch[size], strict=True):
+                if g != own:
+                    own, total = g, 0
+                kept.append(total + n <= budget)
+                total += n if kept[-1] else 0
+            yield batch[kept]
+
+    return rows.repartition(group).sortWithinPartitions(group, *order).mapInPandas(fold, rows.schema)

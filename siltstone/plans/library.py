@@ -173,8 +173,9 @@ def used_keys(spark: SparkSession, sf: str) -> DataFrame:
 )
 def problem_groups(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
-    found = rows.groupBy("event_type", "k").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(F.col("user_id").cast("string"))), ",").alias("users"))
-    # a row per (type, k): the ranking reads the groups, not the events
+    found = rows.groupBy("event_type", "k", F.col("user_id").cast("string").alias("user")).agg(F.count("*").alias("n"))
+    found = found.groupBy("event_type", "k").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_list("user")), ",").alias("users"))
+    # a row per (type, k), one of few settings: the ranking reads the groups, not the events
     return found.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "event_type", "k")))
 
 
@@ -251,8 +252,14 @@ def owner_override(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "budgeted_selection",
-    """SELECT p_brand, p_partkey, size FROM (SELECT p_brand, p_partkey, p_size AS size, sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS so_far FROM part) WHERE so_far <= 500""",
+    """WITH RECURSIVE o AS (SELECT p_brand, p_name, p_partkey, p_size AS size, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_retailprice DESC, p_partkey) AS k, p_retailprice AS price FROM part),
+ r AS (SELECT p_brand, p_name, p_partkey, size, row_number() OVER (PARTITION BY p_brand ORDER BY price DESC, p_partkey) AS n FROM o WHERE k = 1),
+ f AS (SELECT p_brand, p_name, p_partkey, size, n, size <= 500 AS taken, CASE WHEN size <= 500 THEN size ELSE 0 END AS total FROM r WHERE n = 1 UNION ALL
+  SELECT r.p_brand, r.p_name, r.p_partkey, r.size, r.n, f.total + r.size <= 500, CASE WHEN f.total + r.size <= 500 THEN f.total + r.size ELSE f.total END FROM f JOIN r ON r.p_brand = f.p_brand AND r.n = f.n + 1)
+ SELECT p_brand, p_name, p_partkey, size FROM f WHERE taken""",
 )
 def budgeted_selection(spark: SparkSession, sf: str) -> DataFrame:
-    so_far = F.sum("p_size").over(Window.partitionBy("p_brand").orderBy("p_partkey"))
-    return table(spark, sf, "part").withColumn("so_far", so_far).where(F.col("so_far") <= 500).select("p_brand", "p_partkey", F.col("p_size").alias("size"))
+    """The dearest first, one part of each name, up to a size of 500 a brand; one that is too large for the rest is passed over."""
+    part = table(spark, sf, "part").select("p_brand", "p_name", "p_partkey", F.col("p_size").alias("size"), "p_retailprice")
+    one = releases.latest(part, ["p_brand", "p_name"], F.desc("p_retailprice"), F.col("p_partkey"))
+    return releases.within_budget(one, "p_brand", [F.desc("p_retailprice"), F.col("p_partkey")], "size", 500).select("p_brand", "p_name", "p_partkey", "size")

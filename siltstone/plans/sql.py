@@ -20,7 +20,7 @@ def singular(t: str) -> str:
     return f"CASE WHEN length({t}) >= 5 AND {t} LIKE '%ies' THEN {t}[:-4] || 'y' WHEN length({t}) >= 5 AND {t} LIKE '%es' THEN {t}[:-3] WHEN length({t}) >= 5 AND {t} LIKE '%s' THEN {t}[:-2] ELSE {t} END"
 
 
-QUERIES = "SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS text FROM benchmark"
+QUERIES = "SELECT item_id AS query_id, text FROM benchmark"
 DOCUMENTS = "SELECT doc_id AS id, text FROM documents"
 HEADS = "SELECT doc_id AS id, source || ' ' || string_split(text, chr(10))[1] AS text FROM documents"
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -45,37 +45,57 @@ def limited_stream(requests: DataFrame) -> DataFrame:
 
 
 def limited(requests: DataFrame) -> DataFrame:
-    """The same over a table, one ordered fold per client."""
+    """The same over a table: clients' requests in order stream through a fold that carries one bucket, so memory is a batch whatever a client's history."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client, tokens, last = None, 0.0, 0.0
+        for batch in batches:
+            waits = []
+            for c, now in zip(batch["client"], batch["at"], strict=True):
+                if c != client:
+                    client, tokens, last = c, float(BURST), now
+                tokens, wait = take(tokens, last, now)
+                last = now
+                waits.append(wait)
+            yield batch.assign(wait=waits)
+
+    return requests.select("client", "at").repartition("client").sortWithinPartitions("client", "at").mapInPandas(fold, "client long, at double, wait double")
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("at", kind="stable")
-        tokens, last, waits = float(BURST), float(part["at"].iloc[0]), []
-        for now in part["at"]:
-            tokens, wait = take(tokens, last, now)
-            last = now
-            waits.append(wait)
-        return pd.DataFrame({"client": part["client"], "at": part["at"], "wait": waits})
 
-    return requests.groupBy("client").applyInPandas(fold, "client long, at double, wait double")
+#: Batches of changes that are read one by one, before they become a base of their own.
+TOGETHER = 16
 
 
 def merged_counts(changes: DataFrame, folder: str, checkpoint: str):
-    """A stream of signed changes (key, delta) kept as counts in a table of numbered versions; returns the started query.
+    """A stream of signed changes (key, delta) kept as counts; returns the started query. counts_in() reads them.
 
-    Each micro-batch writes version n + 1 of its own id, so that a batch that runs again writes the same version again.
+    Each micro-batch writes its own sums by key, under its number, so that a batch that runs again writes the same again, and the table isn't
+    rewritten. Every TOGETHER-th batch adds all so far up to a new base. Keys whose changes add up to 0 stay, with 0 users.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.groupBy("key").agg(F.sum("delta").alias("delta"))
-        if number:
-            old = spark.read.parquet(f"{folder}/version={number - 1}").select("key", F.col("users").alias("delta"))
-            new = new.unionByName(old)
-        new.groupBy("key").agg(F.sum("delta").alias("users")).where("users <> 0").write.mode("overwrite").parquet(f"{folder}/version={number}")
+        batch.groupBy("key").agg(F.sum("delta").alias("delta")).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        if number % TOGETHER == TOGETHER - 1:
+            _added(spark, folder, number).write.mode("overwrite").parquet(f"{folder}/base={number}")
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _added(spark: SparkSession, folder: str, number: int) -> DataFrame:
+    """key and users after a batch: the last base before it and the batches since."""
+    first = number // TOGETHER * TOGETHER
+    rows = spark.read.parquet(*[f"{folder}/batch={n}" for n in range(first, number + 1)]).select("key", "delta")
+    if first:
+        rows = rows.unionByName(spark.read.parquet(f"{folder}/base={first - 1}").select("key", F.col("users").alias("delta")))
+    return rows.groupBy("key").agg(F.sum("delta").alias("users"))
+
+
+def counts_in(spark: SparkSession, folder: str, number: int) -> DataFrame:
+    """The counts that merged_counts has written, as they are after a batch."""
+    return _added(spark, folder, number)
+
+
 def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 hour") -> DataFrame:
     """Events per window and type, with a watermark; works on a stream and on a table."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import evaluation, graph, lexical, usage
+from siltstone.operators import evaluation, graph, lexical, releases, usage
 from siltstone.streaming import state
 
 
@@ -82,8 +82,22 @@ def test_stream_of_changes_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema("key string, delta long").option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
     run = state.merged_counts(stream, str(tmp_path / "out"), str(tmp_path / "check"))
     run.awaitTermination()
-    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out").iterdir())
-    assert rows_of(spark.read.parquet(str(tmp_path / "out" / f"version={last}")), "key", "users") == [("b", 3), ("c", 5)]
+    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out").iterdir() if p.name.startswith("batch"))
+    assert rows_of(state.counts_in(spark, str(tmp_path / "out"), last), "key", "users") == [("a", 0), ("b", 3), ("c", 5)]
+
+
+def test_changes_of_many_batches_are_added_up(spark, tmp_path):
+    for n in range(20):
+        rows = spark.createDataFrame([(str(n % 3), n)], "key string, delta long")
+        rows.write.parquet(f"{tmp_path}/batch={n}")
+        if n == 15:
+            state.counts_in(spark, str(tmp_path), 15).write.parquet(f"{tmp_path}/base=15")
+    assert rows_of(state.counts_in(spark, str(tmp_path), 19), "key", "users") == [(str(k), sum(n for n in range(20) if n % 3 == k)) for k in range(3)]
+
+
+def test_a_part_too_large_is_passed_over(spark):
+    rows = spark.createDataFrame([("g", i, n) for i, n in enumerate([6, 9, 3, 2, 1])] + [("h", 0, 11), ("h", 1, 10)], "g string, i int, n int")
+    assert rows_of(releases.within_budget(rows, "g", ["i"], "n", 10), "g", "i") == [("g", 0), ("g", 2), ("g", 4), ("h", 1)]
 
 
 def test_stream_limiter_equals_batch(spark, tmp_path):

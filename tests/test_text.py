@@ -14,12 +14,12 @@ def values(spark, column, *texts):
 
 
 def test_tokens(spark):
-    got = values(spark, T.tokens(F.col("t")), "get.u32le", "HTTPServer", "-A: Kind(a)", "the end.", "", "a-B_c")
-    assert got == [["get.u32le", "get", "u32le", "u32", "le"], ["httpserver", "http", "server"], ["a", "kind", "a"], ["the", "end"], [], ["a-b_c", "a", "b", "c"]]
+    got = values(spark, T.tokens(F.col("t")), "box.i64be", "XMLReader", "+Z: Sort(q)", "so it is.", "", "k-M_n")
+    assert got == [["box.i64be", "box", "i64be", "i64", "be"], ["xmlreader", "xml", "reader"], ["z", "sort", "q"], ["so", "it", "is"], [], ["k-m_n", "k", "m", "n"]]
 
 
 def test_singular(spark):
-    assert values(spark, T.singular(F.col("t")), "entries", "matches", "lists", "bus", "s", "ties") == ["entry", "match", "list", "bus", "s", "ties"]
+    assert values(spark, T.singular(F.col("t")), "queries", "boxes", "words", "gas", "s", "pies") == ["query", "box", "word", "gas", "s", "pies"]
 
 
 def test_sets(spark):
@@ -32,18 +32,18 @@ def test_lines(spark):
 
 
 def test_versions_sort_by_number(spark):
-    rows = spark.createDataFrame([("0.9.0.0",), ("0.10.0.0",)], "v string")
-    assert rows.orderBy(T.version_order(F.col("v")).desc()).first()[0] == "0.10.0.0"
+    rows = spark.createDataFrame([("2.8.1",), ("2.11.0",)], "v string")
+    assert rows.orderBy(T.version_order(F.col("v")).desc()).first()[0] == "2.11.0"
 
 
 def test_names(spark):
     assert values(spark, T.parent_name(F.col("t")), "a.b.c", "a") == ["a.b", None]
     assert values(spark, T.last_part(F.col("t")), "a.b.c", "a") == ["c", "a"]
-    assert values(spark, T.alias(F.lit("my-kit-json"), F.col("t")), "main", "src/2d", "src/--") == ["MyKitJson", "M2d", "P"]
+    assert values(spark, T.alias(F.lit("fast-hash-map"), F.col("t")), "main", "lib/3way", "lib/__") == ["FastHashMap", "M3way", "P"]
 
 
 def test_sentences(spark):
-    assert values(spark, T.first_sentence(F.col("t")), "Version 1.2 of it. More", "No end", "Ask? Yes.") == ["Version 1.2 of it.", "No end", "Ask?"]
+    assert values(spark, T.first_sentence(F.col("t")), "Takes 0.5 of a cup. Then more", "Nothing ends here", "Why? So.") == ["Takes 0.5 of a cup.", "Nothing ends here", "Why?"]
 
 
 def test_wording(spark):
@@ -53,21 +53,24 @@ def test_wording(spark):
     assert values(spark, T.balance(T.without_comment(F.col("t"))), "f((x) # ((") == [1]
 
 
-HEAD = "def List.map(~A: Type, ~B: Type, ~f: A -> B, xs: List<&2, A>) -> List<&2, B>:"
+FOLD = "def Tree.fold(~K: Type, step: K -> Nat -> K, t: Tree<&1, K>, other) -> Pair<K, Nat>: # ends"
 
 
 def test_signatures():
-    assert signatures.of_head(HEAD) == ([{"T": 2}, {"List": 1, "T": 1}], {"List": 1, "T": 1})
-    assert signatures.of_query("plain words") is None
-    assert signatures.of_query("A -> B, List<A> -> List<B>") == ([{"T": 2}, {"List": 1, "T": 1}], {"List": 1, "T": 1})
-    assert signatures.likeness(([], {}), ([], {})) == 1.0
-    assert signatures.outer("a, (b, c), f: A -> B", ",") == ["a", "(b, c)", "f: A -> B"]
-    assert signatures.overlap({"T": 2}, {"T": 1}) == 0.5
-
-
-def test_signature_udf(spark):
-    got = values(spark, signatures.similarity(F.lit("A -> B, List<A> -> List<B>"), F.col("t")), HEAD, None, "type X")
-    assert got[0] > 0.5 and got[1:] == [0.0, 0.0]
+    assert signatures.of_definition(FOLD) == ([{"T": 2, "Nat": 1}, {"Tree": 1, "T": 1}], {"Pair": 1, "T": 1, "Nat": 1})
+    assert signatures.of_definition("# about it\n@unsafe def run()  -> Nat:") == ([], {"Nat": 1})
+    assert signatures.of_definition("def f(g: (a: Nat) -> Vec<Nat, 3>, d: Data)") == ([{"a": 1, "Nat": 2, "Vec": 1}], {})
+    assert signatures.of_query("some words") is None and signatures.of_query("Map<A -> B, C>") is None and signatures.of_definition("type X") is None
+    assert signatures.of_query("K -> Nat -> K, Tree<K> -> Pair<K, Nat>") == signatures.of_definition(FOLD)
+    assert signatures.of_query("-> kit/box.Nat") == ([], {"kit": 1, "Nat": 1})
+
+
+def test_likeness_takes_the_best_left_in_order(spark):
+    rows = spark.createDataFrame([("K -> Nat -> K, Tree<K> -> Pair<K, Nat>", FOLD), ("Tree<Nat>, Tree<K> -> Nat", FOLD), ("-> Nat", "def go() -> Nat:"), ("Nat -> Nat", "type X"), ("words", FOLD), (None, None)], "q string, h string")
+    like = signatures.likeness(F.col("w"), F.col("f"))
+    got = [r[0] for r in rows.select(signatures.asked(F.col("q")).alias("w"), signatures.of_head(F.col("h")).alias("f")).select(like).collect()]
+    # Tree<Nat> takes Tree<K> (1 of 3) over the step (1 of 4); Tree<K> then meets the step (1 of 4); the results share 1 of 3
+    assert got == [1.0, pytest.approx(((1 / 3 + 1 / 4) / 2 + 1 / 3) / 2), 1.0, 0.0, 0.0, 0.0]
 
 
 def test_multiset_overlap(spark):
