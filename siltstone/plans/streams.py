@@ -12,10 +12,10 @@ from siltstone.streaming import state
 
 @query(
     "token_bucket",
-    """WITH RECURSIVE r AS (SELECT user_id AS client, epoch_us(ts) / 1e6::DOUBLE AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
- f AS (SELECT client, at, n, 2.0::DOUBLE AS before FROM r WHERE n = 1 UNION ALL
-  SELECT r.client, r.at, r.n, least(2.0::DOUBLE, (CASE WHEN f.before >= 1 THEN f.before - 1 ELSE f.before END) + (r.at - f.at)) FROM f JOIN r ON r.client = f.client AND r.n = f.n + 1)
- SELECT client, round(at, 6) AS at, round(CASE WHEN before >= 1 THEN 0.0 ELSE 1 - before END, 6) AS wait FROM f""",
+    """WITH RECURSIVE r AS (SELECT user_id AS client, epoch_us(ts) / 1e6::DOUBLE AS "at", row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+ f AS (SELECT client, "at", n, 2.0::DOUBLE AS before FROM r WHERE n = 1 UNION ALL
+  SELECT r.client, r."at", r.n, least(2.0::DOUBLE, (CASE WHEN f.before >= 1 THEN f.before - 1 ELSE f.before END) + (r."at" - f."at")) FROM f JOIN r ON r.client = f.client AND r.n = f.n + 1)
+ SELECT client, round("at", 6) AS "at", round(CASE WHEN before >= 1 THEN 0.0 ELSE 1 - before END, 6) AS wait FROM f""",
 )
 def token_bucket(spark: SparkSession, sf: str) -> DataFrame:
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
