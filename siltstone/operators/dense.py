@@ -1,11 +1,16 @@
 """Dense retrieval: exact cosine top-k with filters before the rank, scores for given ids, coarse search with rescoring.
 
-Queries are few and stated; they meet the table in one pass, as a broadcast only while they are below `BROADCAST_QUERIES`, else as a
-shuffled join by blocks of queries.
+Queries are few and stated; they meet the table in one pass, as a broadcast only while they are at most `BROADCAST_QUERIES` of bounded length, else
+as a shuffled join by blocks of queries. The search itself multiplies Arrow batches of vectors with the matrix of the queries and lets only each
+batch's best on, so what is ranked grows with the batches, not with the pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +32,28 @@ def met(vectors: DataFrame, queries: DataFrame, where: Column | None = None) ->
 
 
 def search(vectors: DataFrame, queries: DataFrame, limit: int = 10, where: Column | None = None) -> DataFrame:
-    """The nearest by cosine. vectors: id, v; queries: query_id, q; both of length 1."""
-    scores = met(vectors, queries, where).select("query_id", "id", F.round(V.dot(F.col("v"), F.col("q")), 6).alias("score"))
-    return ranked(scores, limit).select("query_id", "rank", "id", "score")
+    """The nearest by cosine. vectors: id, v; queries: query_id, q; both of length 1 and of one dimension."""
+    rows = vectors if where is None else vectors.where(where)
+    asked = queries.select("query_id", "q").limit(BROADCAST_QUERIES + 1).collect()
+    if len(asked) > BROADCAST_QUERIES:
+        scores = met(rows, queries).select("query_id", "id", F.round(V.dot(F.col("v"), F.col("q")), 6).alias("score"))
+        return ranked(scores, limit).select("query_id", "rank", "id", "score")
+    names = [r["query_id"] for r in asked]
+    matrix = np.array([r["q"] for r in asked], float).T
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch) or not names:
+                continue
+            batch = batch.sort_values("id", kind="stable")
+            scores = np.round(np.stack(batch["v"]) @ matrix, 6)
+            order = np.argsort(-scores, axis=0, kind="stable")[:limit]
+            ids = batch["id"].to_numpy()
+            yield pd.concat([pd.DataFrame({"query_id": [n] * len(order), "id": ids[order[:, i]], "score": scores[order[:, i], i]}) for i, n in enumerate(names)])
+
+    types = {f.name: f.dataType.simpleString() for f in [*vectors.schema.fields, *queries.schema.fields]}
+    found = rows.select("id", "v").mapInPandas(best, f"query_id {types['query_id']}, id {types['id']}, score double")
+    return ranked(found, limit).select("query_id", "rank", "id", "score")
 
 
 def scores_for(vectors: DataFrame, queries: DataFrame, ids: DataFrame) -> DataFrame:
