@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.plans import assessment, definitions, graphs, ingest, library, ranking, records, search, streams, structure  # noqa: F401
+from siltstone.plans import assessment, definitions, facade, graphs, ingest, library, ranking, records, search, streams, structure  # noqa: F401
 from siltstone.plans.registry import ORACLES, QUERIES, Query
 
 
