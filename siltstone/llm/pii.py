@@ -9,15 +9,15 @@ texts is sensitive: in the documents that hold the entity, every place of it is
 `removal` * IC) and nothing above it is safe, removed.
 
 Generalising climbs to what says less. A number becomes its magnitude. A word becomes the rarest word that subsumes it: one that stands in at least
-`SUBSUMED` of the documents with the term that hold an entity, stands in more documents than the term, and isn't itself sensitive there. A word
-that nothing subsumes becomes its kind, a name or a word, unless it gives the entity away whole: then it goes.
+`SUBSUMED` of the entity's documents, stands in more documents than the term, and isn't itself sensitive there. A word that nothing subsumes
+becomes `[WORD]`, unless it gives the entity away whole: then it goes.
 
 Documents that hold no entity are left as they are, although a sensitive term may stand there: alone, without the entity, it tells nothing that could be
 found in the corpus but by joining documents. An entity that fewer than `support` different texts hold can't be estimated, and has no terms.
 
 Counting: one pass over all texts writes the documents' entities, for those with any their words with their places, and per task partial counts of words.
-Partial counts are flushed when they are many, so memory is bounded. Only entities (and groups) of enough texts go on; their documents' words meet them
-as rows, which are added up before they are shuffled, so an entity in a third of all documents is no task of its own.
+Partial counts are flushed when they are many, so memory is bounded. Only entities (and groups) of enough texts go on. Their words are counted once a
+text, with the number of its copies, and added up before they are shuffled, so an entity in a third of all documents is no task of its own.
 
 Null text: empty, no spans. The patterns are ASCII and run over the whole text in linear time. Repeated rows are found alike; they count as
 documents of their own, but not as different texts. Empty tables give no rows. Offsets are code points, ends exclusive.
@@ -177,10 +177,11 @@ def sensitive(docs: DataFrame, **limits) -> DataFrame:
     with Scratch(docs.sparkSession) as stage:
         scan = stage(_scanned(docs))
         rows = scan.where(F.col("word").isNull())
-        held = stage(_held(rows, limits.get("support", SUPPORT)))
-        told = stage(_told(scan, held, rows.count(), stage, **limits))
-        # the term and its places meet the document's entity; of several entities that it tells, the strictest rule counts
-        chosen = held.join(told, ["entity", "term"]).groupBy("uid", "term", "at").agg(F.max("rule")["instead"].alias("instead"))
+        told = stage(_told(scan, rows, stage, **limits))
+        held = rows.where(F.size("entities") > 0).select("uid", "entities", F.explode("words").alias("w")).select("uid", "entities", "w.*")
+        mine = held.join(told.select("term").distinct(), "term", "left_semi").select("uid", "term", "at", F.explode("entities").alias("entity"))
+        # of several entities that a term tells, the strictest rule counts
+        chosen = mine.join(told, ["entity", "term"]).groupBy("uid", "term", "at").agg(F.max("rule")["instead"].alias("instead"))
         place = lambda p: F.struct(p.alias("start"), (p + F.length("term")).cast("int").alias("end"), F.col("instead").alias("instead"))
         spans = chosen.select("uid", F.explode(F.transform("at", place)).alias("span"))
         terms = spans.groupBy("uid").agg(F.sort_array(F.collect_list("span")).alias("terms"))
@@ -188,36 +189,28 @@ def sensitive(docs: DataFrame, **limits) -> DataFrame:
         return staged(out.withColumn("terms", F.coalesce(F.col("terms").cast(TERMS), F.array().cast(TERMS))))
 
 
-def _held(rows: DataFrame, support: int) -> DataFrame:
-    """uid, hash, entity, term and its places, of the entities that at least `support` different texts hold."""
-    own = rows.where(F.size("entities") > 0).select("uid", "hash", F.explode("entities").alias("entity"))
-    texts = own.groupBy("entity", "hash").agg(F.count("*").alias("n")).groupBy("entity").agg(F.count("*").alias("texts"), F.sum("n").alias("n_entity"))
-    known = own.join(texts.where(F.col("texts") >= support), "entity").select("uid", "entity", "n_entity")
-    words = rows.where(F.size("entities") > 0).select("uid", "hash", "words")
-    return known.join(words, "uid").select("uid", "hash", "entity", "n_entity", F.explode("words").alias("w")).select("uid", "hash", "entity", "n_entity", "w.term", "w.at")
-
-
-def _told(scan: DataFrame, held: DataFrame, total: int, stage: Scratch, disclosure: float = DISCLOSURE, removal: float = REMOVAL, support: int = SUPPORT) -> DataFrame:
+def _told(scan: DataFrame, rows: DataFrame, stage: Scratch, disclosure: float = DISCLOSURE, removal: float = REMOVAL, support: int = SUPPORT) -> DataFrame:
     """entity, term and rule (strict, instead): what stands for the sensitive terms."""
-    pairs = held.groupBy("entity", "term", "n_entity", "hash").agg(F.count("*").alias("n")).groupBy("entity", "term", "n_entity").agg(F.sum("n").alias("both"), F.count("*").alias("texts"))
+    total = float(rows.count())
+    some = rows.where(F.size("entities") > 0)
+    texts = some.select("hash", F.explode("entities").alias("entity")).groupBy("entity", "hash").agg(F.count("*").alias("copies"))
+    known = texts.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_entity")).where(F.col("texts") >= support)
+    words = some.select("hash", F.transform("words", lambda w: w["term"]).alias("words")).dropDuplicates(["hash"])
+    each = texts.join(known.select("entity", "n_entity"), "entity").join(words, "hash").select("entity", "n_entity", "copies", F.explode("words").alias("term"))
+    pairs = each.groupBy("entity", "n_entity", "term").agg(F.sum("copies").alias("both"), F.count("*").alias("texts")).where(F.col("texts") >= support)
     counts = scan.where(F.col("word").isNotNull()).groupBy(F.col("word").alias("term")).agg(F.sum("n").alias("n_term"))
-    content = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    pmi = F.log2(F.lit(float(total)) * F.col("both") / (F.col("n_term") * F.col("n_entity")))
-    told = pairs.where((F.col("texts") >= support) & (content > 0)).join(counts, "term").where(pmi >= F.lit(disclosure) * content)
-    told = stage(told.select("entity", "term", "n_term", (pmi >= F.lit(removal) * content).alias("whole")))
-    # words beside the sensitive ones, in the documents that hold them
-    plain = held.select("uid", "term", "at").distinct()
-    hidden = told.groupBy("term").agg(F.first("n_term").alias("n_term"))
-    with_term = plain.join(hidden, "term").select("uid", "term", "n_term").distinct()
-    own = with_term.groupBy("term").agg(F.count("*").alias("docs"))
-    safe = plain.select("uid", F.col("term").alias("above")).join(hidden.select(F.col("term").alias("above")), "above", "left_anti")
-    beside = with_term.join(safe, "uid").groupBy("term", "n_term", "above").agg(F.count("*").alias("n")).join(own, "term").where(F.col("n") >= SUBSUMED * F.col("docs"))
-    above = beside.join(counts.select(F.col("term").alias("above"), F.col("n_term").alias("n_above")), "above").where(F.col("n_above") > F.col("n_term"))
-    above = above.groupBy("term").agg(F.min(F.struct("n_above", "above"))["above"].alias("above"))
-    number = F.col("term").rlike("^[0-9]+$")
-    instead = F.when(number, F.concat(F.lit("[10^"), (F.length("term") - 1).cast("string"), F.lit("]"))).when(F.col("above").isNotNull(), F.concat(F.lit("["), "above", F.lit("]")))
-    instead = F.coalesce(instead, F.when(F.col("whole"), "").otherwise("[WORD]"))
-    return told.join(above, "term", "left").select("entity", "term", F.struct(F.col("whole").alias("strict"), instead.alias("instead")).alias("rule"))
+    content = F.log2(F.lit(total) / F.col("n_entity"))
+    pmi = F.log2(F.lit(total) * F.col("both") / (F.col("n_term") * F.col("n_entity")))
+    # a pair that is neither sensitive nor common among the entity's documents has no part in what follows
+    tells, common = (content > 0) & (pmi >= F.lit(disclosure) * content), F.col("both") >= SUBSUMED * F.col("n_entity")
+    pairs = pairs.join(counts, "term").withColumns({"tells": tells, "whole": pmi >= F.lit(removal) * content, "common": common})
+    pairs = stage(pairs.where(F.col("tells") | F.col("common")).select("entity", "term", "n_term", "tells", "whole", "common"))
+    above = pairs.where("common and not tells").groupBy("entity").agg(F.min(F.struct("n_term", "term")).alias("above"))
+    told = pairs.where("tells").join(above, "entity", "left")
+    number = F.concat(F.lit("[10^"), (F.length("term") - 1).cast("string"), F.lit("]"))
+    wider = F.when(F.col("above.n_term") > F.col("n_term"), F.concat(F.lit("["), F.col("above.term"), F.lit("]")))
+    instead = F.when(F.col("term").rlike("^[0-9]+$"), number).otherwise(F.coalesce(wider, F.when(F.col("whole"), "").otherwise("[WORD]")))
+    return told.select("entity", "term", F.struct(F.col("whole").alias("strict"), instead.alias("instead")).alias("rule"))
 
 
 def sanitised(docs: DataFrame, **limits) -> DataFrame:
