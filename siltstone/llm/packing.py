@@ -223,21 +223,29 @@ def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return parts.join(found, "id").select("row.*", "sequence_id", "offset")
 
 
+PLACED = "sequence_id long, id long, offset long"
+
+
 def _placed(sizes: DataFrame, capacity: int, stage: Scratch) -> DataFrame:
-    """sequence_id and offset of each id."""
+    """sequence_id and offset of each id. What a round places is appended to one table; the tables it worked on go when the next round has read them."""
     spark = sizes.sparkSession
+    add = lambda rows: stage.append(rows.select("sequence_id", "id", F.col("offset").cast("long").alias("offset")), "placed")
     pool = sizes.where(F.col("size") < capacity).select(F.lit(0).alias("kind"), "size", "id")
-    found = sizes.where(F.col("size") == capacity).select((-1 - F.col("id")).alias("sequence_id"), "id", F.lit(0).cast("long").alias("offset"))
-    opened, pieces, open_gaps = 0, pool.count(), 0
+    add(sizes.where(F.col("size") == capacity).select((-1 - F.col("id")).alias("sequence_id"), "id", F.lit(0).alias("offset")))
+    opened, pieces, open_gaps, before = 0, pool.count(), 0, None
     while pieces:
         if not open_gaps:
             fresh = math.ceil(pool.where("kind = 0").agg(F.sum("size")).first()[0] / capacity)
             pool = pool.unionByName(spark.range(opened, opened + fresh, 1, partitions(spark)).select(F.lit(1).alias("kind"), F.lit(capacity).cast("long").alias("size"), "id"))
             opened += fresh
             open_gaps = fresh
-        swept = stage(_swept(pool, max(1, min(partitions(spark), (pieces + open_gaps) // RANGE))))
+        round_ = Scratch(spark)
+        ranges = max(1, min(partitions(spark), (pieces + open_gaps) // RANGE))
+        swept = round_(_swept(pool, ranges))
+        if before:
+            before.__exit__()
+        before = round_
         pairs = swept.where("kind = 2").select(F.col("id").alias("sequence_id"), F.col("with").alias("id"), (F.lit(capacity) - F.col("size")).alias("offset"))
-        found = found.unionByName(pairs)
         gaps = swept.where("kind = 3").select(F.lit(1).alias("kind"), "size", "id")
         pieces_left = swept.where("kind = 0")
         of = lambda kind, c: c(F.when(F.col("kind") == kind, F.col("size")))
@@ -245,8 +253,8 @@ def _placed(sizes: DataFrame, capacity: int, stage: Scratch) -> DataFrame:
         runs = _runs([tuple(r) for r in counts])
         pieces = sum(r["p"] for r in counts) - sum(r.end - r.first for r in runs)
         if runs:
-            met = stage(_met(swept.where("kind < 2"), runs))
-            found = found.unionByName(met.select(F.col("id").alias("sequence_id"), F.col("with").alias("id"), (F.lit(capacity) - F.col("size") + F.col("before")).alias("offset")))
+            met = round_(_met(swept.where("kind < 2"), runs).coalesce(ranges))
+            pairs = pairs.unionByName(met.select(F.col("id").alias("sequence_id"), F.col("with").alias("id"), (F.lit(capacity) - F.col("size") + F.col("before")).alias("offset")))
             after = met.groupBy("id", "size").agg(F.sum("length").alias("got")).where(F.col("size") > F.col("got"))
             gaps = gaps.unionByName(after.select(F.lit(1).alias("kind"), (F.col("size") - F.col("got")).alias("size"), "id"))
             taken: dict[int, int] = {}
@@ -254,9 +262,12 @@ def _placed(sizes: DataFrame, capacity: int, stage: Scratch) -> DataFrame:
                 taken[r.owner] = min(r.first, taken.get(r.owner, r.first))
             limit = F.broadcast(spark.createDataFrame(list(taken.items()), "part int, limit long"))
             pieces_left = pieces_left.join(limit, "part", "left").where(F.col("limit").isNull() | (F.col("place") < F.col("limit")))
+        add(pairs.coalesce(ranges))
         open_gaps = 0 if not pieces else gaps.count()
         pool = pieces_left.select(F.lit(0).alias("kind"), "size", "id").unionByName(gaps)
-    return found
+    if before:
+        before.__exit__()
+    return stage.table("placed", PLACED)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

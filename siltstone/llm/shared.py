@@ -47,15 +47,23 @@ class Scratch:
     def __call__(self, df: DataFrame) -> DataFrame:
         return staged(df, self.under)
 
+    def append(self, df: DataFrame, name: str) -> None:
+        """Adds rows to a table of this block, which rounds of a loop fill."""
+        df.write.mode("append").parquet(f"{shared_folder(self.spark)}/{self.under}/{name}")
+
+    def table(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{shared_folder(self.spark)}/{self.under}/{name}")
+
     def __exit__(self, kind: type | None = None, error: BaseException | None = None, trace: TracebackType | None = None) -> None:
         removed(self.spark, f"{shared_folder(self.spark)}/{self.under}")
 
 
 def removed(spark: SparkSession, path: str) -> None:
-    """Removes a folder, on whatever file system it lies."""
+    """Removes a folder, on whatever file system it lies, and lets Spark's cleaner find the plans that went with it, whose shuffle files then go as well."""
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    jvm.System.gc()
 
 
 def numbered(docs: DataFrame) -> DataFrame:
