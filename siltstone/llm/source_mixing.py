@@ -10,7 +10,8 @@ gap that remains, if it comes nearer than none. So a document too long for the f
 This goes in rounds: the documents are taken while their running size stays within the gap; the next round goes on with those behind that fit in
 the rest, until none fits. A round's rest is smaller than a document that fitted before it, so in random order the rounds follow the logarithm of
 the sizes. The running size goes by buckets of the hash first, so that no source is one task; a bucket that rows of one hash fill (one doc_id and
-size many times over, or none) is cut by a hash of the row's place. Only uid, source, size and the hash go through the rounds.
+size many times over, or none) is cut by a hash of the row's place. Only uid, source, size and the hash go through the rounds. Tables by row are
+merged, never broadcast: they take little room on disk for what they hold, so Spark would take them for small.
 
 Null text: size 0. Null source: a source of its own, last in order. Sizes all 0, or no rows: targets 0, nothing taken. Repeated rows are
 rows of their own. Documents of size 0 take part with 0 words, in the first round. Reruns agree: the hash depends on doc_id, size and seed alone,
@@ -67,7 +68,7 @@ def mixed(docs: DataFrame, goals: DataFrame, seed: int = 11) -> DataFrame:
     """
     added = ("source_size", "target", "times")
     rows = docs.select(F.struct(*[c for c in docs.columns if c not in added]).alias("row"), "uid")
-    return rows.join(repetitions(docs.select("uid", "doc_id", "source", "size"), goals, seed), "uid").select("row.*", *added)
+    return rows.join(repetitions(docs.select("uid", "doc_id", "source", "size"), goals, seed).hint("merge"), "uid").select("row.*", *added)
 
 
 def repetitions(docs: DataFrame, goals: DataFrame, seed: int = 11) -> DataFrame:
@@ -102,9 +103,9 @@ def _repetitions(docs: DataFrame, goals: DataFrame, seed: int, stage: Scratch) -
         pool = placed.where((F.col("reach") > F.col("gap")) & (F.col("size") > 0)).drop("gap", "reach")
     taken = stage(taken.select("uid", F.lit(1).alias("once")))
     off = F.abs(F.col("gap") - F.col("size"))
-    near = light.where("size > 0").join(gaps, F.col("source").eqNullSafe(F.col("of"))).where(off < F.col("gap")).join(taken, "uid", "left_anti")
+    near = light.where("size > 0").join(gaps, F.col("source").eqNullSafe(F.col("of"))).where(off < F.col("gap")).join(taken.hint("merge"), "uid", "left_anti")
     fill = near.groupBy("of").agg(F.min_by("uid", F.struct(off, F.col("point"), F.col("uid"))).alias("uid")).select("uid", F.lit(1).alias("once"))
-    out = rows.join(goal.drop("gap"), F.col("source").eqNullSafe(F.col("of")), "left").join(stage(taken.unionByName(fill)), "uid", "left")
+    out = rows.join(goal.drop("gap"), F.col("source").eqNullSafe(F.col("of")), "left").join(stage(taken.unionByName(fill)).hint("merge"), "uid", "left")
     return out.select("uid", "source_size", "target", (F.col("whole") + F.coalesce("once", F.lit(0))).cast("int").alias("times"))
 
 

@@ -5,6 +5,7 @@ import math
 import struct
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from siltstone.llm import fingerprints, language_id, near_dedup, packing, sharding, source_mixing, topk_search, url_filters
-from siltstone.llm.shared import numbered
+from siltstone.llm.shared import numbered, shared_folder
 from tests.llm.conftest import CLASH, SCHEMA, sentence
 from tests.llm.test_brute import plain_components
 
@@ -159,6 +160,13 @@ def test_mixing_splits_a_bucket_of_one_hash(spark, monkeypatch):
     assert len(found) == 550 and abs(taken - target) <= 3 and all(r["bucket"] == r["at"] == "extra" for r in found)
 
 
+def test_nothing_is_left_in_the_scratch_folder(spark, folder):
+    source_mixing.op3_source_mixing(spark, folder).count()
+    packing.op4_packing(spark, folder).count()
+    left = Path(shared_folder(spark).removeprefix("file:"), "scratch")
+    assert not left.exists() or not list(left.iterdir())
+
+
 def test_op10_whole_query(spark, folder, odd_rows):
     """Rows of one id or of none are rows of their own: plain components of row numbers, then the smallest id of each."""
     rows = [(k, t) for k, (_, t, *_) in enumerate(odd_rows)]
