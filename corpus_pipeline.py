@@ -41,7 +41,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with Scratch(spark) as stage:
         light = stage(rows.select("uid", "row.doc_id", "row.source", source_mixing.words(F.col("row.text")).alias("size")))
         times = source_mixing.repetitions(light, source_mixing.targets(light)).where("times > 0").select("uid", "times")
-    return rows.join(times, "uid").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    # merged: the repetitions take little room on disk for their number, so Spark would broadcast them
+    return rows.join(times.hint("merge"), "uid").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
