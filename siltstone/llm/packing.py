@@ -134,11 +134,12 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary
 
 def _swept(pool: DataFrame, ranges: int) -> DataFrame:
     """Matches inside each of so many ranges of sizes. kind: 0 piece and 1 gap without a match, with their place in the range's run; 2 a match (gap `id` of
-    `size`, piece `with` of length `place`); 3 what is left of a gap."""
+    `size`, piece `with` of length `place`); 3 what is left of a gap; 4 the range itself: gaps without a match (`id`) and the smallest of them (`size`), pieces without a match (`place`) and the
+    largest of them (`with`)."""
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stack: list[tuple[int, int]] = []  # (size, id), rising
-        part, gaps = 0, 0
+        part, gaps, least = -1, 0, 0
         for batch in batches:
             out = []
             for part, kind, size, ident in zip(batch["part"], batch["kind"], batch["size"], batch["id"], strict=True):
@@ -153,12 +154,14 @@ def _swept(pool: DataFrame, ranges: int) -> DataFrame:
                     at = bisect_right(stack, (left, math.inf)) - 1 if left else -1
                 if left == size:
                     out.append((part, 1, size, ident, gaps, 0))
+                    least = least if gaps else size
                     gaps += 1
                 elif left:
                     out.append((part, 3, left, ident, 0, 0))
             yield pd.DataFrame(out, columns=["part", "kind", "size", "id", "place", "with"])
-        if stack:
-            yield pd.DataFrame([(part, 0, size, ident, i, 0) for i, (size, ident) in enumerate(stack)], columns=["part", "kind", "size", "id", "place", "with"])
+        if part >= 0:
+            rest = [(part, 0, size, ident, i, 0) for i, (size, ident) in enumerate(stack)]
+            yield pd.DataFrame([*rest, (part, 4, least, gaps, len(stack), stack[-1][0] if stack else 0)], columns=["part", "kind", "size", "id", "place", "with"])
 
     dealt = pool.repartitionByRange(ranges, "size", "kind", "id").sortWithinPartitions("size", "kind", "id").withColumn("part", F.spark_partition_id())
     return dealt.select("part", "kind", "size", "id").mapInPandas(sweep, "part int, kind int, size long, id long, place long, with long")
@@ -199,19 +202,19 @@ def _runs(counts: list[tuple[int, int, int, int, int]]) -> list[Run]:
     return found
 
 
-def _met(rest: DataFrame, runs: list[Run]) -> DataFrame:
-    """gap id, size, piece id `with`, its length and what the gap holds `before` it, for the pieces and gaps of matched runs. There are at most two runs a range."""
+def _met(rest: DataFrame, runs: list[Run], ranges: int) -> DataFrame:
+    """gap id, size, piece id `with`, its length, what the gap holds `before` it and whether it is the gap's `last`, for the pieces and gaps of matched runs. There are at most two runs a range."""
     spark = rest.sparkSession
     sides = [(r.owner, 0, r.first, r.end, r.lot, i) for i, r in enumerate(runs)] + [(r.part, 1, r.gap, r.gap + r.gaps, 1, i) for i, r in enumerate(runs)]
     table = F.broadcast(spark.createDataFrame(sides, "part int, kind int, first long, end long, lot long, run int"))
     inside = (F.col("place") >= F.col("first")) & (F.col("place") < F.col("end"))
     rank = F.when(F.col("kind") == 0, F.floor((F.col("end") - 1 - F.col("place")) / F.col("lot"))).otherwise(F.col("place") - F.col("first"))
-    rows = rest.join(table, ["part", "kind"]).where(inside).select("run", rank.alias("rank"), "kind", "size", "id")
+    rows = rest.join(table, ["part", "kind"]).where(inside).select("run", rank.alias("rank"), "kind", "size", "id").repartition(ranges, "run", "rank")
     # a lot and its gap: the gap's row comes first, then its pieces, the largest first
     lot = Window.partitionBy("run", "rank").orderBy(F.desc("kind"), F.desc("size"), "id")
     before = F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("size"))).over(lot.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     gap = F.first(F.struct("id", "size")).over(lot)
-    return rows.select("kind", gap.alias("gap"), F.col("id").alias("with"), F.col("size").alias("length"), before.alias("before")).where("kind = 0").select("gap.id", "gap.size", "with", "length", "before")
+    return rows.select("kind", gap.alias("gap"), F.col("id").alias("with"), F.col("size").alias("length"), before.alias("before"), F.lead("id").over(lot).isNull().alias("last")).where("kind = 0").select("gap.id", "gap.size", "with", "length", "before", "last")
 
 
 def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -248,15 +251,14 @@ def _placed(sizes: DataFrame, capacity: int, stage: Scratch) -> DataFrame:
         pairs = swept.where("kind = 2").select(F.col("id").alias("sequence_id"), F.col("with").alias("id"), (F.lit(capacity) - F.col("size")).alias("offset"))
         gaps = swept.where("kind = 3").select(F.lit(1).alias("kind"), "size", "id")
         pieces_left = swept.where("kind = 0")
-        of = lambda kind, c: c(F.when(F.col("kind") == kind, F.col("size")))
-        counts = swept.groupBy("part").agg(of(1, F.count).alias("g"), of(1, F.min).alias("least"), of(0, F.count).alias("p"), of(0, F.max).alias("most")).orderBy("part").collect()
-        runs = _runs([tuple(r) for r in counts])
+        counts = swept.where("kind = 4").select("part", F.col("id").alias("g"), F.col("size").alias("least"), F.col("place").alias("p"), F.col("with").alias("most")).collect()
+        runs = _runs(sorted(tuple(r) for r in counts))
         pieces = sum(r["p"] for r in counts) - sum(r.end - r.first for r in runs)
         if runs:
-            met = round_(_met(swept.where("kind < 2"), runs).coalesce(ranges))
+            met = round_(_met(swept.where("kind < 2"), runs, ranges))
             pairs = pairs.unionByName(met.select(F.col("id").alias("sequence_id"), F.col("with").alias("id"), (F.lit(capacity) - F.col("size") + F.col("before")).alias("offset")))
-            after = met.groupBy("id", "size").agg(F.sum("length").alias("got")).where(F.col("size") > F.col("got"))
-            gaps = gaps.unionByName(after.select(F.lit(1).alias("kind"), (F.col("size") - F.col("got")).alias("size"), "id"))
+            left = F.col("size") - F.col("before") - F.col("length")
+            gaps = gaps.unionByName(met.where("last").select(F.lit(1).alias("kind"), left.alias("size"), "id").where("size > 0"))
             taken: dict[int, int] = {}
             for r in runs:
                 taken[r.owner] = min(r.first, taken.get(r.owner, r.first))
@@ -271,4 +273,6 @@ def _placed(sizes: DataFrame, capacity: int, stage: Scratch) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(pieces(read(spark, sf_dir, "documents"))).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    """The digests come from the pieces' ids; packing itself goes by lengths, so the ids need not travel with it."""
+    digests = pieces(read(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packed(digests)
