@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import fingerprints, html_text, language_id, near_dedup, oracles, packing, pii, sharding, source_mixing, topk_search, url_filters
+from siltstone.llm import divergence, fingerprints, html_text, language_id, near_dedup, oracles, packing, pii, sharding, source_mixing, topk_search, url_filters
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_fingerprints": fingerprints.op8_fingerprints,
         "op9_html_text": html_text.op9_html_text,
         "op10_near_dedup": near_dedup.op10_near_dedup,
+        "op11_divergence": divergence.op11_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_rules": url_filters.oracle(), "op2_topk_search": topk_search.oracle(), "op9_html_text": oracles.HTML_TEXT, "op10_near_dedup": oracles.NEAR_DEDUP}
+    return {"op1_url_rules": url_filters.oracle(), "op2_topk_search": topk_search.oracle(), "op9_html_text": oracles.HTML_TEXT, "op10_near_dedup": oracles.NEAR_DEDUP, "op11_divergence": divergence.oracle()}
