@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import alignment, divergence, fingerprints, html_text, language_id, near_dedup, oracles, packing, pii, sharding, source_mixing, topk_search, url_filters
+from siltstone.llm import alignment, divergence, fingerprints, html_text, language_id, near_dedup, oracles, packing, pii, sharding, source_mixing, topk_search, toxicity, url_filters
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_html_text": html_text.op9_html_text,
         "op10_near_dedup": near_dedup.op10_near_dedup,
         "op11_divergence": divergence.op11_divergence,
+        "op12_toxicity": toxicity.op12_toxicity,
         "op13_alignment": alignment.op13_alignment,
     }
 
