@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.functions import vectors as V
-from siltstone.operators import blocks, learned, spans, tables
+from siltstone.operators import blocks, spans, tables
 from siltstone.plans import sql
-from siltstone.plans.assessment import both, graded
 from siltstone.plans.registry import query
-from siltstone.plans.search import documents, head_overlaps, queries_of
+from siltstone.plans.search import documents
 from siltstone.sources import files
 from siltstone.sources.tables import table
 
@@ -139,18 +138,6 @@ def complete_windows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.agg(F.count("*").alias("turns"), F.countDistinct("role").alias("roles"), ((F.count_if(F.length("text") == 0) == 0) & (F.count("*") == 4)).alias("complete"))
 
 
-@query("learned_rank")
-def learned_rank(spark: SparkSession, sf: str) -> DataFrame:
-    """BM25 candidates ranked by folds of queries, on their lexical features."""
-    a, b = both(spark, sf, 50)
-    found = a.select("query_id", "id", F.col("score").alias("body"), (1 / F.col("rank")).alias("place"))
-    found = found.join(b.select("query_id", "id", F.col("score").alias("head")), ["query_id", "id"], "left").fillna(0.0, ["head"])
-    found = found.join(head_overlaps(spark, sf, a).select("query_id", "id", F.col("score").alias("overlap")), ["query_id", "id"])
-    found = found.join(graded(spark, sf, a), ["query_id", "id"], "left").join(documents(spark, sf).select("id", F.log1p(F.length("text")).alias("log_length")), "id")
-    folds = queries_of(spark, sf).select("query_id", T.fold(F.col("text")).alias("fold"))
-    return learned.cross_ranked(found.join(folds, "query_id"), ["body", "place", "head", "overlap", "log_length"])
-
-
 @query("file_lines_page", "SELECT doc_id AS id, len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) > 5 AS more FROM documents WHERE text <> ''")
 def file_lines_page(spark: SparkSession, sf: str) -> DataFrame:
     """Whether a page of five lines leaves more of a text."""
