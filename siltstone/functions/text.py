@@ -81,8 +81,8 @@ def fold(text: Column, folds: int = 5) -> Column:
 
 def lines(text: Column) -> Column:
     """Only a newline ends a line; a carriage return before it goes; an empty text has no lines."""
-    body = F.regexp_replace(text, r"\n$", "")
-    cut = F.transform(F.split(body, "\n"), lambda x: F.regexp_replace(x, r"\r$", ""))
+    body = F.regexp_replace(text, r"\n\z", "")
+    cut = F.transform(F.split(body, "\n"), lambda x: F.regexp_replace(x, r"\r\z", ""))
     return F.when(text == "", F.array().cast("array<string>")).otherwise(cut)
 
 

@@ -53,3 +53,42 @@ def windows(rows: DataFrame, targets: int, before: int, after: int, budget: int)
     kept = dealt.withColumn("run", F.sum("n").over(outward)).where((F.col("role") == "target") | (F.col("run") <= budget))
     counts = [F.count_if(F.col("role") == r).alias(r) for r in ("target", "before", "after")]
     return kept.groupBy("id", "window").agg(*counts, F.min("place").alias("first"), F.max("place").alias("last")).where(F.col("target") > 0)
+
+
+#: Noncharacters that mark the ends of matches; in a text they are shown as the replacement character, which is as long.
+_OPEN, _CLOSE = "﷐", "﷑"
+
+
+def match_spans(docs: DataFrame, pattern: str) -> DataFrame:
+    """id, start, end (characters from 0, end exclusive), first and last (lines from 1) of every match, in whole texts: a match may cross lines.
+
+    A text is cut at its matches; sums of the pieces' characters and line feeds before each give its place, so nothing is split into lines.
+    `.` matches line feeds too; a match that ends with one doesn't reach the next line. A pattern that fits the empty text is an error.
+    """
+    dotall = f"(?s){pattern}"
+    if docs.sparkSession.range(1).where(F.lit("").rlike(dotall)).count():
+        raise ValueError(f"{pattern} fits the empty text")
+    safe = F.translate("text", _OPEN + _CLOSE, "��")
+    some = docs.where(F.col("text").rlike(dotall)).select("id", F.regexp_replace(safe, dotall, f"{_OPEN}$0{_CLOSE}").alias("marked"))
+    parts = some.select("id", F.posexplode(F.split("marked", _OPEN)).alias("at", "part"))
+    hit = F.when(F.col("at") > 0, F.substring_index("part", _CLOSE, 1)).otherwise("")
+    feeds = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    sized = parts.select("id", "at", F.length(hit).alias("n"), feeds(hit).alias("crossed"), hit.endswith("\n").alias("ends"), (F.length("part") - (F.col("at") > 0).cast("int")).alias("size"), feeds(F.col("part")).alias("feeds"))
+    before = Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.withColumns({"start": F.coalesce(F.sum("size").over(before), F.lit(0)), "first": F.coalesce(F.sum("feeds").over(before), F.lit(0)) + 1})
+    last = F.col("first") + F.col("crossed") - F.col("ends").cast("int")
+    return placed.where((F.col("at") > 0) & (F.col("n") > 0)).select("id", "start", (F.col("start") + F.col("n")).alias("end"), "first", last.alias("last"))
+
+
+def grep_spans(docs: DataFrame, pattern: str, before: int = 0, after: int = 0) -> DataFrame:
+    """id, line, hit, island, content: the lines of all matches with their neighbours; what touches or overlaps is one island, so a line comes once."""
+    found = match_spans(docs, pattern).select("id", "first", "last").distinct()
+    order = Window.partitionBy("id").orderBy("first", "last")
+    reach = F.max(F.col("last") + after).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(F.col("first") - before > reach + 1, 1).otherwise(0)
+    islands = found.withColumn("island", F.sum(F.coalesce(opens, F.lit(0))).over(order)).groupBy("id", "island").agg(F.greatest(F.min("first") - before, F.lit(1)).alias("from"), F.max(F.col("last") + after).alias("to"))
+    texts = docs.select("id", T.lines(F.col("text")).alias("lines"))
+    shown = islands.join(texts, "id").select("id", "island", "from", F.posexplode(F.slice("lines", F.col("from"), F.col("to") - F.col("from") + 1)).alias("at", "content"))
+    shown = shown.select("id", "island", (F.col("from") + F.col("at")).alias("line"), "content")
+    hits = found.select("id", F.explode(F.sequence("first", "last")).alias("line")).distinct().withColumn("hit", F.lit(True))
+    return shown.join(hits, ["id", "line"], "left").select("id", "line", F.coalesce("hit", F.lit(False)).alias("hit"), "island", "content")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -80,6 +82,26 @@ def interval(differences: DataFrame, by: str) -> DataFrame:
     return differences.groupBy(by).applyInPandas(draw, f"{by} string, low double, high double")
 
 
+#: Shares of at most 0, 1, 2, ... events where one is expected: sums of 1 / (e k!).
+_AT_MOST = [sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(12)]
+
+
+def drawn(key: Column, sample: Column) -> Column:
+    """How often a row is in a resample: a Poisson number of mean 1, from the first 32 bits of a digest of its key and the resample's number."""
+    point = F.conv(F.substring(F.sha2(F.concat_ws(":", key.cast("string"), sample.cast("string")), 256), 1, 8), 16, 10).cast("long") / float(1 << 32)
+    return sum((F.when(point >= t, 1).otherwise(0) for t in _AT_MOST), F.lit(0))
+
+
+def poisson_interval(differences: DataFrame, by: str, key: str, samples: int = 1000) -> DataFrame:
+    """Bootstrap interval of the mean of `difference` in each group, for groups of any size.
+
+    Each row draws for itself how often each resample has it, so resamples are sums: rows are multiplied only inside the task that reads them,
+    and a row a group and resample is shuffled. Empty resamples have no mean and don't count. Reruns agree, whatever the partitions."""
+    rows = differences.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("n", drawn(F.col(key), F.col("sample"))).where("n > 0")
+    means = rows.groupBy(by, "sample").agg((F.sum(F.col("n") * F.col("difference")) / F.sum("n")).alias("mean"))
+    return means.groupBy(by).agg(F.percentile("mean", F.lit(LOW)).alias("low"), F.percentile("mean", F.lit(HIGH)).alias("high"))
+
+
 def pooled(rankings: list[DataFrame], depth: int) -> DataFrame:
     """query_id, id and place of every result of any ranking to a depth, first seen first, ranking by ranking."""
     rows = None

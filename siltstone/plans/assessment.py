@@ -91,6 +91,22 @@ def compare_interval(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.interval(rows, "kind")
 
 
+POINT = "('0x' || substr(sha256(o_orderkey || ':' || s), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+@query(
+    "poisson_interval",
+    f"""WITH r AS (SELECT o_orderpriority AS priority, o_orderkey, CAST(o_totalprice AS DOUBLE) AS x, unnest(range(0, 20)) AS s FROM orders),
+ w AS (SELECT priority, s, x, {' + '.join(f'CASE WHEN {POINT} >= {t!r}::DOUBLE THEN 1 ELSE 0 END' for t in evaluation._AT_MOST)} AS n FROM r),
+ m AS (SELECT priority, s, sum(n * x) / sum(n) AS mean FROM w WHERE n > 0 GROUP BY priority, s)
+ SELECT priority, round(quantile_cont(mean, 0.025), 2) AS low, round(quantile_cont(mean, 0.975), 2) AS high FROM m GROUP BY priority""",
+)
+def poisson_interval(spark: SparkSession, sf: str) -> DataFrame:
+    """An interval of the mean price by priority, of 20 resamples: a group is a fifth of all orders."""
+    rows = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("priority"), "o_orderkey", F.col("o_totalprice").cast("double").alias("difference"))
+    return evaluation.poisson_interval(rows, "priority", "o_orderkey", 20).select("priority", F.round("low", 2).alias("low"), F.round("high", 2).alias("high"))
+
+
 @query(
     "pool_union",
     f"""WITH {RANKINGS}, s AS (SELECT query_id, id, min(p * 1000 + rank) AS seen FROM (SELECT 0 AS p, * FROM a UNION ALL SELECT 1, * FROM b) WHERE rank <= 10 GROUP BY query_id, id)

@@ -59,6 +59,30 @@ def grep_context(spark: SparkSession, sf: str) -> DataFrame:
     return blocks.grep_context(documents(spark, sf), PATTERN, 1, 2)
 
 
+#: A line's last word with what opens the next line.
+ACROSS = r"[a-z]+\.\n[A-Z][a-z]+ [a-z]+"
+SPANNED = f"""p AS (SELECT doc_id AS id, text, string_split_regex(text, '{ACROSS}') AS x, regexp_extract_all(text, '{ACROSS}') AS y FROM documents WHERE regexp_matches(text, '{ACROSS}')),
+ n AS (SELECT id, x, y, unnest(range(1, len(y) + 1)) AS i FROM p),
+ m AS (SELECT id, array_to_string(list_concat(x[1:i], y[1:i - 1]), '') AS b, y[i] AS h FROM n),
+ s AS (SELECT id, length(b) AS "start", length(b) + length(h) AS "end", 1 + length(b) - length(replace(b, chr(10), '')) AS "first" FROM m)"""
+
+
+@query("grep_across_lines", f'WITH {SPANNED} SELECT id, "start", "end", "first", "first" + 1 AS "last" FROM s')
+def grep_across_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return blocks.match_spans(documents(spark, sf), ACROSS)
+
+
+@query(
+    "grep_across_context",
+    f"""WITH {SPANNED}, {LINES}, h AS (SELECT DISTINCT id, "first" + d AS line FROM s, (VALUES (0), (1)) v(d)),
+ c AS (SELECT DISTINCT l.id, l.line, l.content FROM l JOIN h ON l.id = h.id AND l.line BETWEEN h.line - 1 AND h.line + 1),
+ g AS (SELECT *, CASE WHEN line - lag(line) OVER (PARTITION BY id ORDER BY line) > 1 THEN 1 ELSE 0 END AS gap FROM c)
+ SELECT g.id, g.line, h.line IS NOT NULL AS hit, CAST(sum(gap) OVER (PARTITION BY g.id ORDER BY g.line) AS BIGINT) AS island, content FROM g LEFT JOIN h ON h.id = g.id AND h.line = g.line""",
+)
+def grep_across_context(spark: SparkSession, sf: str) -> DataFrame:
+    return blocks.grep_spans(documents(spark, sf), ACROSS, 1, 1)
+
+
 @query("file_range", f"WITH {LINES} SELECT id, line, content FROM l WHERE line BETWEEN 2 AND 4")
 def file_range(spark: SparkSession, sf: str) -> DataFrame:
     part = F.slice(T.lines(F.col("text")), 2, 3)
