@@ -5,6 +5,9 @@ Each paragraph gives points for its length and its commas to its parent in full
 discounted by its link density. The best container is kept, and around it, level by level, all that is mostly unlinked or scores near it: up to
 what lies beside its `article` or `main`, or where it is in none, up to the lowest level that adds text. Menus, headers, footers, side columns, notices, adverts, forms, comments and anything hidden never count and are never kept.
 
+Names mark blocks only where something else is left: a page that lies whole in a form, or in a container called after a part that it has, is read
+again without names and forms.
+
 The text of a block: character references decoded, white space runs made one space, trimmed; blocks in page order joined by one newline. A
 `br` ends a block. Null, empty or text-free pages: an empty text. Every row is extracted from its whole html; repeated rows alike.
 
@@ -36,8 +39,8 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 #: Elements that are no part of an article.
 OUTSIDE = set("nav footer aside form button select option dialog menu head object svg canvas audio video map fieldset input header".split())
-#: Words of a class, id or role that mark a block as no part of an article.
-NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|promo|related|replies|respond|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget|complementary|contentinfo|search)(?:$|[\s_-])", re.I)
+#: Words of a class, id or role that mark a block as no part of an article; not where the name says that it has or lacks such a part.
+NAMED = re.compile(r"(?:^|[\s_-])(?<!\bhas-)(?<!\bno-)(?<!\bwith-)(?<!\bwithout-)(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|promo|related|replies|respond|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget|complementary|contentinfo|search)(?:$|[\s_-])", re.I)
 #: An open element of the first kind closes where one of the second starts, up to an element of the third.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -62,14 +65,14 @@ class Node:
     linked: int = 0
 
 
-def _outside(tag: str, attributes: str) -> bool:
-    if tag in OUTSIDE:
+def _outside(tag: str, attributes: str, by_name: bool) -> bool:
+    if tag in OUTSIDE and (by_name or tag != "form"):
         return True
     if not attributes:
         return False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id", "role") and NAMED.search(value) and tag not in ("body", "html", "article", "main"):
+        if by_name and name in ("class", "id", "role") and NAMED.search(value) and tag not in ("body", "html", "article", "main"):
             return True
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
@@ -144,7 +147,7 @@ class _Open:
             self.places[self.nodes.pop().tag].pop()
 
 
-def tree(html: str) -> Node:
+def tree(html: str, by_name: bool = True) -> Node:
     """The block elements of a page, with their texts."""
     root = Node("#page", None, False)
     tags, stack = _Tags(html), _Open(root)
@@ -191,7 +194,7 @@ def tree(html: str) -> Node:
             elif here.tag == "p":
                 stack.close(len(stack.nodes) - 1)
             here = stack.nodes[-1]
-            child = Node(tag, here, here.outside or _outside(tag, attributes))
+            child = Node(tag, here, here.outside or _outside(tag, attributes, by_name))
             here.children.append(child)
             stack.push(child)
     return root
@@ -233,7 +236,11 @@ def _blocks(root: Node) -> list[str]:
 
 
 def main_text(html: str | None) -> str:
-    root = tree(html or "")
+    """Of a page whose every text stands in a form or under a name of what is no article, that names and forms don't count."""
+    return _main(tree(html or "")) or (_main(tree(html, by_name=False)) if html else "")
+
+
+def _main(root: Node) -> str:
     nodes = list(_walk(root))
     for node in reversed(nodes):  # children first
         if node.outside:
