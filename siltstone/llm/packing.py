@@ -41,8 +41,8 @@ from tokenizers import Tokenizer, normalizers, pre_tokenizers
 from siltstone.llm.shared import Scratch, by_batches, partitions, read, staged
 
 CAPACITY, END, VOCABULARY = 4096, 1, "word_bpe_49k.json"
-#: Pieces and gaps in a range at least: the last rounds, over few, need no more ranges than that.
-RANGE = 2000
+#: Pieces and gaps in a range at least, which a task holds with ease; rounds over fewer need one range, and so no exchange.
+RANGE = 50_000
 WORDS_KEPT, TOGETHER = 600_000, 1000
 #: The vocabulary's own splitting rule, a fixed value of its file.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -163,7 +163,8 @@ def _swept(pool: DataFrame, ranges: int) -> DataFrame:
             rest = [(part, 0, size, ident, i, 0) for i, (size, ident) in enumerate(stack)]
             yield pd.DataFrame([*rest, (part, 4, least, gaps, len(stack), stack[-1][0] if stack else 0)], columns=["part", "kind", "size", "id", "place", "with"])
 
-    dealt = pool.repartitionByRange(ranges, "size", "kind", "id").sortWithinPartitions("size", "kind", "id").withColumn("part", F.spark_partition_id())
+    dealt = pool.coalesce(1) if ranges == 1 else pool.repartitionByRange(ranges, "size", "kind", "id")
+    dealt = dealt.sortWithinPartitions("size", "kind", "id").withColumn("part", F.spark_partition_id())
     return dealt.select("part", "kind", "size", "id").mapInPandas(sweep, "part int, kind int, size long, id long, place long, with long")
 
 

@@ -186,6 +186,21 @@ def test_packing_is_gapless_and_tight(spark):
     assert len(bins) <= 1.06 * -(-sum(n for _, n in rows) // 4096)
 
 
+def test_packing_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE", 100)
+    test_packing_is_gapless_and_tight(spark)
+
+
+def test_names_of_containers_keep_the_article():
+    text = "<h1>Title</h1><p>A first paragraph, long enough, with commas, to be the article of the page.</p><p>And a second one, which goes on for a while.</p>"
+    want = "Title\nA first paragraph, long enough, with commas, to be the article of the page.\nAnd a second one, which goes on for a while."
+    for opened, closed in (('<div class="layout has-sidebar">', "</div>"), ('<div id="content" class="no-sidebar">', "</div>"), ('<section class="search-article">', "</section>"), ('<div class="share price">', "</div>"), ("<form>", "</form>")):
+        assert html_text.main_text(f"<html><body>{opened}{text}{closed}</body></html>") == want, opened
+        assert html_text.main_text(f"<html><body><nav><a href='/'>Home</a></nav>{opened}{text}{closed}<footer>Imprint</footer></body></html>") == want, opened
+    assert html_text.main_text(f'<body><div>{text}</div><div class="comments"><p>A reader says, well, quite a lot about it.</p></div><div class="main-sidebar">More</div></body>') == want
+    assert html_text.main_text("<body><nav>Only a menu</nav><script>x</script></body>") == ""
+
+
 def test_ids_are_the_tokenizers():
     encoder = packing.Encoder()
     texts = ["Hello, world's THE x1 22", "ÉCOLE naïve é Straße ΑΣ", "a\x1cb\x85c", "", "tab\tnew\nline  <|endoftext|>", "½ ² ߟ 漢字 'tis we'll", "o'd"]
