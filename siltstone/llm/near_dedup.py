@@ -117,6 +117,7 @@ def _signed(docs: DataFrame, size: int, permutations: int, rows: int) -> DataFra
                     known[c] = band_keys(min_max(s, permutations), rows)
                 keys.append((c, known.get(c)))
             yield pd.DataFrame({"file": batch["file"], "place": batch["place"], "doc_id": batch["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "class": [c for c, _ in keys], "bands": [k for _, k in keys]})
+        _words.clear()  # workers outlive their tasks
 
     found = by_batches(docs.select("uid.file", "uid.place", "doc_id", "text"), sign, "file long, place long, doc_id long, n_shingles long, class binary, bands array<long>")
     return found.select(F.struct("file", "place").alias("uid"), "doc_id", "n_shingles", "class", "bands")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from types import TracebackType
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -82,7 +84,12 @@ def numbered(docs: DataFrame) -> DataFrame:
 def by_batches(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInPandas for rows with long texts: Arrow batches of at most BATCH_ROWS rows, so that a worker holds few of them. The limit is a setting of the session."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return df.mapInPandas(function, schema)
+
+    def run(batches: Iterator) -> Iterator:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()  # workers outlive their tasks
+
+    return df.mapInPandas(run, schema)
 
 
 def partitions(spark: SparkSession) -> int:
