@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 def saved(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder and read back: each round of a loop starts from a table."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _own(spark)
-    path = f"{folder.rstrip('/')}/rounds/{uuid.uuid4().hex}"
+    path = f"{shared(spark)}/rounds/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own(spark)).rstrip("/")
+
+
 def _own(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local["):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.plans import assessment, definitions, facade, graphs, ingest, library, modules, ranking, records, search, streams, structure, training  # noqa: F401
+from siltstone.plans import assessment, definitions, facade, graphs, ingest, library, modules, ranking, records, replaced, scoped, search, streams, structure, training  # noqa: F401
 from siltstone.plans.registry import ORACLES, QUERIES, Query
 
 

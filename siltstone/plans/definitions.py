@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
@@ -66,10 +66,9 @@ def release_artifacts(spark: SparkSession, sf: str) -> DataFrame:
  JOIN part n ON n.p_name = o.p_name AND n.p_brand = o.p_brand AND n.p_partkey > o.p_partkey GROUP BY o_custkey, l_partkey""",
 )
 def rebound_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """Uses of a part's key that a later part of the same name takes over: the key is looked up once, then meets the uses."""
-    part = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand")
-    later = part.withColumnRenamed("p_partkey", "new")
-    bound = part.join(later, ["p_name", "p_brand"]).where("new > p_partkey").groupBy(F.col("p_partkey").alias("old")).agg(F.min("new").alias("new"))
+    """Uses of a part's key that a later part of the same name takes over: the next key of the name, looked up once, meets the uses."""
+    following = F.lead("p_partkey").over(Window.partitionBy("p_name", "p_brand").orderBy("p_partkey"))
+    bound = table(spark, sf, "part").select(F.col("p_partkey").alias("old"), following.alias("new")).where("new is not null")
     used = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("user"), F.col("l_partkey").alias("old"))
     return used.distinct().join(bound, "old").select("user", "old", "new")
 
