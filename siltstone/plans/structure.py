@@ -77,7 +77,7 @@ def grep_across_lines(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {SPANNED}, {LINES}, h AS (SELECT DISTINCT id, "first" + d AS line FROM s, (VALUES (0), (1)) v(d)),
  c AS (SELECT DISTINCT l.id, l.line, l.content FROM l JOIN h ON l.id = h.id AND l.line BETWEEN h.line - 1 AND h.line + 1),
  g AS (SELECT *, CASE WHEN line - lag(line) OVER (PARTITION BY id ORDER BY line) > 1 THEN 1 ELSE 0 END AS gap FROM c)
- SELECT g.id, g.line, h.line IS NOT NULL AS hit, CAST(sum(gap) OVER (PARTITION BY g.id ORDER BY g.line) AS BIGINT) AS island, content FROM g LEFT JOIN h ON h.id = g.id AND h.line = g.line""",
+ SELECT g.id, CAST(g.line AS BIGINT) AS line, h.line IS NOT NULL AS hit, CAST(sum(gap) OVER (PARTITION BY g.id ORDER BY g.line) AS BIGINT) AS island, content FROM g LEFT JOIN h ON h.id = g.id AND h.line = g.line""",
 )
 def grep_across_context(spark: SparkSession, sf: str) -> DataFrame:
     return blocks.grep_spans(documents(spark, sf), ACROSS, 1, 1)
