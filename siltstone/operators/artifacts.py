@@ -20,7 +20,7 @@ from siltstone.operators import definitions as D
 from siltstone.operators.graph import saved
 
 #: Lines that import, words that name something, and constructors of a type.
-IMPORT = r"^import (\S+?)(?:\.bend)?(?: as ([A-Za-z_]\w*))?\s*$"
+IMPORT = r"^import (\S+?)(?:\.[a-z]+)?(?: as ([A-Za-z_]\w*))?\s*$"
 WORD = r"[A-Za-z_]\w*(?:\.\w+)*"
 CONSTRUCTOR = r"(?m)^\s+([A-Z]\w*)\{"
 BASE = "Base"

@@ -25,8 +25,8 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "chunk"))), lambda x: x["chunk"]), "")
     word = F.col("m").cast("string")
     last = (F.col("m") - 1).cast("string")
-    beyond = F.concat(F.lit("import kit"), F.floor((F.col("m") - 1) / 4).cast("string"), F.lit("@1.0/m"), last, F.lit(".bend as P\n\n"))
-    path = F.when(F.col("m") % 4 == 0, beyond).otherwise(F.concat(F.lit("import ./m"), last, F.lit(".bend as P\n\n")))
+    beyond = F.concat(F.lit("import kit"), F.floor((F.col("m") - 1) / 4).cast("string"), F.lit("@1.0/m"), last, F.lit(".src as P\n\n"))
+    path = F.when(F.col("m") % 4 == 0, beyond).otherwise(F.concat(F.lit("import ./m"), last, F.lit(".src as P\n\n")))
     made = rows.groupBy("m").agg(text.alias("chunks")).select(F.concat(F.lit("r"), F.floor(F.col("m") / 4).cast("string")).alias("release"), F.concat(F.lit("m"), word).alias("module"), F.concat(F.lit("import Base\n"), path, "chunks").alias("text"))
     return made.unionByName(spark.createDataFrame([("base", A.BASE, NAT)], "release string, module string, text string"))
 

@@ -34,7 +34,7 @@ def found(spark, files, operators=None):
 
 
 def test_uses_inside_a_release_cross_its_files(spark):
-    main = "import Base\nimport ./jar.bend as J\n\ndef start(x: J.Jar) -> Num:\n  J.take(x)\n"
+    main = "import Base\nimport ./jar.src as J\n\ndef start(x: J.Jar) -> Num:\n  J.take(x)\n"
     rows, releases, got = found(spark, [("r1", "jar", JAR), ("r1", "main", main), ("r1", "main", main)])
     edges = {tuple(r) for r in artifacts.uses(rows, releases)[1].collect()}
     assert edges == {
@@ -52,15 +52,15 @@ def test_uses_inside_a_release_cross_its_files(spark):
 
 @pytest.mark.parametrize("label", ["other@2.0", "0xbb"])
 def test_uses_beyond_are_keys(spark, label):
-    main = f"import Base\nimport {label}/jar.bend as J\n\ndef start(x: Num) -> Num:\n  (J.take(J.Lid{{x}}) + None{{}} : Num)\n"
+    main = f"import Base\nimport {label}/jar.src as J\n\ndef start(x: Num) -> Num:\n  (J.take(J.Lid{{x}}) + None{{}} : Num)\n"
     _, _, got = found(spark, [("r1", "main", main), ("r2", "jar", JAR)], {"+": "Num.plus"})
     assert got["r1", "main", "start"]["external"] == ["Num", "Num.plus", "other/jar:Jar", "other/jar:take"] == got["r1", "main", "start"]["used"]
 
 
 def test_names_through_several_imports_and_nearest_scope(spark):
     """Through two files; an own definition hides the base's; an import that leads nowhere and a name that nothing has are left out."""
-    middle = "import other@2.0/deep/jar.bend as J\n\ndef through(x: J.Jar) -> J.Jar:\n  x\n"
-    main = "import Base\nimport ../src/middle as M\nimport gone@1.0/x.bend as G\n\ndef Num(x: Any) -> Any:\n  x\n\ndef start(x: Num) -> Num:\n  M.J.take(M.through(x), G.lost, M.J.lost, lost, M.J)\n"
+    middle = "import other@2.0/deep/jar.src as J\n\ndef through(x: J.Jar) -> J.Jar:\n  x\n"
+    main = "import Base\nimport ../src/middle as M\nimport gone@1.0/x.src as G\n\ndef Num(x: Any) -> Any:\n  x\n\ndef start(x: Num) -> Num:\n  M.J.take(M.through(x), G.lost, M.J.lost, lost, M.J)\n"
     rows, releases, got = found(spark, [("r1", "src/main", main), ("r1", "src/middle", middle), ("r2", "deep/jar", JAR)])
     assert got["r1", "src/main", "start"]["external"] == ["other/deep/jar:take"]
     assert got["r1", "src/main", "start"]["used"] == ["glass/src/main:Num", "glass/src/middle:through", "other/deep/jar:take"]
