@@ -5,8 +5,11 @@ Each paragraph gives points for its length and its commas to its parent in full
 discounted by its link density. The best container is kept, and around it, level by level, all that is mostly unlinked or scores near it: up to
 what lies beside its `article` or `main`, or where it is in none, up to the lowest level that adds text. Menus, headers, footers, side columns, notices, adverts, forms, comments and anything hidden never count and are never kept.
 
-Names mark blocks only where something else is left: a page that lies whole in a form, or in a container called after a part that it has, is read
-again without names and forms.
+Names are read by words: `comments` in `post-comments` marks a block, but `search` marks `search` or `search-box` and not `search-article`, and no word
+marks after has-, no-, with- or without-. Of main elements, articles and first headings, the surest kind that the page has tells where its text is: if all of
+that kind are marked, the first frees the forms and named blocks around it, where that brings more text than what is unmarked; without any, the largest form
+is freed, if it brings four times as much. Marks inside stay,
+and comments, adverts, cookie notices and newsletters are never freed so. A page that is still without text is read again without names and forms.
 
 The text of a block: character references decoded, white space runs made one space, trimmed; blocks in page order joined by one newline. A
 `br` ends a block. Null, empty or text-free pages: an empty text. Every row is extracted from its whole html; repeated rows alike.
@@ -39,8 +42,16 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 #: Elements that are no part of an article.
 OUTSIDE = set("nav footer aside form button select option dialog menu head object svg canvas audio video map fieldset input header".split())
-#: Words of a class, id or role that mark a block as no part of an article; not where the name says that it has or lacks such a part.
-NAMED = re.compile(r"(?:^|[\s_-])(?<!\bhas-)(?<!\bno-)(?<!\bwith-)(?<!\bwithout-)(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|promo|related|replies|respond|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget|complementary|contentinfo|search)(?:$|[\s_-])", re.I)
+#: Words of a class, id or role that mark a block as no part of an article, wherever they stand in a hyphenated name; the first kind for good.
+NEVER = set("ads advert adverts advertisement comment comments consent cookie cookies disqus newsletter replies respond sponsored".split())
+ANYWHERE = set("breadcrumb breadcrumbs footer modal nav navbar navigation popup sidebar".split())
+#: Words that mark a block alone or beside words that say no more than its place or shape.
+ALONE = set("ad banner complementary contentinfo header masthead menu notice notices promo related search share sharing social sponsor subscribe toolbar widget".split())
+PLACE = set("area bar block bottom box btn button buttons col column container content form global group icons inner item items left link links list main message module outer overlay page panel post posts primary right secondary section site slot text top unit wrap wrapper".split())
+#: Words before one of these that say that the block has or lacks such a part.
+HAS = {"has", "no", "with", "without"}
+PARTS = re.compile("[-_]+")
+FREE, NAMED, SHUT = 0, 1, 2
 #: An open element of the first kind closes where one of the second starts, up to an element of the third.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -52,31 +63,48 @@ CLOSES = {
 }
 NEAR, LINKED = 0.2, 0.25
 ARTICLE = ("article", "main")
+#: What tells where the article is, surest first.
+ANCHORS = ("main", "article", "h1")
 
 
 @dataclass(slots=True)
 class Node:
     tag: str
     parent: Node | None
-    outside: bool
+    mark: int  # its own: FREE, NAMED (may be freed) or SHUT
+    outside: bool = False
     children: list = field(default_factory=list)  # nodes, or (text, whether in a link)
     points: float = 0.0
     chars: int = 0
     linked: int = 0
 
 
-def _outside(tag: str, attributes: str, by_name: bool) -> bool:
-    if tag in OUTSIDE and (by_name or tag != "form"):
-        return True
-    if not attributes:
-        return False
-    for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
-        if by_name and name in ("class", "id", "role") and NAMED.search(value) and tag not in ("body", "html", "article", "main"):
-            return True
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+def _named(value: str) -> int:
+    """The mark that a class, id or role gives."""
+    mark = FREE
+    for name in value.lower().split():
+        parts = PARTS.split(name)
+        told = [p for i, p in enumerate(parts) if not i or parts[i - 1] not in HAS]
+        if not NEVER.isdisjoint(told):
+            return SHUT
+        if not ANYWHERE.isdisjoint(told) or not ALONE.isdisjoint(told) and all(p in ALONE or p in PLACE or p.isdigit() or not p for p in parts):
+            mark = NAMED
+    return mark
+
+
+def _mark(tag: str, attributes: str, by_name: bool) -> int:
+    """The mark of an element's own tag and attributes."""
+    if tag in OUTSIDE and tag != "form":
+        return SHUT
+    mark = NAMED if tag == "form" and by_name else FREE
+    if attributes:
+        for name, value in ATTRIBUTE.findall(attributes):
+            name, value = name.lower(), value.strip("\"'")
+            if by_name and name in ("class", "id", "role") and tag not in ("body", "html", "article", "main"):
+                mark = max(mark, _named(value))
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+                return SHUT
+    return mark
 
 
 class _Tags:
@@ -149,7 +177,7 @@ class _Open:
 
 def tree(html: str, by_name: bool = True) -> Node:
     """The block elements of a page, with their texts."""
-    root = Node("#page", None, False)
+    root = Node("#page", None, FREE)
     tags, stack = _Tags(html), _Open(root)
     links, at = 0, 0
     while at < len(html):
@@ -194,7 +222,7 @@ def tree(html: str, by_name: bool = True) -> Node:
             elif here.tag == "p":
                 stack.close(len(stack.nodes) - 1)
             here = stack.nodes[-1]
-            child = Node(tag, here, here.outside or _outside(tag, attributes, by_name))
+            child = Node(tag, here, _mark(tag, attributes, by_name))
             here.children.append(child)
             stack.push(child)
     return root
@@ -209,6 +237,46 @@ def _walk(root: Node) -> Iterator[Node]:
         waiting += [c for c in reversed(node.children) if isinstance(c, Node)]
 
 
+def _settle(nodes: list[Node]) -> None:
+    """Sets `outside` from the marks, after freeing what holds the article; nodes: parents first."""
+    shut, held = set(), set()  # in something SHUT; else in something NAMED
+    text = {}  # unlinked text of a node, less what is marked inside
+    for node in nodes:
+        up = id(node.parent)
+        if node.mark == SHUT or up in shut:
+            shut.add(id(node))
+        elif node.mark == NAMED or up in held:
+            held.add(id(node))
+        text[id(node)] = sum(len(c[0].strip()) for c in node.children if isinstance(c, tuple) and not c[1])
+    for node in reversed(nodes):
+        if node.parent and node.mark == FREE:
+            text[id(node.parent)] += text[id(node)]
+    if held:
+        _free(nodes, [n for n in nodes if id(n) in held and text[id(n)]], shut | held, text)
+    for node in nodes:
+        node.outside = node.mark != FREE or bool(node.parent and node.parent.outside)
+
+
+def _free(nodes: list[Node], held: list[Node], marked: set[int], text: dict[int, int]) -> None:
+    """Frees the first held anchor of the surest kind that the page has, or a form, if that brings enough."""
+    for kind in ANCHORS:
+        if any(n.tag == kind and text[id(n)] and id(n) not in marked for n in nodes):
+            return
+        found = next((n for n in held if n.tag == kind), None)
+        if found:
+            times = 1
+            break
+    else:
+        found, times = max((n for n in held if n.tag == "form"), key=lambda n: text[id(n)], default=None), 4
+    around = []
+    while found:
+        around.append(found)
+        found = found.parent
+    if sum(text[id(n)] for n in around if n.mark == NAMED) > times * text[id(nodes[0])]:
+        for node in around:
+            node.mark = FREE
+
+
 def _blocks(root: Node) -> list[str]:
     out: list[str] = []
     run: list[str] = []
@@ -242,6 +310,7 @@ def main_text(html: str | None) -> str:
 
 def _main(root: Node) -> str:
     nodes = list(_walk(root))
+    _settle(nodes)
     for node in reversed(nodes):  # children first
         if node.outside:
             continue
@@ -271,7 +340,7 @@ def _main(root: Node) -> str:
         marked = marked.parent
     while level.parent:
         beside, done = _beside(level, lambda n: n.linked < LINKED * n.chars or 0 < least <= score(n)), level is marked
-        around = Node("div", None, False, [around if c is level else c for c in beside])
+        around = Node("div", None, FREE, children=[around if c is level else c for c in beside])
         if done or not marked and len(beside) > 1:
             break
         level = level.parent

@@ -352,6 +352,28 @@ def test_main_text():
     assert html_text.main_text(None) == html_text.main_text("<nav>x</nav>") == ""
 
 
+def test_main_text_under_misleading_names():
+    body = "<h1>Title</h1><p>" + "A long sentence, with words, that goes on. " * 5 + "</p><p>" + "Another one, of the same kind. " * 5 + "</p>"
+    want = html_text.main_text(f"<body>{body}</body>")
+    assert want.count("\n") == 2 and len(want) > 350
+    side = "<div class='sidebar'><p>Side words, here, that are long enough, to count.</p></div>"
+    readers = "<div class='post-comments'><article><h1>Re</h1><p>" + "A reader says, something. " * 60 + "</p></article></div>"
+    rest = f"<nav><a href=x>Home</a></nav>{side}{readers}<div class='ad'>Buy, now</div><form><p>Write, to us</p></form>"
+    for name in ("layout has-sidebar", "no-sidebar", "search-article", "share price", "social-news", "related-content", "ad-free-reading", "with-comments"):
+        assert html_text.main_text(f"<body><div class='{name}'>{body}</div>{rest}</body>") == want, name
+        assert html_text.main_text(f"<body><div class='{name}'>{body}{rest}</div></body>") == want, name
+        assert html_text.main_text(f"<body><form id=f><div class='{name}'><article>{body}</article>{rest}</div></form></body>") == want, name
+    for opened, closed in (("<form>", "</form>"), ("<form><div id=menu><main>", "</main></div></form>"), ("<div class=widget><form><article>", "</article></form></div>")):
+        assert html_text.main_text(f"<body>{opened}{body}{closed}{rest}</body>") == want, opened
+    plain = body.replace("<h1>Title</h1>", "<p>Title</p>")
+    assert html_text.main_text(f"<body><form>{plain}{rest}</form></body>") == want
+    for name in ("comments", "reader-comments", "site-header", "search box", "related-posts", "cookie_notice", "main-sidebar", "newsletter-signup", "share-buttons", "ad", "ad-slot-3"):
+        long = "Words, that are no article, of any length. " * 40
+        assert html_text.main_text(f"<body><article>{body}</article><div class='{name}'><p>{long}</p></div></body>") == want, name
+    deep = "<form class=search>" * 20000 + f"<article>{body}</article>"
+    assert html_text.main_text(deep) == want
+
+
 def test_main_text_of_nested_pages():
     long = "A sentence, with commas, of a fair length, that goes on, and on, so that it counts. "
     body = "".join(f"<p>{long}{i}</p>" for i in range(9))
