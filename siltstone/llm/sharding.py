@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from siltstone.llm.shared import partitions, read, shared_folder, staged
+from siltstone.llm.shared import Scratch, partitions, read, shared_folder, staged
 
 
 def shard_of(key: Column, shards: int, seed: int = 23) -> Column:
@@ -31,10 +31,10 @@ def shard_of(key: Column, shards: int, seed: int = 23) -> Column:
     return F.array_max(hashes)["s"].cast("int")
 
 
-def sharded(docs: DataFrame, shards: int, bytes_of: Column, bucket_bytes: int = 32 << 20, seed: int = 23) -> DataFrame:
+def sharded(docs: DataFrame, shards: int, bytes_of: Column, bucket_bytes: int = 32 << 20, seed: int = 23, stage=staged) -> DataFrame:
     """docs with shard and slot added, in the order of a shuffle of every shard.
 
-    All columns travel through the buckets; columns of docs named shard or slot give way."""
+    All columns travel through the buckets, maps as well; columns of docs named shard or slot give way. `stage` writes the buckets."""
     spark = docs.sparkSession
     columns = [c for c in docs.columns if c not in ("shard", "slot")]
     least = max(1, math.ceil(partitions(spark) / shards))
@@ -46,18 +46,24 @@ def sharded(docs: DataFrame, shards: int, bytes_of: Column, bucket_bytes: int =
     firsts = [sum(counts[:s]) for s in range(shards)]
     of_shard = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("shard") + 1)
     scattered = docs.select(F.struct(*columns).alias("record"), shard.alias("shard"), F.xxhash64("doc_id", F.monotonically_increasing_id(), F.lit(seed + 1)).alias("draw"))
-    dealt = scattered.withColumn("at", (of_shard(firsts) + F.pmod(F.col("draw"), of_shard(counts))).cast("int")).drop("draw").repartition(max(partitions(spark), sum(counts)), "at")  # about one bucket in a task's memory
-    gathered = dealt.groupBy("at", "shard").agg(F.sort_array(F.collect_list("record")).alias("records")).sortWithinPartitions("at")
-    mixed = staged(gathered.select("at", "shard", F.shuffle("records", seed).alias("records")))
+    dealt = scattered.withColumn("at", (of_shard(firsts) + F.pmod(F.col("draw"), of_shard(counts))).cast("int")).repartition(max(partitions(spark), sum(counts)), "at")  # about one bucket in a task's memory
+    if "map<" in docs.schema.simpleString():  # maps have no order: records go by their draw
+        by_draw = lambda a, b: F.when(a["draw"] < b["draw"], -1).when(a["draw"] > b["draw"], 1).otherwise(0)
+        records = F.transform(F.array_sort(F.collect_list(F.struct("draw", "record")), by_draw), lambda r: r["record"])
+    else:
+        records = F.sort_array(F.collect_list("record"))
+    gathered = dealt.groupBy("at", "shard").agg(records.alias("records")).sortWithinPartitions("at")
+    mixed = stage(gathered.select("at", "shard", F.shuffle("records", seed).alias("records")))
     first = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = staged(mixed.select("at", "shard", F.size("records").alias("n")).select("at", first.alias("first")))
+    starts = stage(mixed.select("at", "shard", F.size("records").alias("n")).select("at", first.alias("first")))
     placed = mixed.join(starts, "at").select("shard", "first", F.posexplode("records").alias("place", "record"))
     return placed.select("record.*", "shard", (F.col("first") + F.col("place")).alias("slot"))
 
 
 def write_shards(docs: DataFrame, folder: str, shards: int, bytes_of: Column, **options) -> None:
     """Writes docs as one sub-folder of Parquet files per shard; `slot` holds each record's place in its shard."""
-    sharded(docs, shards, bytes_of, **options).write.partitionBy("shard").parquet(folder)
+    with Scratch(docs.sparkSession) as stage:
+        sharded(docs, shards, bytes_of, stage=stage, **options).write.partitionBy("shard").parquet(folder)
 
 
 def read_shards(spark: SparkSession, folder: str, docs: DataFrame) -> DataFrame:

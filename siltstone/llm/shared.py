@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -68,12 +69,24 @@ def removed(spark: SparkSession, path: str) -> None:
     jvm.System.gc()
 
 
+#: What a plan may hold for a row's place in its file to tell it apart: it neither multiplies rows nor reads a file twice.
+PLAIN = {"Relation", "RelationV2", "Project", "Filter", "SubqueryAlias", "View"}
+
+
+def _plain(docs: DataFrame) -> bool:
+    """Whether docs is one reading of files, at most filtered and projected; what isn't known to be one counts as none."""
+    steps = [line.lstrip(" :+-!'") for line in docs._jdf.queryExecution().analyzed().toString().splitlines()]
+    return all(re.match(r"\w*", step)[0] in PLAIN for step in steps if step)
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """`row` (all columns of docs in a struct) and `uid`, a struct that tells the rows apart.
 
     Of a table as read from Parquet it is the row's file and place there, so nothing is written and every later reading gives the same. What has
-    no such place is staged first. A table whose rows were multiplied after reading (exploded) must be staged by the caller."""
+    no such place, or may have multiplied its rows after reading (exploded, joined, united), is staged first."""
     whole = F.struct(*docs.columns).alias("row")
+    if not _plain(docs):
+        return numbered(staged(docs))
     try:
         at = docs.metadataColumn("_metadata")
         return docs.select(whole, F.struct(F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("place")).alias("uid"))

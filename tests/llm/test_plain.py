@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from siltstone.llm import fingerprints, language_id, near_dedup, packing, sharding, source_mixing, topk_search, url_filters
+from siltstone.llm import fingerprints, language_id, near_dedup, packing, pii, sharding, source_mixing, topk_search, url_filters
 from siltstone.llm.shared import numbered, shared_folder
 from tests.llm.conftest import CLASH, SCHEMA, sentence
 from tests.llm.test_brute import plain_components
@@ -129,6 +129,27 @@ def test_op6_whole_query(spark, folder, odd_rows):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_shards_of_map_columns(spark, tmp_path):
+    docs = spark.range(300).select((F.col("id") % 100).alias("doc_id"), F.create_map(F.lit("a"), F.col("id")).alias("m"))
+    sharding.write_shards(docs, f"{tmp_path}/s", 4, F.lit(8).cast("long"))
+    found = sharding.read_shards(spark, f"{tmp_path}/s", docs).collect()
+    assert Counter((r["doc_id"], r["m"]["a"]) for r in found) == Counter((i % 100, i) for i in range(300))
+    slots = {s: sorted(r["slot"] for r in found if r["shard"] == s) for s in {r["shard"] for r in found}}
+    assert all(v == list(range(len(v))) for v in slots.values())
+
+
+def test_multiplied_rows_are_told_apart(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    n, once = docs.count(), near_dedup.deduplicated(docs, size=5).count()
+    twice = docs.withColumn("again", F.explode(F.array(F.lit(1), F.lit(2))))
+    joined = docs.join(spark.range(2), F.lit(True)).drop("id")
+    for rows in (twice, docs.unionByName(docs), joined):
+        assert numbered(rows).select("uid").distinct().count() == 2 * n
+        assert pii.sanitised(rows).count() == 2 * n
+    assert near_dedup.deduplicated(twice, size=5).count() == once
+    assert numbered(docs.where("doc_id > 0").select("doc_id")).select("uid").distinct().count() == docs.where("doc_id > 0").count()
+
+
 def test_op3_whole_query(spark, folder, odd_rows):
     found = source_mixing.op3_source_mixing(spark, folder).collect()
     sizes = [(i, len((t or "").split()), s) for i, t, _, s, _ in odd_rows]
@@ -163,6 +184,7 @@ def test_mixing_splits_a_bucket_of_one_hash(spark, monkeypatch):
 def test_nothing_is_left_in_the_scratch_folder(spark, folder):
     source_mixing.op3_source_mixing(spark, folder).count()
     packing.op4_packing(spark, folder).count()
+    sharding.op6_sharding(spark, folder).count()
     left = Path(shared_folder(spark).removeprefix("file:"), "scratch")
     assert not left.exists() or not list(left.iterdir())
 
