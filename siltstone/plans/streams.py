@@ -36,3 +36,13 @@ def windowed_counts(spark: SparkSession, sf: str) -> DataFrame:
 def search_log_sessions(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations").groupBy("conv_id")
     return rows.agg(F.count("*").alias("searches"), F.countDistinct("role").alias("roles"), F.sum(F.length("text")).alias("characters"), F.max("turn").alias("last"))
+
+
+@query(
+    "read_through_batches",
+    """WITH e AS (SELECT turn AS batch, text, count(*) AS n FROM conversations WHERE text IS NOT NULL GROUP BY ALL), f AS (SELECT *, min(batch) OVER (PARTITION BY text) AS first FROM e)
+ SELECT batch, CAST(sum(n) AS BIGINT) AS requests, count(*) FILTER (first = batch) AS asked, count(*) FILTER (first < batch) AS found FROM f GROUP BY batch""",
+)
+def read_through_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """What a read-through cache asks for if the conversations come turn by turn; tests hold the stream equal."""
+    return state.asked_by_batch(table(spark, sf, "conversations").select(F.col("turn").alias("batch"), "text"))

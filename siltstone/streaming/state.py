@@ -1,14 +1,14 @@
-"""Streaming: merged counts by micro-batch, the newest release per key, and a token bucket per client.
+"""Streaming: merged counts by micro-batch, answers kept by digest, windowed counts, and a token bucket per client.
 
 Each has a batch form with the same result; tests hold them equal.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -96,6 +96,49 @@ def counts_in(spark: SparkSession, folder: str, number: int) -> DataFrame:
     return _added(spark, folder, number)
 
 
+def digest(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+def read_through(texts: DataFrame, folder: str, checkpoint: str, ask: Callable[[DataFrame], DataFrame]):
+    """A stream of `text`, each different one answered once; returns the started query. answers_in() reads the answers.
+
+    ask: from (digest, text) to (digest, value), such as a model by Arrow batches. A micro-batch asks for its distinct texts that no earlier batch
+    has stored, and writes the answers under its number. A batch that runs again is passed over if its answers are whole, and else written anew. Null
+    texts ask nothing. folder and checkpoint belong together.
+    """
+
+    def answer(batch: DataFrame, number: int) -> None:
+        spark, path = batch.sparkSession, f"{folder}/batch={number}"
+        if _exists(spark, f"{path}/_SUCCESS"):
+            return
+        wanted = batch.where("text is not null").select(digest(F.col("text")).alias("digest"), "text").dropDuplicates(["digest"])
+        if _exists(spark, f"{folder}/batch=0/_SUCCESS"):
+            wanted = wanted.join(answers_in(spark, folder).where(F.col("batch") < number).select("digest"), "digest", "left_anti")
+        ask(wanted).select("digest", "value").write.mode("overwrite").parquet(path)
+
+    return texts.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def answers_in(spark: SparkSession, folder: str) -> DataFrame:
+    """digest, value and the batch that asked, of all that read_through has written; the batches are partitions."""
+    return spark.read.parquet(folder)
+
+
+def asked_by_batch(requests: DataFrame) -> DataFrame:
+    """The same over a table (batch, text): requests, texts asked for and texts found, by batch. A text is asked for in the first batch that has it."""
+    rows = requests.where("text is not null").select("batch", digest(F.col("text")).alias("digest"))
+    each = rows.groupBy("batch", "digest").agg(F.count("*").alias("n"))
+    first = F.min("batch").over(Window.partitionBy("digest"))
+    asked = F.sum((F.col("first") == F.col("batch")).cast("long"))
+    return each.withColumn("first", first).groupBy("batch").agg(F.sum("n").alias("requests"), asked.alias("asked"), (F.count("*") - asked).alias("found"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 hour") -> DataFrame:
     """Events per window and type, with a watermark; works on a stream and on a table."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
