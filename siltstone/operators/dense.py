@@ -1,8 +1,8 @@
 """Dense retrieval: exact cosine top-k with filters before the rank, scores for given ids, coarse search with rescoring.
 
 Queries are few and stated; they meet the table in one pass, as a broadcast only while they are at most `BROADCAST_QUERIES` of bounded length, else
-as a shuffled join by blocks of queries. The search itself multiplies Arrow batches of vectors with the matrix of the queries and lets only each
-batch's best on, so what is ranked grows with the batches, not with the pairs.
+as a shuffled join by blocks of queries. Arrow batches of vectors are multiplied with the matrix of the queries; a search lets only each batch's best
+on, so what is ranked grows with the batches, not with the pairs. Null vectors take no part.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from siltstone.functions import vectors as V
 from siltstone.operators.lexical import ranked
 
 BROADCAST_QUERIES, QUERY_BLOCK = 1000, 256
+#: Queries whose scores of a batch leave a task in one frame.
+OUT_BLOCK = 64
 
 
 def met(vectors: DataFrame, queries: DataFrame, where: Column | None = None) -> DataFrame:
@@ -26,56 +28,70 @@ def met(vectors: DataFrame, queries: DataFrame, where: Column | None = None) ->
     n = queries.count()
     if n <= BROADCAST_QUERIES:
         return rows.crossJoin(F.broadcast(queries))
-    blocks = -(-n // QUERY_BLOCK)
-    dealt = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    return rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")).join(dealt, "_b").drop("_b")
+    # each block of queries meets each part of the vectors, so no task holds all vectors
+    blocks, parts = -(-n // QUERY_BLOCK), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    dealt = queries.withColumns({"_b": F.pmod(F.xxhash64("query_id"), F.lit(blocks)), "_p": every(parts)})
+    return rows.withColumns({"_b": every(blocks), "_p": F.pmod(F.xxhash64("id"), F.lit(parts))}).join(dealt, ["_b", "_p"]).drop("_b", "_p")
 
 
-def search(vectors: DataFrame, queries: DataFrame, limit: int = 10, where: Column | None = None) -> DataFrame:
-    """The nearest by cosine. vectors: id, v; queries: query_id, q; both of length 1 and of one dimension."""
-    rows = vectors if where is None else vectors.where(where)
-    asked = queries.select("query_id", "q").limit(BROADCAST_QUERIES + 1).collect()
-    if len(asked) > BROADCAST_QUERIES:
-        scores = met(rows, queries).select("query_id", "id", F.round(V.dot(F.col("v"), F.col("q")), 6).alias("score"))
-        return ranked(scores, limit).select("query_id", "rank", "id", "score")
-    names = [r["query_id"] for r in asked]
-    matrix = np.array([r["q"] for r in asked], float).T
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _matrix(queries: DataFrame) -> tuple[list, np.ndarray | None]:
+    """The queries' ids and the matrix of their vectors; no matrix where they are too many for one."""
+    asked = queries.select("query_id", "q").where("q is not null").limit(BROADCAST_QUERIES + 1).collect()
+    return [r["query_id"] for r in asked], None if len(asked) > BROADCAST_QUERIES else np.array([r["q"] for r in asked], float).T
+
+
+def _scored(vectors: DataFrame, queries: DataFrame, kept: int | None) -> DataFrame:
+    """query_id, id, score: of each Arrow batch of vectors the best `kept` of a query, or all."""
+    rows, (names, matrix) = vectors.where(F.col("v").isNotNull()), _matrix(queries)
+    if matrix is None:
+        return met(rows, queries.where("q is not null")).select("query_id", "id", F.round(V.dot(F.col("v"), F.col("q")), 6).alias("score"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch) or not names:
                 continue
             batch = batch.sort_values("id", kind="stable")
-            scores = np.round(np.stack(batch["v"]) @ matrix, 6)
-            order = np.argsort(-scores, axis=0, kind="stable")[:limit]
+            scores = np.round(np.stack(batch["v"]) @ matrix, 6) + 0.0
+            order = np.argsort(-scores, axis=0, kind="stable")[:kept] if kept else None
             ids = batch["id"].to_numpy()
-            yield pd.concat([pd.DataFrame({"query_id": [n] * len(order), "id": ids[order[:, i]], "score": scores[order[:, i], i]}) for i, n in enumerate(names)])
+            for start in range(0, len(names), OUT_BLOCK):
+                some = range(start, min(start + OUT_BLOCK, len(names)))
+                at = lambda i: slice(None) if order is None else order[:, i]
+                yield pd.concat([pd.DataFrame({"query_id": names[i], "id": ids[at(i)], "score": scores[at(i), i]}) for i in some])
 
     types = {f.name: f.dataType.simpleString() for f in [*vectors.schema.fields, *queries.schema.fields]}
-    found = rows.select("id", "v").mapInPandas(best, f"query_id {types['query_id']}, id {types['id']}, score double")
+    return rows.select("id", "v").mapInPandas(run, f"query_id {types['query_id']}, id {types['id']}, score double")
+
+
+def search(vectors: DataFrame, queries: DataFrame, limit: int = 10, where: Column | None = None) -> DataFrame:
+    """The nearest by inner product, which is the cosine for vectors of length 1. vectors: id, v; queries: query_id, q; all of one dimension."""
+    found = _scored(vectors if where is None else vectors.where(where), queries, limit)
     return ranked(found, limit).select("query_id", "rank", "id", "score")
 
 
+def products(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, id, score of every query with every vector. As many rows as pairs: for those who want them all."""
+    return _scored(vectors, queries, None)
+
+
 def scores_for(vectors: DataFrame, queries: DataFrame, ids: DataFrame) -> DataFrame:
     """Exact scores of the given ids alone; absent ids give no row."""
-    some = vectors.join(ids.select("id").distinct(), "id", "left_semi")
-    return met(some, queries).select("query_id", "id", F.round(V.dot(F.col("v"), F.col("q")), 6).alias("score"))
+    return products(vectors.join(ids.select("id").distinct(), "id", "left_semi"), queries)
 
 
 def int8_search(vectors: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """The best by whole-number products of int8 vectors, not rescored."""
-    small = met(vectors.select("id", V.int8(F.col("v")).alias("v")), queries.select("query_id", V.int8(F.col("q")).alias("q")))
-    product = F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0), lambda s, x: s + x)
-    return ranked(small.select("query_id", "id", product.alias("score")), limit).select("query_id", "rank", "id", "score")
+    small = search(vectors.select("id", V.int8(F.col("v")).alias("v")), queries.select("query_id", V.int8(F.col("q")).alias("q")), limit)
+    return small.withColumn("score", F.col("score").cast("int"))
 
 
 def binary_search(vectors: DataFrame, queries: DataFrame, limit: int = 10, oversampling: int = 2) -> DataFrame:
-    """Coarse by sign bits, `oversampling` times as many, then exact: rescoring reads only those."""
-    rows = met(vectors.select("id", "v", V.binary(F.col("v")).alias("bits")), queries.select("query_id", "q", V.binary(F.col("q")).alias("qbits")))
-    coarse = rows.select("query_id", "id", "v", "q", V.agreement(F.col("bits"), F.col("qbits")).alias("score"))
-    few = ranked(coarse, limit * oversampling).drop("rank")
-    exact = few.select("query_id", "id", F.round(V.dot(F.col("v"), F.col("q")), 6).alias("score"))
-    return ranked(exact, limit).select("query_id", "rank", "id", "score")
+    """Coarse by signs, `oversampling` times as many, then exact: only those ids meet the vectors again. Products of signs rank as equal signs do."""
+    signs = lambda c: F.transform(V.binary(F.col(c)), lambda b: 2 * b - 1)
+    few = search(vectors.select("id", signs("v").alias("v")), queries.select("query_id", signs("q").alias("q")), limit * oversampling)
+    near = few.select("query_id", "id").join(vectors.select("id", "v"), "id").join(queries.select("query_id", "q"), "query_id")
+    return ranked(near.select("query_id", "id", F.round(V.dot(F.col("v"), F.col("q")), 6).alias("score")), limit).select("query_id", "rank", "id", "score")
 
 
 def best_by(scores: DataFrame, key: str) -> DataFrame:
