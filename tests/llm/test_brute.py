@@ -65,6 +65,24 @@ def test_mined_rules_against_all_subsets(spark):
     assert got == want and ("f",) in got and ("a", "b") in got
 
 
+def test_long_shared_urls_are_mined_fast(spark):
+    """Twenty words in every URL are one item; the rules are those of the words that tell pages apart, each word of one item a rule."""
+    shared = "/".join(f"w{chr(97 + k)}" for k in range(20))
+    rows = [(i, f"https://www.site.example.com/{shared}/{['read', 'buy/now'][i % 2]}/{['x', 'y', 'z'][i % 3]}/{i}") for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(not i % 2), 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    url_filters.judge(pages.limit(5), labels, rules=[]).collect()
+    began = time.time()
+    found = url_filters.judge(pages, labels, rules=[]).collect()
+    took = time.time() - began
+    assert len(found) == 200 and all((r["verdict"] == "block") == bool(r["page_id"] % 2) for r in found)
+    labelled = pages.join(labels.withColumnRenamed("doc_id", "page_id"), "page_id").select("page_id", url_filters.tokens(F.col("url")).alias("tokens"), (F.col("quality") == 0).alias("bad"))
+    with Scratch(spark) as stage:
+        rules = {tuple(r["items"]) for r in url_filters.mine(labelled, stage).collect()}
+    assert rules == {("path=buy",), ("path=now",)}
+    assert took < 30, took
+
+
 def test_labels_that_say_nothing_make_no_rule(spark):
     draw = random.Random(8)
     pages = spark.createDataFrame([(i, f"https://{draw.choice('abcd')}.example.{draw.choice(['org', 'net'])}/{draw.choice('xyz')}/{i}?p=1") for i in range(400)], "page_id long, url string")
