@@ -8,7 +8,8 @@ k-th lower bound; those are never read at all. Of the later lists only the entri
 the k-th lower bound rises and the others go. When all lists are read, the survivors' scores are final.
 
 The k-th lower bound doesn't start from nothing: a first pass finds each query's k-th score among a sample of candidates (a bound like any other: the
-true k-th score is no lower, and nothing is dropped that could reach it).
+true k-th score is no lower, and nothing is dropped that could reach it). The sample is every `THINNED`th candidate or fewer, at most some `SAMPLE` of them;
+the queries are dealt over copies of it, so no task meets them all.
 
 Sums are of integers in float64 while they can't pass 2^53, else of Python integers, by the same steps; bounds are floats, widened by more than they can err.
 
@@ -32,8 +33,10 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.shared import Scratch, partitions, read, staged
 
-#: Lists read before the candidates are looked over again, and candidates of the sample for the first bound.
-TOGETHER, SAMPLE = 6, 4096
+#: Lists read before the candidates are looked over again.
+TOGETHER = 6
+#: The sample for the first bound: one of so many candidates, or fewer; so many at most; queries that meet one copy of it.
+THINNED, SAMPLE, PER_COPY = 8, 4096, 256
 WHOLE = 1 << 53
 
 
@@ -104,12 +107,14 @@ class Block:
         return [(int(self.ids[alive[i]]), int(score[i])) for i in best]
 
 
-def _searched(vectors: DataFrame, queries: DataFrame, blocks: int, k: int) -> DataFrame:
-    """query_id, x, vec_id, score: each query's k best of each block. vectors: vec_id, x; queries: query_id, x, floor."""
-    at = F.pmod(F.xxhash64("vec_id", F.hash("x"), F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
-    rows = vectors.select(at.alias("b"), F.lit(0).alias("role"), F.size("x").alias("d"), F.col("vec_id").alias("id"), "x", F.lit(None).cast("double").alias("floor"))
+def _searched(vectors: DataFrame, queries: DataFrame, blocks: int, k: int, copied: bool = False) -> DataFrame:
+    """query_id, x, vec_id, score: each query's k best of each block. vectors: vec_id, x; queries: query_id, x, floor.
+
+    The vectors are dealt into blocks and every block meets all queries, or, if `copied`, the queries are dealt and every block holds all vectors."""
+    dealt = lambda *by: F.pmod(F.xxhash64(*by), F.lit(blocks)).cast("int").alias("b")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b")
-    rows = rows.unionByName(queries.select(every, F.lit(1).alias("role"), F.size("x").alias("d"), F.col("query_id").alias("id"), "x", "floor"))
+    rows = vectors.select(every if copied else dealt("vec_id", F.hash("x"), F.monotonically_increasing_id()), F.lit(0).alias("role"), F.size("x").alias("d"), F.col("vec_id").alias("id"), "x", F.lit(None).cast("double").alias("floor"))
+    rows = rows.unionByName(queries.select(dealt("query_id", F.hash("x")) if copied else every, F.lit(1).alias("role"), F.size("x").alias("d"), F.col("query_id").alias("id"), "x", "floor"))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place, parts, held = None, [], None
@@ -134,10 +139,10 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 16384)
     spark = vectors.sparkSession
     n = vectors.count()
     asked = queries.select(F.col("vec_id").alias("query_id"), "x")
-    dealt = F.pmod(F.xxhash64("vec_id", F.hash("x"), F.monotonically_increasing_id(), F.lit(5)), F.lit(max(1, n // SAMPLE)))
+    dealt = F.pmod(F.xxhash64("vec_id", F.hash("x"), F.monotonically_increasing_id(), F.lit(5)), F.lit(max(THINNED, n // SAMPLE)))
     with Scratch(spark) as stage:
         # the sample's k-th score is a floor; with fewer than k rows there is none
-        first = _searched(vectors.where(dealt == 0), asked.withColumn("floor", F.lit(None).cast("double")), 1, k)
+        first = _searched(vectors.where(dealt == 0), asked.withColumn("floor", F.lit(None).cast("double")), max(1, math.ceil(asked.count() / PER_COPY)), k, copied=True)
         floors = stage(first.groupBy("query_id", "x").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") >= k))
         bounded = asked.join(floors, ["query_id", "x"], "left").select("query_id", "x", F.col("least").cast("double").alias("floor"))
         blocks = max(math.ceil(n / block), min(partitions(spark), math.ceil(n / 1024)), 1)

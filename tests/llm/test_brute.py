@@ -106,6 +106,19 @@ def test_longest_rule(spark):
     assert got == dict(enumerate(cases.values()))
 
 
+def test_topk_with_queries_dealt_over_copies(spark, monkeypatch):
+    """The first pass in many tasks: the results are those of a plain product, repeated and tied vectors included."""
+    monkeypatch.setattr(topk_search, "PER_COPY", 7)
+    draw = np.random.default_rng(3)
+    x = draw.integers(-9, 9, (400, 6))
+    vectors = spark.createDataFrame([(i, [int(c) for c in row]) for i, row in enumerate(x)], "vec_id long, x array<long>").repartition(3)
+    got = {}
+    for r in topk_search.topk(vectors, vectors.where("vec_id % 10 = 0"), 5, block=150).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+    product = x @ x.T
+    assert got == {q: sorted((-int(product[q, i]), i) for i in range(400) if i != q)[:5] for q in range(0, 400, 10)}
+
+
 def test_topk_reads_part_of_the_lists():
     draw = np.random.default_rng(0)
     x = draw.integers(-300, 300, (700, 12))
