@@ -17,12 +17,13 @@ def extracted(files: DataFrame) -> DataFrame:
     """id, name, kind, start, line, end, doc, head, text and documented of every definition of files (id, text).
 
     A definition starts at the comment lines directly above its declaration and ends before the next one's, without the blank lines between. Its
-    head ends where the declaration's parentheses balance. One window over a file's lines finds all borders; files are dealt out by id.
+    head ends where the declaration's parentheses balance. Two windows over a file's lines find all borders; files are dealt out by id. Both run up
+    to the line that they are at, one from the last line backwards: a frame that ends with the file would be read again for every line.
     """
-    order = Window.partitionBy("id").orderBy("line")
+    order, backwards = Window.partitionBy("id").orderBy("line"), Window.partitionBy("id").orderBy(F.desc("line"))
     lines = numbered_lines(files).withColumns({"declares": F.col("content").rlike(DECLARATION), "comment": F.col("content").startswith("#")})
     # a comment belongs to the first line below it that is none
-    below = F.first(F.when(~F.col("comment"), F.struct("line", "declares")), ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    below = F.last(F.when(~F.col("comment"), F.struct("line", "declares")), ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, 0))
     lines = lines.withColumn("below", below).withColumn("own", F.when(F.col("below.declares"), F.col("below.line")))
     lines = lines.withColumn("block", F.last("own", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("block is not null")
     inside = Window.partitionBy("id", "block").orderBy("line")
