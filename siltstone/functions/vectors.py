@@ -19,8 +19,8 @@ def norm(v: Column) -> Column:
 
 
 def normalised(v: Column) -> Column:
-    """Length 1; a zero vector stays."""
-    return F.when(norm(v) > 0, F.transform(v, lambda x: x / norm(v))).otherwise(v)
+    """Length 1; a zero vector stays. The inner function names the length, which is else found again for every component."""
+    return F.when(norm(v) > 0, F.element_at(F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: x / n)), 1)).otherwise(v)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -1,8 +1,8 @@
 """Dense retrieval: exact cosine top-k with filters before the rank, scores for given ids, coarse search with rescoring.
 
-Queries are few and stated; they meet the table in one pass, as a broadcast only while they are at most `BROADCAST_QUERIES` of bounded length, else
-as a shuffled join by blocks of queries. Arrow batches of vectors are multiplied with the matrix of the queries; a search lets only each batch's best
-on, so what is ranked grows with the batches, not with the pairs. Null vectors take no part.
+Queries are a stated set. At most `BROADCAST_QUERIES` of them are one matrix that Arrow batches of vectors are multiplied with; more are dealt out in
+blocks of about `QUERY_BLOCK`, and each block meets each part of about `VECTOR_PART` vectors in a group of its own, so neither driver nor task holds all of
+either. A search lets only each batch's or part's best on, so what is ranked grows with the parts, not with the pairs. Null vectors take no part.
 """
 
 from __future__ import annotations
@@ -17,22 +17,18 @@ from pyspark.sql import functions as F
 from siltstone.functions import vectors as V
 from siltstone.operators.lexical import ranked
 
-BROADCAST_QUERIES, QUERY_BLOCK = 1000, 256
+BROADCAST_QUERIES, QUERY_BLOCK, VECTOR_PART = 1000, 1024, 8192
 #: Queries whose scores of a batch leave a task in one frame.
 OUT_BLOCK = 64
 
 
-def met(vectors: DataFrame, queries: DataFrame, where: Column | None = None) -> DataFrame:
-    """Every query beside every vector that passes `where`: id, v and the other columns; query_id, q."""
-    rows = vectors if where is None else vectors.where(where)
-    n = queries.count()
-    if n <= BROADCAST_QUERIES:
-        return rows.crossJoin(F.broadcast(queries))
-    # each block of queries meets each part of the vectors, so no task holds all vectors
-    blocks, parts = -(-n // QUERY_BLOCK), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
-    dealt = queries.withColumns({"_b": F.pmod(F.xxhash64("query_id"), F.lit(blocks)), "_p": every(parts)})
-    return rows.withColumns({"_b": every(blocks), "_p": F.pmod(F.xxhash64("id"), F.lit(parts))}).join(dealt, ["_b", "_p"]).drop("_b", "_p")
+def every(n: int) -> Column:
+    """A row for each number below n."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+
+def part_of(key: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(n))
 
 
 def _matrix(queries: DataFrame) -> tuple[list, np.ndarray | None]:
@@ -41,27 +37,60 @@ def _matrix(queries: DataFrame) -> tuple[list, np.ndarray | None]:
     return [r["query_id"] for r in asked], None if len(asked) > BROADCAST_QUERIES else np.array([r["q"] for r in asked], float).T
 
 
+def best(names: list, matrix: np.ndarray, ids: np.ndarray, x: np.ndarray, kept: int | None) -> Iterator[pd.DataFrame]:
+    """Frames of query_id, id, score: the best `kept` of each query (a column of the matrix) among vectors in order of their ids, or all. Ties go by id."""
+    for start in range(0, len(names), OUT_BLOCK):
+        own = names[start : start + OUT_BLOCK]
+        scores = np.round(matrix[:, start : start + OUT_BLOCK].T @ x.T, 6) + 0.0
+        if kept is None or kept >= len(ids):
+            q, at = np.divmod(np.arange(scores.size), len(ids))
+        else:
+            q, at = np.nonzero(scores >= np.partition(scores, len(ids) - kept, axis=1)[:, [len(ids) - kept]])
+            order = np.lexsort((at, -scores[q, at], q))
+            q, at = q[order], at[order]
+            some = np.arange(len(q)) - np.searchsorted(q, q) < kept
+            q, at = q[some], at[some]
+        yield pd.DataFrame({"query_id": pd.Series(own).to_numpy()[q], "id": ids[at], "score": scores[q, at]})
+
+
+def stacked(part: pd.DataFrame, column: str) -> np.ndarray:
+    return np.stack(part[column]).astype(float)
+
+
 def _scored(vectors: DataFrame, queries: DataFrame, kept: int | None) -> DataFrame:
-    """query_id, id, score: of each Arrow batch of vectors the best `kept` of a query, or all."""
-    rows, (names, matrix) = vectors.where(F.col("v").isNotNull()), _matrix(queries)
-    if matrix is None:
-        return met(rows, queries.where("q is not null")).select("query_id", "id", F.round(V.dot(F.col("v"), F.col("q")), 6).alias("score"))
+    """query_id, id, score: of each Arrow batch or part of vectors the best `kept` of a query, or all."""
+    rows, (names, matrix) = vectors.where(F.col("v").isNotNull()).select("id", "v"), _matrix(queries)
+    types = {f.name: f.dataType.simpleString() for f in [*vectors.schema.fields, *queries.schema.fields]}
+    schema = f"query_id {types['query_id']}, id {types['id']}, score double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch) or not names:
-                continue
-            batch = batch.sort_values("id", kind="stable")
-            scores = np.round(np.stack(batch["v"]) @ matrix, 6) + 0.0
-            order = np.argsort(-scores, axis=0, kind="stable")[:kept] if kept else None
-            ids = batch["id"].to_numpy()
-            for start in range(0, len(names), OUT_BLOCK):
-                some = range(start, min(start + OUT_BLOCK, len(names)))
-                at = lambda i: slice(None) if order is None else order[:, i]
-                yield pd.concat([pd.DataFrame({"query_id": names[i], "id": ids[at(i)], "score": scores[at(i), i]}) for i in some])
-
-    types = {f.name: f.dataType.simpleString() for f in [*vectors.schema.fields, *queries.schema.fields]}
-    return rows.select("id", "v").mapInPandas(run, f"query_id {types['query_id']}, id {types['id']}, score double")
+            if len(batch) and names:
+                batch = batch.sort_values("id", kind="stable")
+                yield from best(names, matrix, batch["id"].to_numpy(), stacked(batch, "v"), kept)
+
+    if matrix is not None:
+        return rows.mapInPandas(run, schema)
+    asked = queries.where("q is not null").select("query_id", "q")
+    blocks, parts = -(-asked.count() // QUERY_BLOCK), max(1, -(-vectors.count() // VECTOR_PART))
+    left = rows.withColumns({"_b": every(blocks), "_p": part_of("id", parts)})
+    right = asked.withColumns({"_b": part_of("query_id", blocks), "_p": every(parts)})
+    return met(left, right, kept, schema)
+
+
+def met(left: DataFrame, right: DataFrame, kept: int | None, schema: str) -> DataFrame:
+    """query_id, id, score within the groups of _b and _p: vectors (id, v) on the left, queries (query_id, q) on the right."""
+
+    def run(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(asked):
+            return pd.DataFrame({"query_id": asked["query_id"][:0], "id": own["id"][:0], "score": np.zeros(0)})
+        own = own.sort_values("id", kind="stable")
+        return pd.concat(best(asked["query_id"].tolist(), stacked(asked, "q").T, own["id"].to_numpy(), stacked(own, "v"), kept))
+
+    # a number of partitions by bytes would be too few for the work of a group
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda df: df.repartition(n, "_b", "_p").groupBy("_b", "_p")
+    return dealt(left).cogroup(dealt(right)).applyInPandas(run, schema)
 
 
 def search(vectors: DataFrame, queries: DataFrame, limit: int = 10, where: Column | None = None) -> DataFrame:
