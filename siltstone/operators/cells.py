@@ -7,7 +7,8 @@ Scope. The payload index has, for each key, the ids that hold it by cell. The id
 is left says which cells to read, and rows of other ids go before they are scored. With a scope every cell that holds an id of it is read, so the
 result is exact.
 
-Queries are few and stated, at most MOST, an error beyond; centroids are at most as many as the square root of the vectors, up to CELLS. Null
+Queries of `search` are few and stated, at most MOST, an error beyond; `search_many` takes any number: in a scope they meet its vectors by blocks and
+parts, else each meets its cells', a group a cell or part of one and block of queries. Centroids are at most as many as the square root of the vectors, up to CELLS. Null
 vectors aren't indexed. Equal scores go by id. A key that nothing has leaves nothing.
 """
 
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from siltstone.operators import dense
 from siltstone.operators.graph import saved, shared
 from siltstone.operators.lexical import ranked
 
@@ -93,6 +95,17 @@ def scope(index: Cells, keys: list) -> DataFrame:
     return some.groupBy("id", "cell").agg(F.count("*").alias("n")).where(F.col("n") == len(set(keys))).select("id", "cell")
 
 
+def scoped(index: Cells, rows: DataFrame, keys: list | None, ids: DataFrame | None) -> DataFrame:
+    """The vectors (rows: id, v, cell) that have all keys and one of the ids, of the cells that hold something of that scope alone."""
+    within = scope(index, keys) if keys else None
+    if ids is not None:
+        own = rows.select("id", "cell").join(ids.select("id").distinct(), "id", "left_semi")
+        within = own if within is None else within.join(own, ["id", "cell"], "left_semi")
+    within = saved(within)
+    wanted = sorted(r["cell"] for r in within.select("cell").distinct().collect())  # at most CELLS
+    return rows.where(F.col("cell").isin(wanted)).join(within.select("id"), "id", "left_semi")
+
+
 def search(index: Cells, like: DataFrame, queries: DataFrame, limit: int = 10, probes: int = 8, keys: list | None = None, ids: DataFrame | None = None) -> DataFrame:
     """query_id, rank, id, score of the nearest by cosine; exact with `keys` or `ids` (id), else among the probed cells. like: a table of the vectors' columns; queries: query_id, q."""
     asked = queries.select("query_id", "q").limit(MOST + 1).collect()
@@ -100,16 +113,10 @@ def search(index: Cells, like: DataFrame, queries: DataFrame, limit: int = 10, p
         raise ValueError(f"more than {MOST} queries")
     rows = index.vectors(like)
     names, matrix = [r["query_id"] for r in asked], np.array([r["q"] for r in asked], float)
-    within = scope(index, keys) if keys else None
-    if ids is not None:
-        own = rows.select("id", "cell").join(ids.select("id").distinct(), "id", "left_semi")
-        within = own if within is None else within.join(own, ["id", "cell"], "left_semi")
     every = list(range(len(index.centroids)))
-    if within is not None:
-        within = saved(within)
-        wanted = sorted(r["cell"] for r in within.select("cell").distinct().collect())  # at most CELLS
-        of = {c: list(range(len(names))) for c in wanted}
-        rows = rows.where(F.col("cell").isin(wanted)).join(within.select("id"), "id", "left_semi")
+    if keys or ids is not None:
+        rows = scoped(index, rows, keys, ids)
+        of = {c: list(range(len(names))) for c in every or [0]}
     else:
         near = _nearest(matrix, index.centroids, probes) if len(names) and every else np.zeros((0, 0), int)
         of = {c: np.flatnonzero((near == c).any(1)).tolist() for c in every}
@@ -129,3 +136,30 @@ def search(index: Cells, like: DataFrame, queries: DataFrame, limit: int = 10, p
     types = {f.name: f.dataType.simpleString() for f in [*like.schema.fields, *queries.schema.fields]}
     found = rows.select("id", "v", "cell").mapInPandas(best, f"query_id {types['query_id']}, id {types['id']}, score double")
     return ranked(found, limit).select("query_id", "rank", "id", "score")
+
+
+def search_many(index: Cells, like: DataFrame, queries: DataFrame, limit: int = 10, probes: int = 8, keys: list | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """What `search` gives, for any number of queries; without a scope beyond MOST, queries and vectors of a cell meet by shuffles."""
+    if keys or ids is not None:
+        return dense.search(scoped(index, index.vectors(like), keys, ids), queries, limit)
+    if queries.limit(MOST + 1).count() <= MOST:
+        return search(index, like, queries, limit, probes)
+    rows, means = index.vectors(like).select("id", "v", "cell"), index.centroids
+    types = {f.name: f.dataType.simpleString() for f in [*like.schema.fields, *queries.schema.fields]}
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch) and len(means):
+                yield batch.assign(cells=list(_nearest(dense.stacked(batch, "q"), means, probes).astype("int32")))
+
+    asked = queries.where("q is not null").select("query_id", "q")
+    placed = asked.mapInPandas(near, f"query_id {types['query_id']}, q {types['q']}, cells array<int>").select("query_id", "q", F.explode("cells").alias("cell"))
+    blocks = -(-queries.count() // dense.QUERY_BLOCK)
+    # cells: at most CELLS rows
+    parts = F.broadcast(rows.groupBy("cell").agg(F.ceil(F.count("*") / dense.VECTOR_PART).alias("parts")))
+    group = (F.col("cell").cast("long") * (1 << 20) + F.col("part")).alias("_p")
+    left = rows.join(parts, "cell").withColumns({"_b": dense.every(blocks), "part": F.pmod(F.xxhash64("id"), "parts")}).select("id", "v", "_b", group)
+    right = placed.join(parts, "cell").withColumns({"_b": dense.part_of("query_id", blocks), "part": F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))})
+    right = right.select("query_id", "q", "_b", group)
+    found = dense.met(left, right, limit, f"query_id {types['query_id']}, id {types['id']}, score double")
+    return ranked(found, limit).select("query_id", "rank", "id", "score")

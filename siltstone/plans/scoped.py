@@ -28,14 +28,14 @@ def cells_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Approximate: exact scores of what lies in the probed cells; tests measure recall."""
     v = vectors(spark, sf)
     index = cells.built(v)
-    return cells.search(index, v, vector_queries(spark, sf), probes=round(PROBED * len(index.centroids)))
+    return cells.search_many(index, v, vector_queries(spark, sf), probes=round(PROBED * len(index.centroids)))
 
 
 @query("scoped_topk", scoped_sql("n.id IN (SELECT id FROM k WHERE key = 3) AND n.id IN (SELECT id FROM k WHERE key = 7)"))
 def scoped_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The nearest among those whose payload has both keys."""
     v = vectors(spark, sf)
-    return cells.search(cells.built(v, payload(spark, sf)), v, vector_queries(spark, sf), keys=[3, 7])
+    return cells.search_many(cells.built(v, payload(spark, sf)), v, vector_queries(spark, sf), keys=[3, 7])
 
 
 @query("scoped_ids_topk", scoped_sql("n.id IN (SELECT id FROM k WHERE key = 5) AND n.id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = \'F\')"))
@@ -43,4 +43,4 @@ def scoped_ids_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The nearest among those whose payload has a key and whose ids another table gives."""
     v = vectors(spark, sf)
     ids = table(spark, sf, "orders").where("o_orderstatus = \'F\'").select(F.col("o_orderkey").alias("id"))
-    return cells.search(cells.built(v, payload(spark, sf)), v, vector_queries(spark, sf), keys=[5], ids=ids)
+    return cells.search_many(cells.built(v, payload(spark, sf)), v, vector_queries(spark, sf), keys=[5], ids=ids)

@@ -67,3 +67,21 @@ def test_bounds_and_empty(spark, monkeypatch):
     monkeypatch.setattr(cells, "MOST", 1)
     with pytest.raises(ValueError, match="queries"):
         cells.search(none, v, q)
+
+
+@pytest.mark.parametrize("part", [8192, 7])
+def test_more_queries_than_one_search_takes(spark, monkeypatch, part):
+    """Beyond the bounds of one matrix the rows are the same, with ties, parts of cells and blocks of queries."""
+    rows, v, q = grouped(spark, 400)
+    v = v.union(v.where("id < 40").select(F.col("id") + 1000, "v"))
+    index = cells.built(v, spark.createDataFrame([(i, i % 3) for i, _ in rows], "id long, key int"), cells=12)
+    q = v.where("id % 9 = 0 and v is not null").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    ids = v.where("id % 2 = 0").select("id")
+    want = [cells.search(index, v, q, probes=4).collect(), cells.search(index, v, q, keys=[1], ids=ids).collect(), dense.search(v, q).collect()]
+    monkeypatch.setattr(cells, "MOST", 3)
+    monkeypatch.setattr(dense, "BROADCAST_QUERIES", 3)
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(dense, "VECTOR_PART", part)
+    got = [cells.search_many(index, v, q, probes=4), cells.search_many(index, v, q, keys=[1], ids=ids), dense.search(v, q)]
+    assert [sorted(map(tuple, x.collect())) for x in got] == [sorted(map(tuple, x)) for x in want]
+    assert "CartesianProduct" not in got[2]._jdf.queryExecution().executedPlan().toString() and "NestedLoop" not in got[2]._jdf.queryExecution().executedPlan().toString()
