@@ -1,9 +1,19 @@
-"""Lexical retrieval: BM25 over an inverted index, name matching, fusion and reranking. Rankings are rows (query_id, rank, id, score)."""
+"""Lexical retrieval: BM25 over an index of documents, name matching, fusion and reranking. Rankings are rows (query_id, rank, id, score).
+
+A search reads the index once. The terms asked, with their counts of documents, go to every task; a batch of documents is scored for all queries and
+only its best of each query go on, so what is shuffled grows with the batches and not with the documents that share a term with a query. Where the
+queries ask more than `ASKED` terms in all, postings and terms meet by shuffles instead.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +23,8 @@ from siltstone.operators.graph import saved
 #: Fixed values of the ranking formulas.
 K1, B = 1.2, 0.75
 RRF_K, RRF_DEPTH, RERANK_DEPTH, MINIMUM_OVERLAP = 60, 100, 50, 0.5
+#: Terms of all queries that are sent to the tasks, and sums that a task holds at once.
+ASKED, SUMS = 200_000, 1 << 21
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -23,31 +35,36 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """postings: id, term, tf, length of the document; stats: one row, total and mean length."""
+    """documents: id, length, terms and their tfs, for those with terms; terms: term, df; stats: one row, total and mean length."""
 
-    postings: DataFrame
+    documents: DataFrame
+    terms: DataFrame
     stats: DataFrame
 
 
 def index(docs: DataFrame) -> Index:
-    """The index of docs (id, text), written once to the shared folder: texts are split once, however many queries ask. Documents without terms count."""
-    counts = saved(term_counts(docs))
-    lengths = counts.groupBy("id").agg(F.sum("tf").alias("length"))
-    stats = docs.select("id").join(lengths, "id", "left").agg(F.count("*").alias("total"), F.avg(F.coalesce("length", F.lit(0))).alias("mean"))
+    """The index of docs (id, text), written once to the shared folder: texts are split once, however many queries ask. Documents without terms count.
+
+    Texts are dealt out by id once; counts of words, of terms and the document's row all follow in the same tasks."""
+    counts = term_counts(docs.repartition("id"))
+    rows = saved(counts.groupBy("id").agg(F.sum("tf").alias("length"), F.collect_list(F.struct("term", "tf")).alias("e")).select("id", "length", F.col("e.term").alias("terms"), F.col("e.tf").alias("tfs")))
+    stats = docs.select("id").join(rows.select("id", "length"), "id", "left").agg(F.count("*").alias("total"), F.avg(F.coalesce("length", F.lit(0))).alias("mean"))
     stats = stats.select("total", F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0).alias("mean"))
-    # in the order of terms, so that a file's row groups are skipped by the terms asked
-    postings = counts.join(lengths, "id").repartitionByRange("term").sortWithinPartitions("term", "id")
-    return Index(saved(postings), saved(stats))
+    return Index(rows, saved(rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))), saved(stats))
+
 
+def _idf() -> Column:
+    return F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
 
-def impacts(found: Index, terms: DataFrame) -> DataFrame:
-    """(id, term, impact) for the asked terms (term): BM25 with smoothed idf. Only their postings are read on."""
-    some = found.postings.join(terms.select("term").distinct(), "term", "left_semi")
-    matching = some.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+def impacts(found: Index, documents: DataFrame, terms: DataFrame) -> DataFrame:
+    """(id, term, impact and the other columns) of the asked terms (term) in documents of the index: BM25 with smoothed idf."""
+    others = [c for c in documents.columns if c not in ("terms", "tfs")]
+    some = documents.select(*others, F.explode(F.arrays_zip("terms", "tfs")).alias("e")).select(*others, F.col("e.terms").alias("term"), F.col("e.tfs").alias("tf"))
+    some = some.join(found.terms.join(terms.select("term").distinct(), "term", "left_semi"), "term")
     soft = K1 * (1 - B + B * F.col("length") / F.col("mean"))
-    rows = some.join(matching, "term").crossJoin(F.broadcast(found.stats))  # stats: one row
-    return rows.select("id", "term", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + soft)).alias("impact"))
+    rows = some.crossJoin(F.broadcast(found.stats))  # stats: one row
+    return rows.select(*[c for c in others if c != "length"], "term", (_idf() * F.col("tf") * (K1 + 1) / (F.col("tf") + soft)).alias("impact"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -61,17 +78,81 @@ def ranked(scores: DataFrame, limit: int, *ties: Column | str) -> DataFrame:
 
 
 def bm25(docs: DataFrame | Index, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """The best documents of each query. Only postings of query terms leave the index: terms meet before anything is summed."""
-    hits = scores(docs, queries)
+    """The best documents of each query."""
+    found = docs if isinstance(docs, Index) else index(docs)
+    asked = query_terms(queries).where("query_id is not null")
+    known = asked.join(found.terms, "term").crossJoin(F.broadcast(found.stats)).select("query_id", "term", _idf().alias("idf"))  # stats: one row
+    rows = known.limit(ASKED + 1).toPandas()
+    hits = scores(found, queries) if len(rows) > ASKED else _best(found, rows, queries.schema["query_id"].dataType.simpleString(), limit)
     return ranked(hits, limit).select("query_id", "rank", "id", "score")
 
 
-def scores(docs: DataFrame | Index, queries: DataFrame) -> DataFrame:
-    """query_id, id, score of every document with a term of the query."""
+def _best(found: Index, asked: pd.DataFrame, kind: str, limit: int) -> DataFrame:
+    """query_id, id, score: of each batch of documents the best `limit` of each query. asked: query_id, term, idf."""
+    asked = asked.sort_values("term", kind="stable")
+    terms, first, idf = asked["term"].drop_duplicates(), ~asked["term"].duplicated(), asked["idf"]
+    names, query = np.unique(asked["query_id"], return_inverse=True)
+    values, idf = pa.array(terms, pa.string()), idf[first].to_numpy(float)
+    starts = np.append(np.flatnonzero(first), len(asked))  # the queries of term t: query[starts[t] : starts[t + 1]]
+    mean = found.stats.first()["mean"]
+    id_type = found.documents.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = pa.Table.from_batches([batch]).sort_by("id").combine_chunks().to_batches()
+            for part in batch:
+                step = max(1, SUMS // max(1, len(names)))
+                for at in range(0, part.num_rows, step):
+                    yield from best(part.slice(at, step))
+
+    def best(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        n, listed = part.num_rows, part.column("terms")
+        doc = np.repeat(np.arange(n), pc.list_value_length(listed).to_numpy(zero_copy_only=False))
+        code = pc.fill_null(pc.index_in(listed.flatten(), value_set=values), -1).to_numpy(zero_copy_only=False)
+        tf = part.column("tfs").flatten().to_numpy(zero_copy_only=False)
+        some = code >= 0
+        doc, code, tf = doc[some], code[some], tf[some]
+        soft = K1 * (1 - B + B * part.column("length").to_numpy(zero_copy_only=False) / mean)
+        impact = idf[code] * tf * (K1 + 1) / (tf + soft[doc])
+        sums, held = np.zeros(len(names) * n), starts[code + 1] - starts[code]
+        ends = np.cumsum(held)
+        # entries are spread over the queries of their terms, at most about SUMS at once
+        for low, high in _runs(ends, SUMS):
+            own, before = held[low:high], ends[low:high] - held[low:high]
+            at = np.arange(own.sum()) - np.repeat(before - before[:1], own) + np.repeat(starts[code[low:high]], own)
+            sums += np.bincount(query[at] * n + np.repeat(doc[low:high], own), np.repeat(impact[low:high], own), len(sums))
+        sums = np.round(sums.reshape(len(names), n), 6)
+        kept = np.partition(sums, n - limit, axis=1)[:, [n - limit]] if limit < n else 0.0
+        q, at = np.nonzero((sums >= kept) & (sums != 0))
+        order = np.lexsort((at, -sums[q, at], q))
+        q, at = q[order], at[order]
+        some = np.arange(len(q)) - np.searchsorted(q, q) < limit
+        q, at = q[some], at[some]
+        out = {"query_id": pa.array(names[q]), "id": part.column("id").take(pa.array(at)), "score": pa.array(sums[q, at])}
+        yield pa.RecordBatch.from_pydict(out)
+
+    return found.documents.mapInArrow(run, f"query_id {kind}, id {id_type}, score double")
+
+
+def _runs(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of items whose running sums grow by at most about `most`."""
+    low = 0
+    while low < len(ends):
+        done = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield low, high
+        low = high
+
+
+def scores(docs: DataFrame | Index, queries: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """query_id, id, score of every document with a term of the query, or of the given pairs (query_id, id) alone."""
     asked = query_terms(queries)
     found = docs if isinstance(docs, Index) else index(docs)
-    hits = asked.join(impacts(found, asked), "term").groupBy("query_id", "id").agg(F.round(F.sum("impact"), 6).alias("score"))
-    return hits.where(F.col("score") != 0)
+    if pairs is None:
+        hits = asked.join(impacts(found, found.documents, asked), "term")
+    else:
+        hits = impacts(found, pairs.select("query_id", "id").distinct().join(found.documents, "id"), asked).join(asked, ["query_id", "term"])
+    return hits.groupBy("query_id", "id").agg(F.round(F.sum("impact"), 6).alias("score")).where(F.col("score") != 0)
 
 
 def name_match(names: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
