@@ -30,7 +30,7 @@ def examples(spark: SparkSession, sf: str) -> DataFrame:
 @query("learned_rank")
 def learned_rank(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates ranked by folds of queries, by regression on the gain."""
-    return learned.cross_ranked(examples(spark, sf), LEXICAL)
+    return learned.cross_ranked(graph.saved(examples(spark, sf)), LEXICAL)
 
 
 def widened(found: DataFrame) -> DataFrame:
