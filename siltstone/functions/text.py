@@ -1,7 +1,10 @@
-"""Column functions on text: tokens, stems, set similarities, digests, folds, lines and renderings. Built-in functions only."""
+"""Column functions on text: tokens, stems, set similarities, digests, folds, lines and renderings. Built-in functions, but for `tokens_of`."""
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +38,21 @@ def word_tokens(word: Column) -> Column:
     return F.when(word.rlike("^[A-Z]?[a-z]+$"), F.array(whole)).otherwise(split)
 
 
+_SEPARATOR, _CAMEL_PART = re.compile(SEPARATOR), re.compile(CAMEL_PART)
+
+
+@lru_cache(maxsize=1 << 17)
+def tokens_of(word: str) -> tuple[str, ...]:
+    """As `word_tokens`, of one word in a batch."""
+    whole, found = word.lower(), []
+    if word[1:].islower() and word.isalpha():
+        return (whole,)
+    for segment in filter(None, _SEPARATOR.split(word)):
+        parts = _CAMEL_PART.findall(segment)
+        found += [segment.lower()] * (segment.lower() != whole) + [p.lower() for p in parts] * (len(parts) > 1)
+    return (whole, *found)
+
+
 def tokens(text: Column) -> Column:
     """All tokens of a text, in order, repeats kept."""
     return F.flatten(F.transform(words(text), word_tokens))

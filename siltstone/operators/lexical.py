@@ -7,6 +7,8 @@ queries ask more than `ASKED` terms in all, postings and terms meet by shuffles
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +27,8 @@ K1, B = 1.2, 0.75
 RRF_K, RRF_DEPTH, RERANK_DEPTH, MINIMUM_OVERLAP = 60, 100, 50, 0.5
 #: Terms of all queries that are sent to the tasks, and sums that a task holds at once.
 ASKED, SUMS = 200_000, 1 << 21
+#: Bytes of texts whose words a task holds at once, but for one longer text.
+TEXTS = 1 << 22
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -45,14 +49,47 @@ class Index:
 def index(docs: DataFrame) -> Index:
     """The index of docs (id, text), written once to the shared folder: texts are split once, however many queries ask. Documents without terms count.
 
-    Texts are dealt out by id once; counts of words, of terms and the document's row all follow in the same tasks."""
-    counts = term_counts(docs.repartition("id"))
-    rows = saved(counts.groupBy("id").agg(F.sum("tf").alias("length"), F.collect_list(F.struct("term", "tf")).alias("e")).select("id", "length", F.col("e.term").alias("terms"), F.col("e.tf").alias("tfs")))
+    Texts are dealt out by id once, and a document's row is counted in its batch. Only where an id stands in several rows are terms grouped by id."""
+    rows = saved(_counted(docs.repartition("id")))
+    if not rows.groupBy("id").count().where("count > 1").isEmpty():
+        counts = rows.select("id", F.explode(F.arrays_zip("terms", "tfs")).alias("e")).groupBy("id", F.col("e.terms").alias("term")).agg(F.sum("e.tfs").alias("tf"))
+        rows = saved(counts.groupBy("id").agg(F.sum("tf").alias("length"), F.collect_list(F.struct("term", "tf")).alias("e")).select("id", "length", F.col("e.term").alias("terms"), F.col("e.tf").alias("tfs")))
     stats = docs.select("id").join(rows.select("id", "length"), "id", "left").agg(F.count("*").alias("total"), F.avg(F.coalesce("length", F.lit(0))).alias("mean"))
     stats = stats.select("total", F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0).alias("mean"))
     return Index(rows, saved(rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))), saved(stats))
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """id, length, terms and their tfs of the rows that have terms. A row's words are counted first, so that each different one is split once."""
+    word = re.compile(T.WORD)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+            for low, high in _runs(np.cumsum(size), TEXTS):
+                yield counted(batch.slice(low, high - low))
+
+    def counted(part: pa.RecordBatch) -> pa.RecordBatch:
+        kept, ends, terms, tfs = [], [0], [], []
+        for i, text in enumerate(part.column("text").to_pylist()):
+            tf: dict[str, int] = {}
+            for w, n in Counter(word.findall(text or "")).items():
+                for t in (w,) if w.isalpha() and w.islower() else T.tokens_of(w):
+                    tf[t] = tf.get(t, 0) + n
+            if tf:
+                kept.append(i)
+                terms += tf
+                tfs += tf.values()
+                ends.append(len(terms))
+        # one text that is cut again: faster than a value for each term
+        values = pc.split_pattern(pa.array(["\n".join(terms)] if terms else [], pa.string()), "\n").flatten()
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (values, pa.array(tfs, pa.int64()))]
+        length = np.diff(np.append(0, np.cumsum(np.array(tfs, np.int64)))[ends])
+        return pa.RecordBatch.from_arrays([part.column("id").take(pa.array(kept, pa.int64())), pa.array(length), *lists], ["id", "length", "terms", "tfs"])
+
+    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, length long, terms array<string>, tfs array<long>")
+
+
 def _idf() -> Column:
     return F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
 

@@ -23,7 +23,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def heads(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat("source", F.lit(" "), F.element_at(F.split("text", "\n"), 1)).alias("text"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat("source", F.lit(" "), F.substring_index("text", "\n", 1)).alias("text"))
 
 
 _indexes: dict[tuple, lexical.Index] = {}

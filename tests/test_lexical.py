@@ -33,3 +33,18 @@ def test_scores_of_pairs(spark):
     want = lexical.scores(found, q).join(pairs, ["query_id", "id"], "left_semi")
     assert sorted(map(tuple, lexical.scores(found, q, pairs).collect())) == sorted(map(tuple, want.collect()))
     assert want.count() == 3 and lexical.bm25(found, q.where("query_id = 2")).where(F.lit(True)).collect() == []
+
+
+def test_texts_are_counted_in_batches(spark, monkeypatch):
+    """No row a word is grouped; rows equal the counts by columns, also where an id stands in several rows."""
+    monkeypatch.setattr(lexical, "TEXTS", 40)
+    odd = ["HTTPServer2x parseJSON", "a-b.c_d A-b", "x1y2 ABCDef ABCdef", "__init__ --", "Ünï cöde straße", "9lives R2D2 R2-D2", "a\nB\r\nc a", "List.map List_map listMap listmap"]
+    docs, _ = tables(spark)
+    docs = docs.unionByName(spark.createDataFrame([(300 + i, t) for i, t in enumerate(odd)], "id long, text string"))
+    assert "Aggregate" not in lexical._counted(docs)._jdf.queryExecution().executedPlan().toString()
+    for rows in (docs, docs.unionByName(spark.createDataFrame([(200, "w1 more"), (300, "w1"), (300, None)], "id long, text string"))):
+        found = lexical.index(rows).documents
+        got = {(r["id"], t): n for r in found.collect() for t, n in zip(r["terms"], r["tfs"], strict=True)}
+        assert got == {(r["id"], r["term"]): r["tf"] for r in lexical.term_counts(rows).collect()}
+        assert found.groupBy("id").count().where("count > 1").isEmpty()
+        assert all(r["length"] == sum(r["tfs"]) for r in found.collect())
